@@ -15,7 +15,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tokens import vocabulary
+from .tokens import byte_alphabet, vocabulary
 from .util import slices, slim
 
 #: Words whose counts one worker remembers; beyond that it starts anew.
@@ -73,8 +73,7 @@ class LongestMatch:
 
 def pieces_of(path: str) -> set[bytes]:
     """The pieces of a byte-level vocabulary file (a piece that ends a word is marked with </w>)."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    byte = {c: b for b, c in byte_alphabet().items()}
     out = set()
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]

@@ -1,19 +1,20 @@
 """Exact token ids of the public BPE vocabularies, through a bounded memo of text pieces.
 
 The pre-tokenizer of either vocabulary cuts a text into pieces that are encoded independently.  Texts whose
-characters all lie in a range where the cut is known are cut here with ``re``; each distinct piece is encoded once by
-the tokenizers library.  Any other text goes to the library whole.
+characters all lie in a range where the cut is known are cut here with ``re``; a piece that the memo lacks is encoded by the
+model of the tokenizers library.  Any other text goes to the library whole.
 """
 from __future__ import annotations
 
 import os
 import re
 import unicodedata
+from array import array
 
-import numpy as np
-
-#: Pieces kept in the memo of one worker; beyond that it starts anew.
-MEMO_PIECES = 300_000
+#: Pieces kept in the memo of one worker (about 120 MB); it starts anew after as many lookups in vain since it was full.
+MEMO_PIECES = 500_000
+#: Longer pieces are not kept.
+MEMO_CHARS = 64
 _open: dict[tuple[str, str], "Tok"] = {}
 
 
@@ -40,34 +41,49 @@ CUTS = {
 }
 
 
+class Memo(dict):
+    """Piece to ids, as bytes."""
+
+    def __init__(self, model, byte_chars: dict[int, str]):
+        self.model, self.chars, self.vain = model, byte_chars, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.chars))
+        ids = array("I", [t.id for t in found]).tobytes()
+        if len(piece) <= MEMO_CHARS:
+            if len(self) < MEMO_PIECES:
+                self[piece] = ids
+            else:
+                self.vain += 1
+                if self.vain > MEMO_PIECES:
+                    self.clear()
+                    self.vain = 0
+        return ids
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The visible character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Tok:
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.kind, self.memo, self.cut = Tokenizer.from_file(path), kind, {}, CUTS[kind].findall
-        self.size = self.tok.get_vocab_size()
+        self.tok, self.kind, self.cut = Tokenizer.from_file(path), kind, CUTS[kind].findall
+        self.size, self.memo = self.tok.get_vocab_size(), Memo(self.tok.model, byte_alphabet())
 
-    def _lib(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _one(self, text: str) -> bytes:
+        if "<|" in text or not PLAIN.fullmatch(text):
+            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.memo.__getitem__, self.cut(text.lower() if self.kind == "word" else text)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        cuts = [None if "<|" in t or not PLAIN.fullmatch(t) else self.cut(t.lower() if self.kind == "word" else t) for t in texts]
-        need = set().union(*(c for c in cuts if c is not None))
-        miss = need.difference(self.memo)
-        if len(self.memo) + len(miss) > MEMO_PIECES:
-            self.memo.clear()
-            miss = need
-        miss = list(miss)
-        self.memo.update(zip(miss, self._lib(miss), strict=True))
-        odd = iter(self._lib([t for t, c in zip(texts, cuts, strict=True) if c is None]))
-        get = self.memo.__getitem__
-        out = [next(odd) if c is None else b"".join(map(get, c)) for c in cuts]
-        for p in miss:
-            if len(p) > 64:
-                del self.memo[p]
-        return out
+        return [self._one(t) for t in texts]
 
 
 def tokenizer(path: str, kind: str) -> Tok:
