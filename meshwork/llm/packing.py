@@ -46,10 +46,13 @@ def document_frequencies(encoded: DataFrame) -> DataFrame:
     """token, df over all rows; each task sends a row for each token it has seen."""
 
     def count(batches):
-        df = np.zeros(1 << 16, np.int64)
+        df, place = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for x in batch.column("ids").to_pylist():
-                df[np.unique(np.frombuffer(x, "<u2"))] += 1
+            for raw in batch.column("ids").to_pylist():
+                ids = np.frombuffer(raw, "<u2")
+                at = np.arange(len(ids))
+                place[ids] = at  # of equal ids one place stays
+                df[ids[place[ids] == at]] += 1
         seen = np.flatnonzero(df)
         yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(df[seen], pa.int64())], names=["token", "df"])
 
