@@ -34,8 +34,8 @@ BLOCK, BLOCK_BYTES = 400, 4 << 20
 MEMO_WORDS = 300_000
 WORD = re.compile(r"\w+").findall
 _rng = np.random.default_rng(20)
-_A = _rng.integers(0, 2**64, HASHES, np.uint64) | np.uint64(1)
-_B = _rng.integers(0, 2**64, HASHES, np.uint64)
+_A = _rng.integers(0, 2**64, HASHES // 2, np.uint64) | np.uint64(1 << 32 | 1)
+_B = _rng.integers(0, 2**64, HASHES // 2, np.uint64)
 _memo: dict[str, int] = {}
 
 
@@ -64,11 +64,11 @@ def shingles(text: str, k: int = SHINGLE) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """The MinHash values (32 bits) of a set of shingles."""
+    """The MinHash values (32 bits) of a set of shingles: the upper and the lower half of each product give one each."""
     out = np.full(HASHES, 2**32 - 1, np.uint32)
-    for at in range(0, len(found), 2048):
-        x = found[at : at + 2048, None] * _A + _B
-        out = np.minimum(out, (x.min(axis=0) >> np.uint64(32)).astype(np.uint32))
+    for at in range(0, len(found), 512):
+        x = found[at : at + 512, None] * _A + _B
+        out = np.minimum(out, x.view(np.uint32).min(axis=0))
     return out
 
 
