@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import slices
+from .util import Scratch, slices
 
 TRAIN_ROWS, FEATURES, FOLDS, CUTOFF = 12_000, 200, 5, 0.5
 MEMO_WORDS = 200_000
@@ -118,8 +118,9 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFr
     return texts.join(F.broadcast(few), "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[dict[int, int], Chain]:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, scratch: Scratch | None = None) -> tuple[dict[int, int], Chain]:
     names = list(CHAIN)
+    scratch = scratch or Scratch(docs.sparkSession, "toxicity")
     found = sample(docs, labels, rows)
 
     def count(batches):
@@ -150,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[d
         neg, pos = (max(1, labelled[2 * k + v] or 0) for v in (0, 1))
         rate = F.log((F.col(f"n{2 * k + 1}") + 0.5) / (pos + 1)) - F.log((F.col(f"n{2 * k}") + 0.5) / (neg + 1))
         scored.append((F.col(f"n{2 * k + 1}") * F.greatest(rate, F.lit(0.0))).alias(f"s{k}"))
-    enough = counts.filter(" + ".join(f"n{j}" for j in range(2 * len(names))) + f" >= {3 * len(names)}").select("feature", *scored)
+    enough = scratch.write(counts.filter(" + ".join(f"n{j}" for j in range(2 * len(names))) + f" >= {3 * len(names)}").select("feature", *scored), "scores")
     top = [[r.feature for r in enough.filter(F.col(f"s{k}") > 0).orderBy(F.desc(f"s{k}"), "feature").limit(FEATURES).collect()] for k in range(len(names))]
     chosen = {f: i for i, f in enumerate(dict.fromkeys(f for fs in top for f in fs))}
     columns = [np.array([chosen[f] for f in fs], np.int64) for fs in top]
