@@ -28,13 +28,12 @@ LANES = 1 << 32 | 1
 
 def words(text):
     """The words of a text as an array."""
-    joined = F.trim(F.regexp_replace(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
-    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " ", -1))
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), " ", -1), "")
 
 
 def shingle_hashes(found, k: int = SHINGLE):
     """The hashes of all k-word shingles of an array of words, in order; fewer words are one shingle; no words, none."""
-    many = F.transform(F.sequence(F.lit(1), F.size(found) - (k - 1)), lambda i: F.xxhash64(F.slice(found, i, k)))
+    many = F.transform(F.sequence(F.lit(0), F.size(found) - k), lambda i: F.xxhash64(*(F.get(found, i + c) for c in range(k))))
     return F.when(F.size(found) >= k, many).when(F.size(found) > 0, F.array(F.xxhash64(found))).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -74,15 +73,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
     items = scratch.small(items_of(benchmark), "items")
     places = scratch.small(items.select("n", F.posexplode("hashes").alias("at", "h")).groupBy("h", "n", "at").agg(F.lit(1).alias("_")).select("h", "n", "at"), "places")
-    base = slim(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), F.xxhash64("text").alias("rk"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    base = slim(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), F.xxhash64("text").alias("rk"), "text")
     found = None
     # items of fewer words than a shingle have shingles of their own length: at most 5 lengths, usually one
     for k in sorted(r.k for r in items.select(F.least("n", F.lit(SHINGLE)).alias("k")).distinct().collect()):
-        seen = base.select("did", "rk", F.size("w").alias("size"), F.posexplode(shingle_hashes(F.col("w"), k)).alias("pos", "h"))
+        seen = base.select("did", "rk", words(F.col("text")).alias("w")).select("did", "rk", F.size("w").alias("size"), F.posexplode(shingle_hashes(F.col("w"), k)).alias("pos", "h"))
         start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("n")))
         starts = seen.join(places.filter(F.least("n", F.lit(SHINGLE)) == k), "h").select("did", "rk", "n", start.alias("start"))
         windows = scratch.small(starts.distinct(), f"windows{k}")
-        hits = base.join(windows.groupBy("did", "rk").agg(F.collect_set(F.struct("n", "start")).alias("windows")), ["did", "rk"])
+        hits = base.join(windows.groupBy("did", "rk").agg(F.collect_set(F.struct("n", "start")).alias("windows")), ["did", "rk"]).select("did", "rk", words(F.col("text")).alias("w"), "windows")
         hashed = hits.select("did", "rk", shingle_hashes(F.col("w"), k).alias("all"), "windows")
         one = F.transform("windows", _windows_of(k))
         each = hashed.select("did", "rk", F.explode(one).alias("x")).select("did", "rk", "x.*")
@@ -93,7 +92,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def _windows_of(k: int):
-    return lambda x: F.struct(x["n"].alias("n"), x["start"].alias("start"), F.slice("all", x["start"] + 1, x["n"] - (k - 1)).alias("hashes"))
+    """A function from (n, start) to (n, start, the hashes of that window of the column all)."""
+
+    def window(x):
+        last = F.least(x["start"] + x["n"] - k, F.size("all") - 1)
+        return F.struct(x["n"].alias("n"), x["start"].alias("start"), F.transform(F.sequence(x["start"], last), lambda i: F.get("all", i)).alias("hashes"))
+
+    return window
 
 
 def verify(windows: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
