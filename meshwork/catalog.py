@@ -1,5 +1,725 @@
-"""All registered queries of the library and the SQL that gives the same rows."""
+"""All registered queries of the library over the given tables, and the SQL that gives the same rows."""
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .functions.hashing import spread
+from .operators import core, count, enumerate as enum, matrix, metrics, ppr, resistance, sampling, spatial, temporal
+from .plans.store import cut
+from .sources import tables as src
+from .streaming import events as stream
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+def _co(q: float) -> str:
+    return f"b AS MATERIALIZED (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_quantity >= {q}), g AS MATERIALIZED (SELECT DISTINCT a.p AS src, c.p AS dst FROM b a JOIN b c ON a.o = c.o AND a.p < c.p)"
+
+
+def _ps(q: float) -> str:
+    return f"bp AS MATERIALIZED (SELECT DISTINCT l_partkey AS u, l_suppkey AS v FROM lineitem WHERE l_quantity >= {q})"
+
+
+SYM = "s AS MATERIALIZED (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g)"
+DEG = "d AS MATERIALIZED (SELECT src AS id, count(*)::BIGINT AS deg FROM s GROUP BY src)"
+TEMPORAL = "t0 AS (SELECT o_orderkey AS o, o_custkey AS u, year(o_orderdate) * 12 + month(o_orderdate) AS m FROM orders), te AS MATERIALIZED (SELECT DISTINCT u, l_suppkey AS v, (m - (SELECT min(m) FROM t0))::INTEGER AS t FROM lineitem JOIN t0 ON l_orderkey = o)"
+UNCERTAIN = "un AS MATERIALIZED (SELECT l_partkey AS src, -l_suppkey AS dst, round(1 - avg(l_discount) - avg(l_tax), 6) AS p FROM lineitem WHERE l_quantity >= {q} GROUP BY l_partkey, l_suppkey)"
+
+
+# ---- degrees, wedges, bicliques -------------------------------------------------------------------------------------------------
+
+
+@query("degree", f"WITH {_co(0)}, {SYM}, {DEG} SELECT id, deg FROM d")
+def _(spark, d):
+    return count.degrees(src.co_order(spark, d))
+
+
+@query("degree_order", f"WITH {_co(30)}, {SYM}, {DEG} SELECT id, deg, row_number() OVER (ORDER BY deg, id)::BIGINT AS place FROM d QUALIFY place <= 100")
+def _(spark, d):
+    top = count.degrees(src.co_order(spark, d, 30)).orderBy("deg", "id").limit(100)
+    return top.withColumn("place", F.row_number().over(Window.orderBy("deg", "id")).cast("long"))
+
+
+@query("max_degree_landmark", f"WITH {_co(0)}, {SYM}, {DEG} SELECT id FROM d ORDER BY deg DESC, id LIMIT 1")
+def _(spark, d):
+    return resistance.landmark(src.co_order(spark, d))
+
+
+@query("wedge_costs", f"WITH {_ps(0)}, x AS (SELECT u, count(*) AS d FROM bp GROUP BY u), y AS (SELECT v, count(*) AS d FROM bp GROUP BY v) SELECT 'u' AS side, sum(d * (d - 1) // 2)::BIGINT AS wedges FROM y UNION ALL SELECT 'v', sum(d * (d - 1) // 2)::BIGINT FROM x")
+def _(spark, d):
+    return count.wedge_costs(src.part_supplier(spark, d))
+
+
+_W = "w AS MATERIALIZED (SELECT a.v AS a, c.v AS b, count(*) AS shared FROM bp a JOIN bp c ON a.u = c.u AND a.v < c.v GROUP BY a.v, c.v)"
+
+
+@query("two_hop_pairs", f"WITH {_ps(0)}, {_W} SELECT a, b, shared::BIGINT AS shared FROM w WHERE shared >= 2")
+def _(spark, d):
+    return count.wedges(src.part_supplier(spark, d), "v", 2)
+
+
+@query("butterfly_count", f"WITH {_ps(0)}, {_W} SELECT coalesce(sum(shared * (shared - 1) // 2), 0)::BIGINT AS butterflies FROM w")
+def _(spark, d):
+    return count.butterflies(src.part_supplier(spark, d))
+
+
+@query("butterflies_by_vertex", f"WITH {_ps(0)}, {_W}, e AS (SELECT a AS id, shared FROM w UNION ALL SELECT b, shared FROM w) SELECT id, sum(shared * (shared - 1) // 2)::BIGINT AS butterflies FROM e WHERE shared >= 2 GROUP BY id")
+def _(spark, d):
+    return count.butterflies_by_vertex(src.part_supplier(spark, d))
+
+
+@query("butterflies_by_edge", f"WITH {_ps(20)}, {_W}, x AS (SELECT a, b, shared FROM w WHERE shared >= 2 UNION ALL SELECT b, a, shared FROM w WHERE shared >= 2) SELECT p.u, p.v, sum(x.shared - 1)::BIGINT AS butterflies FROM bp p JOIN bp o ON p.u = o.u JOIN x ON x.a = p.v AND x.b = o.v GROUP BY p.u, p.v")
+def _(spark, d):
+    return count.butterflies_by_edge(src.part_supplier(spark, d, 20))
+
+
+@query("bicliques_2_3", f"WITH {_ps(0)}, {_W} SELECT coalesce(sum(shared * (shared - 1) * (shared - 2) // 6), 0)::BIGINT AS bicliques FROM w WHERE shared >= 3")
+def _(spark, d):
+    return count.bicliques(src.part_supplier(spark, d), 2, 3)
+
+
+@query("bicliques_3_3", f"WITH {_ps(30)}, w3 AS (SELECT x.v AS x0, y.v AS x1, z.v AS x2, count(*) AS c FROM bp x JOIN bp y ON x.u = y.u AND x.v < y.v JOIN bp z ON x.u = z.u AND y.v < z.v GROUP BY 1, 2, 3) SELECT coalesce(sum(c * (c - 1) * (c - 2) // 6), 0)::BIGINT AS bicliques FROM w3 WHERE c >= 3")
+def _(spark, d):
+    return count.bicliques(src.part_supplier(spark, d, 30), 3, 3)
+
+
+_T3 = "t3 AS MATERIALIZED (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM g x JOIN g y ON x.dst = y.src JOIN g z ON z.src = x.src AND z.dst = y.dst)"
+
+
+@query("triangle_count", f"WITH {_co(20)}, {_T3} SELECT count(*)::BIGINT AS cliques FROM t3")
+def _(spark, d):
+    return count.clique_count(src.co_order(spark, d, 20), 3)
+
+
+@query("triangles_by_vertex", f"WITH {_co(20)}, {_T3} SELECT id, count(*)::BIGINT AS cliques FROM (SELECT unnest([a, b, c]) AS id FROM t3) GROUP BY id")
+def _(spark, d):
+    return count.cliques_by_vertex(src.co_order(spark, d, 20), 3)
+
+
+@query("clustering_coefficient", f"WITH {_co(20)}, {SYM}, {DEG}, {_T3}, n AS (SELECT id, count(*) AS k FROM (SELECT unnest([a, b, c]) AS id FROM t3) GROUP BY id) SELECT d.id, round(2.0::DOUBLE * coalesce(k, 0) / (deg * (deg - 1)), 6) AS coefficient FROM d LEFT JOIN n ON n.id = d.id WHERE deg > 1")
+def _(spark, d):
+    return count.clustering(src.co_order(spark, d, 20))
+
+
+@query("four_cliques", f"WITH {_co(20)}, {_T3} SELECT count(*)::BIGINT AS cliques FROM t3 JOIN g ON g.src = t3.c JOIN g x ON x.src = t3.a AND x.dst = g.dst JOIN g y ON y.src = t3.b AND y.dst = g.dst")
+def _(spark, d):
+    return count.clique_count(src.co_order(spark, d, 20), 4)
+
+
+@query("five_cliques", f"WITH {_co(25)}, {_T3}, t4 AS MATERIALIZED (SELECT a, b, c, g.dst AS e FROM t3 JOIN g ON g.src = t3.c JOIN g x ON x.src = t3.a AND x.dst = g.dst JOIN g y ON y.src = t3.b AND y.dst = g.dst) SELECT count(*)::BIGINT AS cliques FROM t4 JOIN g ON g.src = t4.e JOIN g x ON x.src = t4.a AND x.dst = g.dst JOIN g y ON y.src = t4.b AND y.dst = g.dst JOIN g z ON z.src = t4.c AND z.dst = g.dst")
+def _(spark, d):
+    return count.clique_count(src.co_order(spark, d, 25), 5)
+
+
+@query("exact_two_hop", f"WITH {_co(40)}, {SYM} SELECT DISTINCT x.src AS id, y.dst AS other FROM s x JOIN s y ON x.dst = y.src AND x.src <> y.dst LEFT JOIN s z ON z.src = x.src AND z.dst = y.dst WHERE z.src IS NULL")
+def _(spark, d):
+    return count.two_hop(src.co_order(spark, d, 40))
+
+
+@query("contract_vertices", f"WITH {_co(40)}, k AS (SELECT min(src) AS a, max(src) AS b FROM g), n AS (SELECT CASE WHEN src = b THEN a ELSE src END AS src, CASE WHEN dst = b THEN a ELSE dst END AS dst FROM g, k) SELECT src, dst FROM n WHERE src <> dst")
+def _(spark, d):
+    g = src.co_order(spark, d, 40)
+    a, b = g.agg(F.min("src"), F.max("src")).first()
+    return count.contract(g, a, b)
+
+
+@query("induced_subgraph", f"WITH {_co(0)} SELECT src, dst FROM g WHERE src % 2 = 0 AND dst % 2 = 0")
+def _(spark, d):
+    g = src.co_order(spark, d)
+    return count.induced(g, count.degrees(g).filter("id % 2 = 0"))
+
+
+# ---- cores, components, distances -----------------------------------------------------------------------------------------------
+
+
+def _rounds(first: str, step, n: int, last: str) -> str:
+    """WITH first as r0, then n rounds of step(i), then last with {r} for the last round."""
+    parts = [first]
+    for i in range(1, n + 1):
+        parts.append(step(i))
+    return "WITH " + ", ".join(parts) + " " + last.format(r=f"r{n}")
+
+
+def _kcore(i: int) -> str:
+    return f"k{i} AS MATERIALIZED (SELECT id FROM (SELECT src AS id FROM r{i - 1} UNION ALL SELECT dst FROM r{i - 1}) GROUP BY id HAVING count(*) >= 6), r{i} AS MATERIALIZED (SELECT src, dst FROM r{i - 1} WHERE src IN (SELECT id FROM k{i}) AND dst IN (SELECT id FROM k{i}))"
+
+
+@query("k_core", _rounds(_co(30) + ", r0 AS MATERIALIZED (SELECT src, dst FROM g)", _kcore, 30, "SELECT src, dst FROM {r}"))
+def _(spark, d):
+    return core.k_core(src.co_order(spark, d, 30), 6)
+
+
+def _pqcore(i: int) -> str:
+    return f"ku{i} AS MATERIALIZED (SELECT u, v FROM r{i - 1} WHERE u IN (SELECT u FROM r{i - 1} GROUP BY u HAVING count(*) >= 2)), r{i} AS MATERIALIZED (SELECT u, v FROM ku{i} WHERE v IN (SELECT v FROM ku{i} GROUP BY v HAVING count(*) >= 20))"
+
+
+@query("pq_core", _rounds(_ps(45) + ", r0 AS MATERIALIZED (SELECT u, v FROM bp)", _pqcore, 40, "SELECT u, v FROM {r}"))
+def _(spark, d):
+    return core.pq_core(src.part_supplier(spark, d, 45), 20, 2)
+
+
+@query("core_numbers")
+def _(spark, d):
+    return core.core_numbers(src.co_order(spark, d, 30))
+
+
+@query("components", "WITH RECURSIVE " + _co(49) + f", {SYM}, cc(id, root) AS (SELECT src, src FROM s UNION SELECT s.dst, cc.root FROM cc JOIN s ON s.src = cc.id WHERE cc.root < s.dst) SELECT id, min(root) AS root FROM cc GROUP BY id")
+def _(spark, d):
+    return core.components(src.co_order(spark, d, 49))
+
+
+def _bfs(i: int) -> str:
+    return f"r{i} AS MATERIALIZED (SELECT * FROM r{i - 1} UNION ALL SELECT DISTINCT s.dst AS id, {i}::BIGINT AS dist FROM r{i - 1} x JOIN s ON s.src = x.id WHERE x.dist = {i - 1} AND s.dst NOT IN (SELECT id FROM r{i - 1}))"
+
+
+@query("bfs_distances", _rounds(_co(40) + f", {SYM}, {DEG}, r0 AS MATERIALIZED (SELECT id, 0::BIGINT AS dist FROM (SELECT id FROM d ORDER BY deg DESC, id LIMIT 1))", _bfs, 30, "SELECT (SELECT id FROM r0) AS source, id, dist FROM {r}"))
+def _(spark, d):
+    g = src.co_order(spark, d, 40)
+    return core.distances(g, resistance.landmark(g))
+
+
+@query("eta_degrees", "WITH " + UNCERTAIN.format(q=30) + ", s AS (SELECT src, dst, p FROM un UNION ALL SELECT dst, src, p FROM un), w AS (SELECT src, exp(sum(ln(p)) OVER (PARTITION BY src ORDER BY p DESC, dst ROWS UNBOUNDED PRECEDING)) AS pr FROM s) SELECT src AS id, sum(CASE WHEN pr >= 0.6 - 1e-9 THEN 1 ELSE 0 END)::BIGINT AS eta_deg FROM w GROUP BY src")
+def _(spark, d):
+    return core.eta_degrees(src.uncertain(spark, d, 30), 0.6)
+
+
+@query("eta_core")
+def _(spark, d):
+    return core.eta_core(src.uncertain(spark, d, 30), 4, 0.6)
+
+
+@query("colouring")
+def _(spark, d):
+    return core.colouring(src.co_order(spark, d, 40))
+
+
+@query("colourful_core")
+def _(spark, d):
+    g = cut(src.co_order(spark, d, 30))
+    attr = count.degrees(g).select("id", (F.col("id") % 2).cast("int").alias("attr"))
+    return core.colourful_core(g, core.colouring(g), attr, 2)
+
+
+# ---- PageRank -------------------------------------------------------------------------------------------------------------------
+
+
+def _ppr(start: str, rounds: int, tail: str, base: str | None = None) -> str:
+    def step(i):
+        return f"p{i} AS MATERIALIZED (SELECT source, id, sum(p) AS p FROM (SELECT source, id, p FROM p{i - 1} UNION ALL SELECT source, id, r * 0.2::DOUBLE FROM r{i - 1}) GROUP BY source, id), r{i} AS MATERIALIZED (SELECT source, coalesce(tr.dst, x.id) AS id, sum(x.r * 0.8::DOUBLE * coalesce(tr.share, 1.0::DOUBLE)) AS r FROM r{i - 1} x LEFT JOIN tr ON tr.src = x.id GROUP BY 1, 2)"
+
+    head = (base or f"{_co(30)}, {SYM}") + f", {DEG}, tr AS MATERIALIZED (SELECT s.src, s.dst, 1.0::DOUBLE / d.deg AS share FROM s JOIN d ON d.id = s.src), {start}, p0 AS (SELECT source, id, 0.0::DOUBLE AS p FROM r0)"
+    return _rounds(head, step, rounds, tail.replace("{p}", f"p{rounds}"))
+
+
+def _sym30(spark, d):
+    return src.symmetric(src.co_order(spark, d, 30))
+
+
+def _first(spark, d, n=3):
+    return count.degrees(src.co_order(spark, d, 30)).orderBy("id").limit(n).select("id")
+
+
+_START3 = "r0 AS (SELECT id AS source, id, 1.0::DOUBLE AS r FROM (SELECT id FROM d ORDER BY id LIMIT 3))"
+_UNIFORM = "r0 AS (SELECT 0::BIGINT AS source, id, 1.0::DOUBLE / (SELECT count(*) FROM d) AS r FROM d)"
+
+
+@query("ppr_power", _ppr(_START3, 8, "SELECT source, id, round(p, 6) AS score FROM {p}"))
+def _(spark, d):
+    return ppr.power(_sym30(spark, d), ppr.single_sources(_first(spark, d)), 8).withColumn("score", F.round("score", 6))
+
+
+@query("pagerank_centrality", _ppr(_UNIFORM, 10, "SELECT id, round(p, 8) AS score FROM {p}"))
+def _(spark, d):
+    return ppr.centrality(_sym30(spark, d), 10).withColumn("score", F.round("score", 8))
+
+
+@query("ppr_any_distribution", _ppr("r0 AS (SELECT 0::BIGINT AS source, id, deg::DOUBLE / (SELECT sum(deg) FROM d) AS r FROM d)", 6, "SELECT id, round(p, 8) AS score FROM {p}"))
+def _(spark, d):
+    g = src.co_order(spark, d, 30)
+    deg = count.degrees(g)
+    start = deg.crossJoin(F.broadcast(deg.agg(F.sum("deg").alias("t")))).select(F.lit(0).cast("long").alias("source"), "id", (F.col("deg") / F.col("t")).alias("r"))
+    return ppr.power(src.symmetric(g), start, 6).select("id", F.round("score", 8).alias("score"))
+
+
+@query("ppr_top_k", _ppr(_START3, 8, "SELECT source, id, round(p, 6) AS score, row_number() OVER (PARTITION BY source ORDER BY round(p, 6) DESC, id)::BIGINT AS place FROM {p} QUALIFY place <= 20"))
+def _(spark, d):
+    scores = ppr.power(_sym30(spark, d), ppr.single_sources(_first(spark, d)), 8).withColumn("score", F.round("score", 6))
+    return ppr.top_k(scores, 20).withColumn("place", F.col("place").cast("long"))
+
+
+@query("ppr_error", _ppr(_START3, 8, "SELECT a.source, round(sum(abs(a.p - coalesce(b.p, 0))), 6) AS l1, round(max(abs(a.p - coalesce(b.p, 0))), 6) AS worst FROM p8 a LEFT JOIN p4 b ON a.source = b.source AND a.id = b.id GROUP BY a.source"))
+def _(spark, d):
+    g, s = _sym30(spark, d), ppr.single_sources(_first(spark, d))
+    return ppr.compare(ppr.power(g, s, 8), ppr.power(g, s, 4)).select("source", F.round("l1", 6).alias("l1"), F.round("worst", 6).alias("worst"))
+
+
+@query("ppr_stationary", f"WITH {_co(30)}, {SYM}, {DEG} SELECT id, round(deg::DOUBLE / (SELECT sum(deg) FROM d), 8) AS score FROM d")
+def _(spark, d):
+    return ppr.stationary(_sym30(spark, d)).withColumn("score", F.round("score", 8))
+
+
+def _back(i: int) -> str:
+    return f"p{i} AS MATERIALIZED (SELECT id, sum(p) AS p FROM (SELECT id, p FROM p{i - 1} UNION ALL SELECT id, r * 0.2::DOUBLE FROM r{i - 1}) GROUP BY id), r{i} AS MATERIALIZED (SELECT tr.src AS id, sum(x.r * 0.8::DOUBLE * tr.share) AS r FROM r{i - 1} x JOIN tr ON tr.dst = x.id GROUP BY 1)"
+
+
+@query("ppr_backward", _rounds(f"{_co(30)}, {SYM}, {DEG}, tr AS MATERIALIZED (SELECT s.src, s.dst, 1.0::DOUBLE / d.deg AS share FROM s JOIN d ON d.id = s.src), r0 AS (SELECT min(id) AS id, 1.0::DOUBLE AS r FROM d), p0 AS (SELECT id, 0.0::DOUBLE AS p FROM r0)", _back, 8, "SELECT id, round(p, 6) AS score FROM p8"))
+def _(spark, d):
+    g = _sym30(spark, d)
+    return ppr.backward(g, g.agg(F.min("src")).first()[0], 8).withColumn("score", F.round("score", 6))
+
+
+def _smooth(i: int) -> str:
+    return f"r{i} AS MATERIALIZED (SELECT x.id, x.w0, coalesce(y.s, 0) * 0.8::DOUBLE + x.w0 * 0.2::DOUBLE AS w FROM r{i - 1} x LEFT JOIN (SELECT tr.src AS id, sum(tr.share * z.w) AS s FROM tr JOIN r{i - 1} z ON z.id = tr.dst GROUP BY 1) y ON y.id = x.id)"
+
+
+@query("weight_smoothing", _rounds(f"{_co(30)}, {SYM}, {DEG}, tr AS MATERIALIZED (SELECT s.src, s.dst, 1.0::DOUBLE / d.deg AS share FROM s JOIN d ON d.id = s.src), r0 AS (SELECT id, (id % 7 + 1)::DOUBLE AS w0, (id % 7 + 1)::DOUBLE AS w FROM d)", _smooth, 5, "SELECT id, round(w / (SELECT avg(w) FROM r5), 6) AS w FROM {r}"))
+def _(spark, d):
+    g = src.co_order(spark, d, 30)
+    values = count.degrees(g).select("id", (F.col("id") % 7 + 1).cast("double").alias("w"))
+    return ppr.smooth(src.symmetric(g), values, 5).withColumn("w", F.round("w", 6))
+
+
+@query("ppr_push")
+def _(spark, d):
+    p, r = ppr.push(_sym30(spark, d), ppr.single_sources(_first(spark, d)), 1e-4)
+    return p.select("source", "id", F.round("p", 6).alias("reserve"))
+
+
+@query("ppr_walks")
+def _(spark, d):
+    return ppr.walks(_sym30(spark, d), ppr.single_sources(_first(spark, d)), 2000).withColumn("score", F.round("score", 6))
+
+
+@query("ppr_fora")
+def _(spark, d):
+    return ppr.fora(_sym30(spark, d), ppr.single_sources(_first(spark, d)), 1e-3, 2000).withColumn("score", F.round("score", 6))
+
+
+@query("ppr_forests")
+def _(spark, d):
+    g = src.symmetric(src.co_order(spark, d, 40))
+    return ppr.forest_scores(g, ppr.single_sources(_first(spark, d)), 16).withColumn("score", F.round("score", 6))
+
+
+# ---- resistance -----------------------------------------------------------------------------------------------------------------
+
+
+def _absorb(i: int) -> str:
+    return f"r{i} AS MATERIALIZED (SELECT x.source, tr.dst AS id, sum(x.x * tr.share) AS x FROM r{i - 1} x JOIN tr ON tr.src = x.id GROUP BY 1, 2), p{i} AS MATERIALIZED (SELECT source, id, sum(x) AS x FROM (SELECT * FROM p{i - 1} UNION ALL SELECT * FROM r{i}) GROUP BY 1, 2)"
+
+
+_ABS = f"{_co(30)}, {SYM}, {DEG}, l AS (SELECT id FROM d ORDER BY deg DESC, id LIMIT 1), tr AS MATERIALIZED (SELECT s.src, s.dst, 1.0::DOUBLE / d.deg AS share FROM s JOIN d ON d.id = s.src WHERE s.dst <> (SELECT id FROM l)), r0 AS (SELECT id AS source, id, 1.0::DOUBLE AS x FROM (SELECT id FROM d ORDER BY id LIMIT 3) WHERE id <> (SELECT id FROM l)), p0 AS (SELECT * FROM r0)"
+
+
+@query("absorbed_visits", _rounds(_ABS, _absorb, 8, "SELECT source, id, round(x, 6) AS visits FROM p8"))
+def _(spark, d):
+    g = src.co_order(spark, d, 30)
+    stop = resistance.landmark(g).first()[0]
+    return resistance.absorbed_visits(g, _first(spark, d), stop, 8).withColumn("visits", F.round("visits", 6))
+
+
+@query("pair_resistance", _rounds(_ABS, _absorb, 8, "SELECT a.source AS s, b.source AS t, round(coalesce(a.x / da.deg, 0) - coalesce(ab.x / db.deg, 0) + coalesce(b.x / db.deg, 0) - coalesce(ba.x / da.deg, 0), 6) AS resistance FROM p8 a JOIN p8 b ON a.id = a.source AND b.id = b.source AND a.source < b.source JOIN d da ON da.id = a.source JOIN d db ON db.id = b.source LEFT JOIN p8 ab ON ab.source = a.source AND ab.id = b.source LEFT JOIN p8 ba ON ba.source = b.source AND ba.id = a.source"))
+def _(spark, d):
+    g = src.co_order(spark, d, 30)
+    stop, ids = resistance.landmark(g).first()[0], _first(spark, d).filter(F.lit(True))
+    ids = ids.filter(F.col("id") != stop)
+    pairs = ids.select(F.col("id").alias("s")).crossJoin(F.broadcast(ids.select(F.col("id").alias("t")))).filter("s < t")  # at most three ids
+    return resistance.pair_resistance(g, pairs, stop, 8).withColumn("resistance", F.round("resistance", 6))
+
+
+@query("laplacian", f"WITH {_co(30)}, {SYM}, {DEG} SELECT id AS row, id AS col, deg::DOUBLE AS val FROM d UNION ALL SELECT src, dst, -1.0::DOUBLE FROM s")
+def _(spark, d):
+    return resistance.laplacian(src.co_order(spark, d, 30))
+
+
+# ---- matrices -------------------------------------------------------------------------------------------------------------------
+
+_M = f"{_co(40)}, {SYM}, {DEG}, sc AS (SELECT s.src, s.dst, a.deg::DOUBLE AS da, c.deg::DOUBLE AS dc FROM s JOIN d a ON a.id = s.src JOIN d c ON c.id = s.dst)"
+_NORMS = {
+    "laplacian": "SELECT id AS row, id AS col, deg::DOUBLE AS val FROM d UNION ALL SELECT src, dst, -1.0::DOUBLE FROM s",
+    "norm_laplacian": "SELECT id AS row, id AS col, 1.0::DOUBLE AS val FROM d UNION ALL SELECT src, dst, -1 / sqrt(da * dc) FROM sc",
+    "first_order": "SELECT id AS row, id AS col, 1.0::DOUBLE AS val FROM d UNION ALL SELECT src, dst, 1 / sqrt(da * dc) FROM sc",
+    "aug_sym": "SELECT id AS row, id AS col, 1.0::DOUBLE / (deg + 1) AS val FROM d UNION ALL SELECT src, dst, 1 / sqrt((da + 1) * (dc + 1)) FROM sc",
+    "sym": "SELECT src AS row, dst AS col, 1 / sqrt(da * dc) AS val FROM sc",
+    "rw_laplacian": "SELECT id AS row, id AS col, 1.0::DOUBLE AS val FROM d UNION ALL SELECT src, dst, -1 / da FROM sc",
+    "aug_rw": "SELECT id AS row, id AS col, 1.0::DOUBLE / (deg + 1) AS val FROM d UNION ALL SELECT src, dst, 1 / (da + 1) FROM sc",
+    "rw": "SELECT src AS row, dst AS col, 1 / da AS val FROM sc",
+    "none": "SELECT src AS row, dst AS col, 1.0::DOUBLE AS val FROM s",
+    "low_pass": "SELECT id AS row, id AS col, 0.5::DOUBLE AS val FROM d UNION ALL SELECT src, dst, 0.5 / sqrt(da * dc) FROM sc",
+}
+
+
+def _matrix(spark, d, q=40):
+    g = src.co_order(spark, d, q)
+    return src.symmetric(g).select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(1.0).alias("val")), count.degrees(g).select("id")
+
+
+for _kind, _sql in _NORMS.items():
+
+    @query(f"normalise_{_kind}", f"WITH {_M}, o AS ({_sql}) SELECT row, col, round(val, 6) AS val FROM o")
+    def _(spark, d, kind=_kind):
+        m, nodes = _matrix(spark, d)
+        return matrix.normalise(m, nodes, kind).withColumn("val", F.round("val", 6))
+
+
+@query("row_normalise", f"WITH {_M} SELECT src AS row, dst AS col, round((src + dst) / sum(src + dst) OVER (PARTITION BY src), 6) AS val FROM s")
+def _(spark, d):
+    m, _nodes = _matrix(spark, d)
+    return matrix.row_normalise(m.withColumn("val", (F.col("row") + F.col("col")).cast("double"))).withColumn("val", F.round("val", 6))
+
+
+@query("diagonal_enhanced", f"WITH {_M} SELECT id AS row, id AS col, round(2.0::DOUBLE / (deg + 1), 6) AS val FROM d UNION ALL SELECT src, dst, round(1 / (da + 1), 6) FROM sc")
+def _(spark, d):
+    m, nodes = _matrix(spark, d)
+    return matrix.diagonal_enhanced(m, nodes).withColumn("val", F.round("val", 6))
+
+
+_KNN = "kn AS MATERIALIZED (SELECT a.vec_id AS src, b.vec_id AS dst FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id - a.vec_id <= 40)"
+
+
+def _label_edges(spark, d):
+    """Vectors of one label whose ids are at most 40 apart."""
+    v = src.table(spark, d, "embeddings").select(F.col("vec_id"), "label", F.floor(F.col("vec_id") / 41).alias("g"))
+    b = v.select(F.col("vec_id").alias("dst"), "label", F.explode(F.array(F.col("g"), F.col("g") - 1)).alias("g"))
+    return v.withColumnRenamed("vec_id", "src").join(b, ["label", "g"]).filter("dst > src AND dst - src <= 40").select("src", "dst")
+
+
+def _vectors(spark, d):
+    return src.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), "label")
+
+
+_DOT = "list_sum(list_transform(range(1, 65), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
+
+
+@query("edge_cosine", f"WITH {_KNN}, e AS (SELECT src, dst, a.embedding AS x, b.embedding AS y FROM kn JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst) SELECT src, dst, round({_DOT.format(a='x', b='y')} / sqrt({_DOT.format(a='x', b='x')} * {_DOT.format(a='y', b='y')}), 6) AS score FROM e")
+def _(spark, d):
+    return matrix.edge_scores(_label_edges(spark, d), _vectors(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query("inner_product_decoder", f"WITH {_KNN}, e AS (SELECT src, dst, a.embedding AS x, b.embedding AS y FROM kn JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst) SELECT src, dst, round(1 / (1 + exp(-{_DOT.format(a='x', b='y')})), 6) AS score FROM e")
+def _(spark, d):
+    return matrix.edge_scores(_label_edges(spark, d), _vectors(spark, d), lambda a, b: 1 / (1 + F.exp(-matrix.dot(a, b)))).withColumn("score", F.round("score", 6))
+
+
+@query("propagate_features", f"WITH {_KNN}, s AS (SELECT src, dst FROM kn UNION ALL SELECT dst, src FROM kn), d AS (SELECT src AS id, count(*) AS deg FROM s GROUP BY src), x AS (SELECT vec_id AS id, i - 1 AS dim, embedding[i]::DOUBLE AS val FROM embeddings, range(1, 5) r(i)), y AS (SELECT s.src AS id, x.dim, sum(x.val / d.deg) AS val FROM s JOIN x ON x.id = s.dst JOIN d ON d.id = s.src GROUP BY 1, 2) SELECT s.src AS id, y.dim::INTEGER AS dim, round(sum(y.val / d.deg), 6) AS val FROM s JOIN y ON y.id = s.dst JOIN d ON d.id = s.src GROUP BY 1, 2")
+def _(spark, d):
+    m = src.symmetric(_label_edges(spark, d)).select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(1.0).alias("val"))
+    x = matrix.exploded(src.table(spark, d, "embeddings").withColumn("embedding", F.slice("embedding", 1, 4)))
+    return matrix.propagate(cut(matrix.row_normalise(m)), x, 2).withColumn("val", F.round("val", 6))
+
+
+@query("segment_softmax", f"WITH {_ps(45)} SELECT u, v, round(exp((v - max(v) OVER (PARTITION BY u)) / 10.0::DOUBLE) / sum(exp((v - m) / 10.0::DOUBLE)) OVER (PARTITION BY u), 6) AS prob FROM (SELECT u, v, max(v) OVER (PARTITION BY u) AS m FROM bp)")
+def _(spark, d):
+    return matrix.softmax(src.part_supplier(spark, d, 45), "u", "v", 10.0).withColumn("prob", F.round("prob", 6))
+
+
+@query("segment_reductions", "SELECT p_partkey AS id, coalesce(n, 0)::BIGINT AS n, round(coalesce(total, 0), 4) AS total, round(coalesce(mean, 0), 4) AS mean, coalesce(least, 0) AS least, coalesce(most, 0) AS most FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, sum(l_extendedprice) AS total, avg(l_extendedprice) AS mean, min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM lineitem WHERE l_quantity >= 49 GROUP BY 1) ON l_partkey = p_partkey")
+def _(spark, d):
+    messages = src.table(spark, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_partkey").alias("dst"), F.col("l_extendedprice").alias("val"))
+    out = matrix.segments(messages, src.table(spark, d, "part").select(F.col("p_partkey").alias("id")), "dst")
+    return out.withColumns({"total": F.round("total", 4), "mean": F.round("mean", 4)})
+
+
+@query("edge_weight_update", "WITH e AS (SELECT l_orderkey AS src, l_linenumber AS dst, l_discount AS wi, l_tax AS wj, (l_partkey % 10) / 10.0::DOUBLE AS sx, (l_suppkey % 10) / 10.0::DOUBLE AS sh FROM lineitem), p AS (SELECT src, dst, 1 - (1 - wi) * wj * (1 - sx) * sh - wi * (1 - wj) * sx * (1 - sh) AS p FROM e) SELECT src, dst, round((p - (SELECT min(p) FROM p)) / ((SELECT max(p) FROM p) - (SELECT min(p) FROM p)), 6) AS weight FROM p")
+def _(spark, d):
+    e = src.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_linenumber").alias("dst"), F.col("l_discount").alias("wi"), F.col("l_tax").alias("wj"), (F.col("l_partkey") % 10 / 10.0).alias("sx"), (F.col("l_suppkey") % 10 / 10.0).alias("sh"))
+    return matrix.edge_weights(e).withColumn("weight", F.round("weight", 6))
+
+
+@query("counts_per_million", "SELECT l_suppkey AS cell, l_partkey AS gene, round(ln(sum(l_quantity) * 1000000 / t + 1) / ln(2), 6) AS x FROM lineitem JOIN (SELECT l_suppkey AS c, sum(l_quantity) AS t FROM lineitem GROUP BY 1) ON c = l_suppkey GROUP BY l_suppkey, l_partkey, t")
+def _(spark, d):
+    x = src.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("cell"), F.col("l_partkey").alias("gene")).agg(F.sum("l_quantity").alias("q"))
+    t = x.groupBy("cell").agg(F.sum("q").alias("t"))
+    return x.join(t, "cell").select("cell", "gene", F.round(F.log2(F.col("q") * 1000000 / F.col("t") + 1), 6).alias("x"))
+
+
+@query("quantile_edges", "WITH e AS (SELECT l_partkey AS g1, l_suppkey AS g2, max(l_extendedprice) AS score FROM lineitem GROUP BY 1, 2) SELECT g1, g2, score FROM e WHERE score >= (SELECT quantile_cont(score, 0.99) FROM e)")
+def _(spark, d):
+    e = cut(src.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("g1"), F.col("l_suppkey").alias("g2")).agg(F.max("l_extendedprice").alias("score")))
+    return e.crossJoin(F.broadcast(e.agg(F.percentile("score", 0.99).alias("q")))).filter("score >= q").select("g1", "g2", "score")
+
+
+@query("isolates", f"WITH {_co(49)} SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT src FROM g UNION ALL SELECT dst FROM g)")
+def _(spark, d):
+    return src.table(spark, d, "part").select(F.col("p_partkey").alias("id")).join(count.degrees(src.co_order(spark, d, 49)), "id", "left_anti")
+
+
+# ---- temporal -------------------------------------------------------------------------------------------------------------------
+
+
+@query("temporal_edges", f"WITH {TEMPORAL} SELECT u, v, t FROM te")
+def _(spark, d):
+    return src.customer_supplier_months(spark, d)
+
+
+@query("temporal_activity", f"WITH {TEMPORAL} SELECT u, t, count(DISTINCT v)::BIGINT AS ds FROM te GROUP BY u, t")
+def _(spark, d):
+    return temporal.activity(src.customer_supplier_months(spark, d))
+
+
+@query("average_temporal_degree", f"WITH {TEMPORAL} SELECT round(count(*)::DOUBLE / count(DISTINCT u), 6) AS average FROM te")
+def _(spark, d):
+    return temporal.average_degree(src.customer_supplier_months(spark, d)).withColumn("average", F.round("average", 6))
+
+
+@query("segment_density", f"WITH {TEMPORAL}, a AS (SELECT u, t + 1 AS k, count(DISTINCT v) AS ds FROM te GROUP BY 1, 2), gr AS (SELECT u, k FROM (SELECT DISTINCT u FROM te), range(0, 81) r(k)), p AS MATERIALIZED (SELECT gr.u, gr.k, sum(coalesce(ds, 0)) OVER (PARTITION BY gr.u ORDER BY gr.k) AS s FROM gr LEFT JOIN a ON a.u = gr.u AND a.k = gr.k) SELECT x.u, round(max((y.s - x.s)::DOUBLE / (y.k - x.k)), 6) AS msd FROM p x JOIN p y ON x.u = y.u AND y.k - x.k BETWEEN 3 AND 5 GROUP BY x.u")
+def _(spark, d):
+    return temporal.segment_density(src.customer_supplier_months(spark, d), 3, 80).withColumn("msd", F.round("msd", 6))
+
+
+@query("bursting_core")
+def _(spark, d):
+    e = src.customer_supplier_months(spark, d).withColumn("v", -F.col("v"))
+    return temporal.bursting_core(temporal.both_ways(e), 3, 2, 80)
+
+
+# ---- spatial and simulation -----------------------------------------------------------------------------------------------------
+
+
+def _points(spark, d):
+    c = src.table(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 7919 % 1000).cast("double").alias("x"), (F.col("c_custkey") * 104729 % 1000).cast("double").alias("y"), F.col("c_acctbal").alias("weight"))
+
+
+_PTS = "pts AS (SELECT c_custkey AS id, (c_custkey * 7919 % 1000)::DOUBLE AS x, (c_custkey * 104729 % 1000)::DOUBLE AS y FROM customer)"
+_NEAR = f"{_PTS}, nr AS MATERIALIZED (SELECT a.id AS i, b.id AS j, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM pts a JOIN pts b ON b.x BETWEEN a.x - 60 AND a.x + 60 AND b.y BETWEEN a.y - 60 AND a.y + 60 AND a.id <> b.id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 3600)"
+
+
+@query("radius_join", f"WITH {_NEAR} SELECT i, j, d2 FROM nr")
+def _(spark, d):
+    p = _points(spark, d)
+    return spatial.within(p, p, 60)
+
+
+@query("nearest_two", f"WITH {_NEAR} SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d2, j)::INTEGER AS place FROM nr QUALIFY place <= 2")
+def _(spark, d):
+    p = _points(spark, d)
+    return spatial.nearest(spatial.within(p, p, 60))
+
+
+@query("cluster_heads")
+def _(spark, d):
+    return spatial.cluster_heads(_points(spark, d), 60)
+
+
+@query("bellman_targets", "SELECT event_id AS id, round(value + CASE WHEN event_id % 5 = 0 THEN 0 ELSE 0.9::DOUBLE * greatest(value / 2, user_id / 100.0::DOUBLE) END, 6) AS target FROM events")
+def _(spark, d):
+    e = src.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("reward"), (F.col("event_id") % 5 == 0).alias("done"), F.array(F.col("value") / 2, F.col("user_id") / 100.0).alias("q"))
+    return spatial.bellman(e, 0.9).withColumn("target", F.round("target", 6))
+
+
+@query("replay_ring", "SELECT agent, step, slot FROM (SELECT user_id AS agent, event_id AS step, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 16 AS slot, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS age FROM events) WHERE age <= 16")
+def _(spark, d):
+    e = src.table(spark, d, "events").select(F.col("user_id").alias("agent"), F.col("event_id").alias("step"))
+    return spatial.replay(e, 16).withColumn("slot", F.col("slot").cast("long"))
+
+
+@query("epsilon_schedule", "SELECT event_id AS id, round(CASE WHEN event_id <= 100 THEN 1 WHEN event_id < 1000 THEN 1 - (event_id - 100) / 900.0::DOUBLE * 0.8 WHEN event_id < 5000 THEN 0.2 - (event_id - 1000) / 4000.0::DOUBLE * 0.1 ELSE 0.1 END, 6)::DOUBLE AS epsilon FROM events")
+def _(spark, d):
+    return src.table(spark, d, "events").select(F.col("event_id").alias("id"), F.round(spatial.schedule("event_id", [(100, 1.0), (1000, 0.2), (5000, 0.1)]), 6).alias("epsilon"))
+
+
+@query("event_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _(spark, d):
+    return stream.windowed(src.table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+# ---- samplers -------------------------------------------------------------------------------------------------------------------
+
+_U = "(({k} * 2654435761 + {salt} * 40503) % 4294967296) / 4294967296.0::DOUBLE"
+
+
+@query("node_sample", f"WITH {_co(30)}, {SYM}, {DEG} SELECT id FROM d WHERE {_U.format(k='id', salt=1)} < 0.2")
+def _(spark, d):
+    return sampling.nodes(count.degrees(src.co_order(spark, d, 30)).select("id"), 0.2, 1)
+
+
+@query("edge_sample", f"WITH {_co(30)} SELECT src, dst FROM g WHERE {_U.format(k='(src * 1000003 + dst)', salt=1)} < 0.2")
+def _(spark, d):
+    return sampling.sampled_edges(src.co_order(spark, d, 30), 0.2, 1)
+
+
+@query("query_nodes", f"WITH {_co(30)} SELECT id FROM (SELECT DISTINCT src AS id FROM g) ORDER BY {_U.format(k='id', salt=0)}, id LIMIT 20")
+def _(spark, d):
+    return sampling.query_nodes(src.co_order(spark, d, 30), 20)
+
+
+@query("degree_distribution", f"WITH {_co(30)}, {SYM}, {DEG} SELECT id, round(pow(deg, 0.75) / (SELECT sum(pow(deg, 0.75)) FROM d), 8) AS prob FROM d")
+def _(spark, d):
+    return sampling.degree_distribution(src.co_order(spark, d, 30), 0.75).withColumn("prob", F.round("prob", 8))
+
+
+@query("fan_out", f"WITH {_co(30)}, {SYM}, k AS (SELECT src AS seed, dst, row_number() OVER (PARTITION BY src ORDER BY {_U.format(k='(src * 1000003 + dst)', salt=0)}, dst) AS place FROM s WHERE src % 10 = 0) SELECT seed, dst FROM k WHERE place <= 5")
+def _(spark, d):
+    g = src.co_order(spark, d, 30)
+    return sampling.fan_out(src.symmetric(g), count.degrees(g).filter("id % 10 = 0").select("id"), 5)
+
+
+_SAMPLES = f"sm AS (SELECT sample, id FROM d, range(0, 5) r(sample) WHERE {_U.format(k='(id * 31 + sample)', salt=0)} < 0.5)"
+
+
+def _saint(spark, d):
+    g = src.co_order(spark, d, 40)
+    draws = count.degrees(g).select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("sample")).withColumn("k", F.col("id") * 31 + F.col("sample"))
+    return sampling.saint_norms(g, draws.filter(spread("k") < 0.5).select("sample", "id"))
+
+
+@query("saint_edge_norm", f"WITH {_co(40)}, {SYM}, {DEG}, {_SAMPLES}, c AS (SELECT id, count(*) AS c FROM sm GROUP BY id), e AS (SELECT g.src, g.dst, count(*) AS e FROM g JOIN sm a ON a.id = g.src JOIN sm b ON b.id = g.dst AND a.sample = b.sample GROUP BY 1, 2) SELECT g.src, g.dst, round(CASE WHEN e IS NULL THEN 0.1 ELSE least(c::DOUBLE / e, 10000) END, 6)::DOUBLE AS norm FROM g LEFT JOIN e ON e.src = g.src AND e.dst = g.dst LEFT JOIN c ON c.id = g.dst")
+def _(spark, d):
+    return _saint(spark, d)[0].withColumn("norm", F.round("norm", 6))
+
+
+@query("saint_node_norm", f"WITH {_co(40)}, {SYM}, {DEG}, {_SAMPLES} SELECT id, round((SELECT count(DISTINCT sample) FROM sm)::DOUBLE / count(*) / (SELECT count(DISTINCT id) FROM sm), 8) AS norm FROM sm GROUP BY id")
+def _(spark, d):
+    return _saint(spark, d)[1].withColumn("norm", F.round("norm", 8))
+
+
+@query("minority_copies", "WITH s AS (SELECT p_size, count(*) AS n FROM part GROUP BY 1), w AS (SELECT p_size, greatest(1, ceil((SELECT max(n) FROM s) * 1.5::DOUBLE / n)) AS times FROM s) SELECT p_partkey, i::INTEGER AS copy FROM part JOIN w USING (p_size), range(1, 100) r(i) WHERE i <= times")
+def _(spark, d):
+    return sampling.oversample(src.table(spark, d, "part").select("p_partkey", "p_size"), "p_size", 1.5).select("p_partkey", "copy")
+
+
+@query("negative_edges")
+def _(spark, d):
+    g = cut(src.co_order(spark, d, 40))
+    return sampling.local_negatives(g, count.degrees(g), 2)
+
+
+@query("walk_nodes")
+def _(spark, d):
+    g = src.co_order(spark, d, 30)
+    return sampling.walk_nodes(src.symmetric(g), _first(spark, d, 50), 4)
+
+
+@query("priority_edges")
+def _(spark, d):
+    e = count.butterflies_by_edge(src.part_supplier(spark, d, 40)).select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("butterflies").alias("w"))
+    return sampling.priority_edges(e, 200)
+
+
+@query("sampled_clique_count")
+def _(spark, d):
+    return sampling.sampled_clique_count(src.co_order(spark, d, 20), 3, 0.3)
+
+
+@query("random_graph")
+def _(spark, d):
+    return sampling.random_graph(spark, 500, 0.02, 7)
+
+
+@query("label_propagation")
+def _(spark, d):
+    return sampling.label_propagation(src.co_order(spark, d, 40), 4)
+
+
+# ---- metrics --------------------------------------------------------------------------------------------------------------------
+
+_SC = "sc AS (SELECT l_orderkey AS source, l_linenumber AS id, l_extendedprice AS score, (l_returnflag = 'R')::INTEGER AS label FROM lineitem)"
+
+
+def _scores(spark, d):
+    return src.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("id"), F.col("l_extendedprice").alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+
+
+@query("hits_at_50", f"WITH {_SC}, bar AS (SELECT min(score) AS bar, count(*) AS n FROM (SELECT score FROM sc WHERE label = 0 ORDER BY score DESC LIMIT 50)) SELECT round(avg(CASE WHEN n < 50 THEN 1 WHEN score > bar THEN 1 ELSE 0 END), 6)::DOUBLE AS hits FROM sc, bar WHERE label = 1")
+def _(spark, d):
+    s = _scores(spark, d)
+    return metrics.hits_at(s.filter("label = 1"), s.filter("label = 0"), 50)
+
+
+@query("mrr", f"WITH {_SC}, p AS (SELECT a.source, a.id, 1 + sum(CASE WHEN b.score > a.score THEN 1 WHEN b.score = a.score THEN 0.5 ELSE 0 END) AS place FROM sc a LEFT JOIN sc b ON b.source = a.source AND b.label = 0 WHERE a.label = 1 GROUP BY 1, 2, a.score) SELECT round(avg(1 / place::DOUBLE), 6) AS mrr FROM p")
+def _(spark, d):
+    s = _scores(spark, d)
+    return metrics.mrr(s.filter("label = 1"), s.filter("label = 0"))
+
+
+@query("auc_ap", f"WITH {_SC}, b AS (SELECT score, sum(label)::DOUBLE AS p, sum(1 - label)::DOUBLE AS n FROM sc GROUP BY score), r AS (SELECT p, n, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(p) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp, sum(p + n) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS al FROM b) SELECT round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) AS auc, round(sum(p * tp / al) / sum(p), 6) AS ap FROM r")
+def _(spark, d):
+    return metrics.auc_ap(_scores(spark, d))
+
+
+_PRED = "pr AS (SELECT label, ((vec_id * 7 + label) % 10)::INTEGER AS pred FROM embeddings)"
+
+
+def _preds(spark, d):
+    return src.table(spark, d, "embeddings").select("label", ((F.col("vec_id") * 7 + F.col("label")) % 10).cast("int").alias("pred"))
+
+
+@query("classification_scores", f"WITH {_PRED}, l AS (SELECT DISTINCT label FROM pr UNION SELECT DISTINCT pred FROM pr), c AS (SELECT l.label, count(*) FILTER (WHERE pr.label = l.label AND pred = l.label) AS tp, count(*) FILTER (WHERE pr.label <> l.label AND pred = l.label) AS fp, count(*) FILTER (WHERE pr.label = l.label AND pred <> l.label) AS fn FROM l, pr GROUP BY l.label) SELECT round(sum(tp)::DOUBLE / sum(tp + fn), 6) AS accuracy, round(2.0::DOUBLE * sum(tp) / sum(2 * tp + fp + fn), 6) AS micro_f1, round(avg(CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END), 6) AS macro_f1, round(avg(CASE WHEN tp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END), 6) AS macro_precision FROM c")
+def _(spark, d):
+    return metrics.classification(_preds(spark, d))
+
+
+@query("cluster_scores", f"WITH {_PRED}, t AS (SELECT count(*)::DOUBLE AS t FROM pr), c AS (SELECT label, pred, count(*)::DOUBLE AS n FROM pr GROUP BY 1, 2), a AS (SELECT label, count(*)::DOUBLE AS a FROM pr GROUP BY 1), b AS (SELECT pred, count(*)::DOUBLE AS b FROM pr GROUP BY 1), m AS (SELECT sum(n / t * ln(n * t / (a * b))) AS mi, sum(n * (n - 1) / 2) AS pairs FROM c JOIN a USING (label) JOIN b USING (pred), t), ha AS (SELECT sum(-a / t * ln(a / t)) AS h, sum(a * (a - 1) / 2) AS s FROM a, t), hb AS (SELECT sum(-b / t * ln(b / t)) AS h, sum(b * (b - 1) / 2) AS s FROM b, t) SELECT round(2 * mi / (ha.h + hb.h), 6) AS nmi, round((pairs - ha.s * hb.s / (t * (t - 1) / 2)) / ((ha.s + hb.s) / 2 - ha.s * hb.s / (t * (t - 1) / 2)), 6) AS ari FROM m, ha, hb, t")
+def _(spark, d):
+    return metrics.clustering(_preds(spark, d))
+
+
+@query("pair_losses", "WITH p AS (SELECT l_discount * 10 AS pos, l_tax * 10 AS neg, l_quantity / 50 AS w FROM lineitem) SELECT round(avg(pow(1 - (pos - neg), 2)), 6) AS auc, round(avg(pow(greatest(0, 1 - (pos - neg)), 2)), 6) AS hinge_auc, round(avg(w * pow(1 - (pos - neg), 2)), 6) AS weighted_auc, round(avg(greatest(0, 1 - (pos - neg))), 6) AS hinge, round(avg(w * pow(greatest(0, 1 - (pos - neg)), 2)), 6) AS weighted_hinge, round(avg(-ln(1 / (1 + exp(-(pos - neg))) + 1e-15)), 6) AS log_rank, round(avg(ln(1 + exp(-pos)) + ln(1 + exp(neg))), 6) AS cross_entropy, round(avg(w * greatest(0, 1 - (pos - neg))), 6) AS adaptive, round(avg(-ln(exp(pos) / (exp(pos) + exp(neg)))), 6) AS info_nce FROM p")
+def _(spark, d):
+    p = src.table(spark, d, "lineitem").select((F.col("l_discount") * 10).alias("pos"), (F.col("l_tax") * 10).alias("neg"), (F.col("l_quantity") / 50).alias("weight"))
+    return metrics.losses(p)
+
+
+@query("best_epochs", "WITH r AS (SELECT l_suppkey % 20 AS run, l_orderkey * 10 + l_linenumber AS epoch, l_discount AS valid, l_tax AS test FROM lineitem), b AS (SELECT run, arg_max(test, (valid, epoch)) AS test, max(valid) AS valid FROM r GROUP BY run) SELECT round(avg(test), 6) AS test_mean, round(stddev_samp(test), 6) AS test_std, round(avg(valid), 6) AS valid_mean FROM b")
+def _(spark, d):
+    r = src.table(spark, d, "lineitem").select((F.col("l_suppkey") % 20).alias("run"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("epoch"), F.col("l_discount").alias("valid"), F.col("l_tax").alias("test"))
+    return metrics.best_epochs(r)
+
+
+# ---- enumeration (checked by brute force in the tests) ---------------------------------------------------------------------------
+
+
+@query("maximal_cliques")
+def _(spark, d):
+    return enum.maximal_cliques(src.co_order(spark, d, 30), 4)
+
+
+@query("fair_cliques")
+def _(spark, d):
+    g = src.co_order(spark, d, 30)
+    return enum.fair_cliques(g, count.degrees(g).select("id", (F.col("id") % 2).cast("int").alias("attr")), 2)
+
+
+@query("relative_fair_cliques")
+def _(spark, d):
+    g = src.co_order(spark, d, 30)
+    return enum.fair_cliques(g, count.degrees(g).select("id", (F.col("id") % 2).cast("int").alias("attr")), 1, 1)
+
+
+@query("uncertain_cliques")
+def _(spark, d):
+    g = src.co_order(spark, d, 30).withColumn("p", F.lit(0.9) + F.pmod(F.col("src") + F.col("dst"), F.lit(10)) / 100.0)
+    return enum.uncertain_cliques(g, 3, 0.7)
+
+
+@query("defective_cliques")
+def _(spark, d):
+    return enum.defective_cliques(src.co_order(spark, d, 40), 1, 4)
+
+
+@query("maximal_bicliques")
+def _(spark, d):
+    return enum.maximal_bicliques(src.part_supplier(spark, d, 48), 2, 2)
+
+
+@query("maximal_biplexes")
+def _(spark, d):
+    return enum.maximal_biplexes(src.part_supplier(spark, d, 49), 1, 3, 3)
+
+
+@query("densest_peeling")
+def _(spark, d):
+    return enum.densest_by_peeling(src.part_supplier(spark, d, 48), share=0.5)
