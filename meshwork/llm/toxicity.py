@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 from .util import Scratch, slices
 
 TRAIN_ROWS, FEATURES, FOLDS, CUTOFF = 12_000, 200, 5, 0.5
-MEMO_WORDS = 200_000
+#: Words that a worker's memo holds: with all features, and with the chosen ones only.
+MEMO_WORDS, MEMO_CHOSEN = 50_000, 200_000
+#: Features that a task counts before it passes on what it has.
+COUNTED = 60_000
 #: Category: its label as an expression over the columns of labels.
 CHAIN = {"low_quality": "1 - quality", "toxic": "toxic", "toxic_low_quality": "toxic * (1 - quality)"}
 #: The category whose probability decides.
@@ -46,7 +49,7 @@ class Features:
         words = set(WORD(text.lower()))
         memo, chosen = self.memo, self.chosen
         miss = words.difference(memo)
-        if len(memo) + len(miss) > MEMO_WORDS:
+        if len(memo) + len(miss) > (MEMO_WORDS if chosen is None else MEMO_CHOSEN):
             memo.clear()
             miss = words
         for w in miss:
@@ -136,10 +139,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, scratch: S
                         for k in range(len(names)):
                             if y[k][i] is not None:
                                 c[2 * k + (y[k][i] > 0)] += 1
-        keep = list(seen.items())
-        for at in range(0, len(keep), 50_000):
-            part = keep[at : at + 50_000]
-            yield pa.record_batch([pa.array([f for f, _ in part], pa.int64()), *(pa.array([c[j] for _, c in part], pa.int64()) for j in range(2 * len(names)))], names=["feature", *(f"n{j}" for j in range(2 * len(names)))])
+                if len(seen) > COUNTED:
+                    yield told(seen)
+                    seen = {}
+        yield told(seen)
+
+    def told(seen):
+        return pa.record_batch([pa.array(list(seen), pa.int64()), *(pa.array([c[j] for c in seen.values()], pa.int64()) for j in range(2 * len(names)))], names=["feature", *(f"n{j}" for j in range(2 * len(names)))])
 
     schema = "feature long, " + ", ".join(f"n{j} long" for j in range(2 * len(names)))
     counts = found.mapInArrow(count, schema).groupBy("feature").agg(*(F.sum(f"n{j}").alias(f"n{j}") for j in range(2 * len(names))))
