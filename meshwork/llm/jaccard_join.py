@@ -31,7 +31,7 @@ SHINGLE, THRESHOLD, HASHES, ROWS, STEP, TOLERANCE = 5, 0.8, 128, 4, 16, 1e-9
 BANDS = HASHES // ROWS
 #: Classes, and bytes of their texts, in one block of a bucket, about.
 BLOCK, BLOCK_BYTES = 400, 4 << 20
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 WORD = re.compile(r"\w+").findall
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 2**64, HASHES // 2, np.uint64) | np.uint64(1 << 32 | 1)
