@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions.hashing import spread
-from .operators import core, count, enumerate as enum, matrix, metrics, ppr, resistance, sampling, spatial, temporal
+from .operators import community, core, count, enumerate as enum, matrix, metrics, ppr, resistance, sampling, spatial, temporal
 from .plans.store import cut
 from .sources import tables as src
 from .streaming import events as stream
@@ -679,6 +679,43 @@ def _(spark, d):
     return metrics.best_epochs(r)
 
 
+# ---- communities and features ---------------------------------------------------------------------------------------------------
+
+
+@query("bfs_ball", _rounds(_co(40) + f", {SYM}, {DEG}, r0 AS MATERIALIZED (SELECT id, 0::BIGINT AS dist FROM (SELECT id FROM d ORDER BY deg DESC, id LIMIT 1))", _bfs, 3, "SELECT (SELECT id FROM r0) AS seed, id, row_number() OVER (ORDER BY dist, id)::INTEGER AS place FROM {r} QUALIFY place <= 40"))
+def _(spark, d):
+    g = src.co_order(spark, d, 40)
+    return community.ball(g, resistance.landmark(g), 40)
+
+
+@query("edge_splits", f"WITH {_co(30)}, k AS (SELECT src, dst, {_U.format(k='(src * 1000003 + dst)', salt=0)} AS x FROM g) SELECT src, dst, CASE WHEN x < 0.1 THEN 'test' WHEN x < 0.15 THEN 'valid' ELSE 'train' END AS split FROM k")
+def _(spark, d):
+    return community.split_edges(src.co_order(spark, d, 30))
+
+
+@query("distance_features", _rounds(_co(40) + f", {SYM}, {DEG}, r0 AS MATERIALIZED (SELECT id, 0::BIGINT AS dist FROM (SELECT id FROM d ORDER BY deg DESC, id LIMIT 1))", _bfs, 5, "SELECT g.src, g.dst, (SELECT id FROM r0) AS landmark, (coalesce(a.dist, 0) + coalesce(b.dist, 0))::DOUBLE / 2 AS spd FROM g LEFT JOIN {r} a ON a.id = g.src LEFT JOIN {r} b ON b.id = g.dst"))
+def _(spark, d):
+    g = src.co_order(spark, d, 40)
+    return community.distance_features(g, resistance.landmark(g))
+
+
+@query("neighbour_mean_layer", f"WITH {_KNN}, s AS (SELECT src, dst FROM kn UNION ALL SELECT dst, src FROM kn), x AS (SELECT vec_id AS id, i - 1 AS dim, embedding[i]::DOUBLE AS val FROM embeddings, range(1, 5) r(i)), m AS (SELECT s.src AS id, x.dim, avg(x.val) AS m FROM s JOIN x ON x.id = s.dst GROUP BY 1, 2) SELECT x.id, x.dim::INTEGER AS dim, round(x.val * 0.5 + coalesce(m.m, 0) * 0.5, 6) AS val FROM x LEFT JOIN m ON m.id = x.id AND m.dim = x.dim")
+def _(spark, d):
+    x = matrix.exploded(src.table(spark, d, "embeddings").withColumn("embedding", F.slice("embedding", 1, 4)))
+    return community.sage_mean(_label_edges(spark, d), x).withColumn("val", F.round("val", 6))
+
+
+@query("class_weights", "WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), w AS (SELECT label, 1 / greatest(0.02, least(1, n::DOUBLE / (SELECT max(n) FROM c))) AS w FROM c) SELECT label, round(w / (SELECT avg(w) FROM w), 6) AS weight FROM w")
+def _(spark, d):
+    return community.class_weights(src.table(spark, d, "embeddings"), "label").withColumn("weight", F.round("weight", 6))
+
+
+@query("coarse_graph", f"WITH {_co(30)} SELECT least(src % 50, dst % 50) AS src, greatest(src % 50, dst % 50) AS dst, count(*)::BIGINT AS w FROM g WHERE src % 50 <> dst % 50 GROUP BY 1, 2")
+def _(spark, d):
+    g = src.co_order(spark, d, 30)
+    return sampling.coarsen(g, count.degrees(g).select("id", (F.col("id") % 50).alias("part")))
+
+
 # ---- enumeration (checked by brute force in the tests) ---------------------------------------------------------------------------
 
 
