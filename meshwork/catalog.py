@@ -614,6 +614,25 @@ def _(spark, d):
     return sampling.sampled_clique_count(src.co_order(spark, d, 20), 3, 0.3)
 
 
+_ARCS = "o AS MATERIALIZED (SELECT CASE WHEN (x.deg, x.id) < (y.deg, y.id) THEN src ELSE dst END AS a, CASE WHEN (x.deg, x.id) < (y.deg, y.id) THEN dst ELSE src END AS b FROM g JOIN d x ON x.id = src JOIN d y ON y.id = dst)"
+
+
+@query("path_weights", f"WITH {_co(20)}, {SYM}, {DEG}, {_ARCS}, w2 AS (SELECT a, count(*) AS n FROM o GROUP BY a), w3 AS (SELECT o.a, sum(n) AS n FROM o JOIN w2 ON w2.a = o.b GROUP BY o.a), w4 AS (SELECT o.a, sum(n) AS n FROM o JOIN w3 ON w3.a = o.b GROUP BY o.a) SELECT a AS id, n::BIGINT AS paths FROM w4")
+def _(spark, d):
+    found = sampling.path_weights(cut(count.oriented(src.co_order(spark, d, 20))), 4)
+    return found.filter(F.col("left") == 4).select("id", F.col("paths").cast("long").alias("paths"))
+
+
+@query("path_clique_estimate")
+def _(spark, d):
+    return sampling.path_clique_count(count.oriented(src.co_order(spark, d, 20)), 3, 20_000)
+
+
+@query("colour_path_clique_estimate")
+def _(spark, d):
+    return sampling.path_clique_count(sampling.ordered_by_colour(src.co_order(spark, d, 30)), 3, 20_000)
+
+
 @query("random_graph")
 def _(spark, d):
     return sampling.random_graph(spark, 500, 0.02, 7)

@@ -5,7 +5,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import spread, uniform
+from ..plans.store import cut
 from ..sources.tables import symmetric
+from .core import colouring
 from .count import cliques_by_vertex, degrees
 
 
@@ -102,6 +104,52 @@ def sampled_clique_count(edges: DataFrame, k: int, share: float, salt: int = 0)
     return nodes(found, share, salt).agg((F.coalesce(F.sum("cliques"), F.lit(0)) / (share * k)).alias("cliques"))
 
 
+def ordered_by_colour(edges: DataFrame) -> DataFrame:
+    """src, dst of each edge from its end of lesser colour to the other, so the vertices of a path all differ in colour."""
+    colours = colouring(edges)
+    ends = edges.join(colours.withColumnsRenamed({"id": "src", "colour": "a"}), "src").join(colours.withColumnsRenamed({"id": "dst", "colour": "b"}), "dst")
+    up = F.col("a") < F.col("b")
+    return ends.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("dst"))
+
+
+def path_weights(arcs: DataFrame, k: int) -> DataFrame:
+    """id, left, paths: the number of paths of left vertices (1 to k) along the arcs of an acyclic orientation that begin at id; those without any are left out."""
+    now = arcs.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.lit(1.0).alias("paths"))
+    every = now.withColumn("left", F.lit(1))
+    for left in range(2, k + 1):
+        now = cut(arcs.join(now.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("paths").alias("paths")))
+        every = every.unionByName(now.withColumn("left", F.lit(left)))
+    return every.select("id", "left", "paths")
+
+
+def path_clique_count(arcs: DataFrame, k: int, samples: int, salt: int = 0) -> DataFrame:
+    """draws, hits, paths, cliques: an unbiased estimate of the k-cliques from about so many paths of k vertices, each path equally likely.
+
+    A clique is one path of an acyclic orientation.  A vertex gets its share of the draws (rounded by a hash, so no global order of the
+    vertices is needed), each step goes to a neighbour in proportion to the paths that it begins, and a draw ends at the first vertex
+    that is not joined to all before it.
+    """
+    arcs = cut(arcs.select("src", "dst"))
+    weights = cut(path_weights(arcs, k))
+    total = weights.filter(F.col("left") == k).agg(F.coalesce(F.sum("paths"), F.lit(0.0))).first()[0]
+    share = F.col("paths") * (samples / total if total else 0.0)
+    begun = weights.filter(F.col("left") == k).select("id", F.floor(share + uniform("id", salt)).cast("int").alias("n")).filter("n > 0")
+    now = begun.select(F.col("id").alias("v1"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("draw"))
+    now = cut(now.withColumn("draw", F.xxhash64("v1", "draw")))
+    draws = now.count()
+    for i in range(2, k + 1):
+        ahead = weights.filter(F.col("left") == k - i + 1).select(F.col("id").alias("dst"), "paths")
+        steps = now.join(arcs.join(ahead, "dst"), F.col(f"v{i - 1}") == F.col("src")).drop("src")
+        steps = steps.withColumn("_k", F.xxhash64("draw", "dst", F.lit(i)))
+        clock = -F.ln(uniform("_k", salt) + 1e-300) / F.col("paths")
+        kept = [f"v{j}" for j in range(1, i)]
+        now = steps.groupBy("draw", *kept).agg(F.min_by("dst", F.struct(clock.alias("clock"), F.col("dst").alias("d"))).alias(f"v{i}"))
+        for j in range(1, i - 1):
+            now = now.join(arcs.select(F.col("src").alias(f"v{j}"), F.col("dst").alias(f"v{i}")), [f"v{j}", f"v{i}"], "left_semi")
+    hits = F.count("*").cast("long")
+    return now.agg(F.lit(draws).cast("long").alias("draws"), hits.alias("hits"), F.lit(float(total)).alias("paths"), (hits * (total / samples)).alias("cliques"))
+
+
 def priority_edges(weighted: DataFrame, n: int, salt: int = 0) -> DataFrame:
     """src, dst, w, prob of the n edges with the highest w / u; prob = min(1, w / z) for the (n + 1)-th priority z, so sums of w / prob are unbiased."""
     key = weighted.withColumn("_k", F.col("src") * 1_000_003 + F.col("dst")).withColumn("priority", F.col("w") / (spread("_k", salt) + 1e-12)).drop("_k")

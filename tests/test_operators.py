@@ -231,6 +231,19 @@ def test_samplers_repeat(spark):
     assert abs(table[-1].high - 1) < 1e-9 and all(abs(a.high - b.low) < 1e-9 for a, b in zip(table, table[1:], strict=False))
 
 
+def test_clique_estimates_by_paths(spark):
+    g = edges(spark, graph(3, 24, 0.5))
+    for arcs, k in ((count.oriented(g), 4), (sampling.ordered_by_colour(g), 3)):
+        want = count.clique_count(g, k).first()[0]
+        got = sampling.path_clique_count(arcs, k, 4000).first()
+        assert abs(got.cliques - want) < 0.15 * want
+        assert got.hits <= got.draws and abs(got.draws - 4000) <= 24
+    whole = sampling.path_clique_count(edges(spark, complete(5)), 3, 200).first()
+    assert whole.paths == 10 and whole.draws == whole.hits and abs(whole.cliques - 10) < 0.5
+    none = sampling.path_clique_count(edges(spark, [(1, 2)]), 3, 100).first()
+    assert (none.draws, none.hits, none.paths, none.cliques) == (0, 0, 0.0, 0.0)
+
+
 def test_cluster_heads_in_turn(spark):
     rng = np.random.default_rng(2)
     pts = [(i, float(rng.uniform(0, 10)), float(rng.uniform(0, 10)), float(rng.integers(0, 5))) for i in range(60)]
