@@ -187,14 +187,17 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, class_id (of equal sets), group_id (of linked classes), n_links (other rows at the threshold or above) of each row."""
+    """doc_id, class_id (of equal sets), group_id (of linked classes), n_links (other rows at the threshold or above), text_hash and kept of each row.
+
+    kept: the row has the least (doc_id, text_hash) of its group, a null doc_id coming last.
+    """
     scratch = scratch or Scratch(docs.sparkSession, "jaccard")
     big = F.lit(2**63 - 1)  # a null doc_id comes last
     rows = slim(docs).withColumn("doc_id", F.coalesce("doc_id", big)).withColumn("th", F.xxhash64("text"))
     sketched = scratch.write(sketch(rows), "sketch")
     first = F.min_by(F.struct("doc_id", "th", "size", "keys"), F.struct("doc_id", "th")).alias("first")
     classes = scratch.write(sketched.groupBy("c").agg(F.count("*").alias("n"), first).select("c", "n", F.col("first.doc_id").alias("class_id"), "first.th", "first.size", "first.keys"), "classes")
-    named = scratch.write(sketched.select("doc_id", "c").join(classes.select("c", "class_id", "n"), "c"), "named")
+    named = scratch.write(sketched.select("doc_id", "th", "c").join(classes.select("c", "class_id", "n", F.col("th").alias("class_th")), "c"), "named")
     scratch.drop("sketch")
 
     banded = classes.filter("keys IS NOT NULL").select("c", "n", "class_id", "th", "size", F.explode("keys").alias("key"))
@@ -222,23 +225,26 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, scratch: Scra
 
     found = scratch.write(cells.groupBy("key", "lo", "hi").applyInPandas(run, "a binary, b binary, links long").filter("links > 0"), "found")
     tied = components(found.select("a", "b"), scratch).withColumnsRenamed({"id": "c", "root": "group"})
-    tied = tied.join(classes.select("c", "class_id"), "c")
-    group = tied.groupBy("group").agg(F.min("class_id").alias("group_id"))
+    tied = tied.join(classes.select("c", F.struct("class_id", "th").alias("first")), "c")
+    group = tied.groupBy("group").agg(F.min("first").alias("first"))
     links = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "c")
-    known = scratch.small(tied.join(group, "group").join(links, "c").select("c", "group_id", "links"), "known")
+    known = scratch.small(tied.drop("first").join(group, "group").join(links, "c").select("c", F.col("first.class_id").alias("group_id"), F.col("first.th").alias("group_th"), "links"), "known")
     out = named.join(known, "c", "left")
     own = lambda x: F.when(x != big, x)
-    return out.select(own(F.col("doc_id")).alias("doc_id"), own(F.col("class_id")).alias("class_id"), own(F.coalesce("group_id", "class_id")).alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    kept = (F.col("doc_id") == F.coalesce("group_id", "class_id")) & (F.col("th") == F.coalesce("group_th", "class_th"))
+    return out.select(own(F.col("doc_id")).alias("doc_id"), own(F.col("class_id")).alias("class_id"), own(F.coalesce("group_id", "class_id")).alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("th").alias("text_hash"), kept.alias("kept"))
 
 
 def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of docs (all columns) whose doc_id is the least of its group of near duplicates; of rows that repeat it, those of the same text."""
+    """The rows of docs (all columns) that stand for their group of near duplicates: of rows that repeat a doc_id, each text is judged by itself; rows equal in both stay together."""
+    last = F.lit(2**63 - 1)
     found = near_duplicates(docs, threshold, scratch)
-    gone = found.filter("NOT (doc_id <=> group_id)").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = found.filter("NOT kept").select(F.coalesce("doc_id", last).alias("did"), F.col("text_hash").alias("th")).distinct()
+    row = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), last).alias("did"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"))
+    return row.join(gone, ["did", "th"], "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .util import table
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "group_id", "n_links")

@@ -298,6 +298,14 @@ def test_near_duplicates(spark, docs, odd, empty):
     assert out.columns == odd.columns
 
 
+def test_one_of_each_group_judges_each_text_of_a_repeated_id(spark):
+    one, other, third = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, one), (5, one), (5, other), (6, other + " tail"), (7, third), (7, third), (None, one), (None, "alone with its words"), (8, None), (9, "")]
+    df = spark.createDataFrame([(d, t, "x", i, "k", "h") for i, (d, t) in enumerate(rows)], SCHEMA)
+    left = [(r.doc_id, r.text) for r in jaccard_join.one_of_each_group(df).collect()]
+    assert sorted(left, key=str) == sorted([(3, one), (5, other), (7, third), (7, third), (None, "alone with its words"), (8, None)], key=str)
+
+
 def brute_leaks(rows, items):
     cut = lambda t: [w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.lower()) if w]
     found = set()
