@@ -24,8 +24,6 @@ from .util import Scratch, slices, slim
 
 WINDOW, END_ID, SHARD_TOKENS = 2048, 1, 1_000_000
 K1, B = 1.2, 0.75
-#: Terms of a seed that are looked up: its rarest ids.
-QUERY_TERMS = 32
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -69,7 +67,7 @@ class Index:
             tokens.append(t)
             owners.append(np.full(len(t), i, np.int32))
             weights.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean)))
-            self.terms.append(t[np.argsort(-idf[t], kind="stable")[:QUERY_TERMS]])
+            self.terms.append(t)
         flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint16)
         order = np.argsort(flat, kind="stable")
         self.owners = np.concatenate(owners)[order] if owners else np.zeros(0, np.int32)

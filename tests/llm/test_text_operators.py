@@ -157,6 +157,18 @@ def test_packing_takes_the_best_neighbour():
         assert np.allclose(index.scores(q), [bm25(q, d) for d in range(4)])
 
 
+def test_packing_scores_with_every_id_of_the_seed():
+    rng = np.random.default_rng(2)
+    # each document has 40 rare ids of its own and hundreds of common ones
+    docs = [np.concatenate([np.arange(1000 + 40 * d, 1040 + 40 * d), rng.choice(600, 300, replace=False)]).astype(np.uint16) for d in range(30)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16)
+    idf, sets = np.log1p((30 - df + 0.5) / (df + 0.5)), [set(d.tolist()) for d in docs]
+    index = packing.Index(docs, idf, 340.0)
+    for q in range(30):
+        want = np.array([sum(idf[t] * 2.2 / 2.2 for t in sets[q] & sets[d]) for d in range(30)])
+        assert np.allclose(index.scores(q), want) and len(set(want.round(9))) > 20
+
+
 def test_token_counts(docs, odd, empty):
     pieces = token_counts.pieces_of(vocabulary("word_bpe_49k.json"))
     longest = max(map(len, pieces))
