@@ -1,7 +1,7 @@
 """Licence scans by ordered signature rules (DataFrame functions only; no shuffle).
 
 A text becomes its words (runs of letters, digits and non-ASCII characters, A-Z lower-cased), joined by single blanks.  Rules are regular
-expressions over that string, each behind a keyword that the text must contain; a text that has no general licence word is not looked at further.
+expressions over that string, each behind keywords of which the text must contain one; a text that has no general licence word is not looked at further.
 Overlapping detections are resolved in one sweep in order of (start, longest first, priority): one that lies inside an earlier one is
 suppressed; of two that overlap partly the one of better priority stays, of equal priority both.
 
@@ -17,18 +17,18 @@ from pyspark.sql import functions as F
 from .util import ascii_lower, slim
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A text without any of these is not scanned by the rules.
-GATE = r"licen[cs]|copyright|copyleft| spdx | public domain | creative commons | cc0 | cc by | gpl| lgpl| agpl| rights reserved | warrant| eula |unlicense|wtfpl"
+#: A text without any of these is not scanned by the rules; every match of a rule, with the blank before it, has one.
+GATE = r"licen[cs]|copyright|copyleft| spdx | public domain | creative commons | cc0 | cc by | gpl| lgpl| agpl| mpl| openrail| rights reserved | warrant| eula |unlicense|wtfpl| permission is hereby granted | permission to use copy | redistribution and use in source | proprietary and confidential | confidential and proprietary | copying file "
 BASE = r"(?<= )(?:mit|apache)(?= license )|(?<= )general(?= public license )"
 LICENSE = "(?:software |open source |public )?licen[cs]e"
-#: label: keyword, the name as a regular expression over words, versions.
+#: label: keywords (every match of the name has one of them), the name as a regular expression over words, versions.
 FAMILIES = {
-    "mit": ("mit", f"(?:the )?(?:mit|expat|mit x11|x11 mit) {LICENSE}", ""),
+    "mit": ("mit|expat", f"(?:the )?(?:mit|expat|mit x11|x11 mit) {LICENSE}", ""),
     "mit-0": ("mit", f"(?:the )?mit (?:no attribution|0) {LICENSE}", ""),
     "apache": ("apache", f"(?:the )?apache (?:software foundation )?{LICENSE}", "1 0|1 1|2 0|2"),
     "gpl": ("general", "(?:the )?(?:gnu )?general public licen[cs]e", "1|1 0|2|2 0|3|3 0"),
     "gpl-short": ("gpl", "(?:the )?(?:gnu )?gpl(?: licen[cs]e)?", "1|2|2 0|3|3 0"),
-    "lgpl": ("lesser", "(?:the )?(?:gnu )?(?:lesser|library) general public licen[cs]e", "2|2 0|2 1|3|3 0"),
+    "lgpl": ("lesser|library", "(?:the )?(?:gnu )?(?:lesser|library) general public licen[cs]e", "2|2 0|2 1|3|3 0"),
     "lgpl-short": ("lgpl", "(?:the )?(?:gnu )?lgpl(?: licen[cs]e)?", "2|2 0|2 1|3|3 0"),
     "agpl": ("affero", "(?:the )?(?:gnu )?affero general public licen[cs]e", "1|1 0|3|3 0"),
     "agpl-short": ("agpl", "(?:the )?(?:gnu )?agpl(?: licen[cs]e)?", "1|3|3 0"),
@@ -36,7 +36,7 @@ FAMILIES = {
     "bsd-2-clause": ("bsd", f"(?:the )?(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd|freebsd) {LICENSE}", ""),
     "bsd-3-clause": ("bsd", f"(?:the )?(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd) {LICENSE}", ""),
     "bsd-4-clause": ("bsd", f"(?:the )?(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd) {LICENSE}", ""),
-    "0bsd": ("bsd", f"(?:the )?(?:bsd zero clause|zero clause bsd|0bsd|free public) {LICENSE}", ""),
+    "0bsd": ("bsd|free public", f"(?:the )?(?:bsd zero clause|zero clause bsd|0bsd|free public) {LICENSE}", ""),
     "bsd": ("bsd", f"(?:the )?bsd(?: style)? {LICENSE}", ""),
     "isc": ("isc", f"(?:the )?isc {LICENSE}", ""),
     "mpl": ("mozilla", "(?:the )?mozilla public licen[cs]e", "1 0|1 1|2 0"),
@@ -49,7 +49,7 @@ FAMILIES = {
     "artistic": ("artistic", f"(?:the )?(?:clarified )?artistic {LICENSE}", "1 0|2 0"),
     "zlib": ("zlib", f"(?:the )?zlib(?: libpng)? {LICENSE}", ""),
     "boost": ("boost", f"(?:the )?boost {LICENSE}", "1 0"),
-    "python": ("python", f"(?:the )?(?:python software foundation|psf|python) {LICENSE}", "2|2 0"),
+    "python": ("python|psf", f"(?:the )?(?:python software foundation|psf|python) {LICENSE}", "2|2 0"),
     "ofl": ("open", "(?:the )?(?:sil )?open font licen[cs]e", "1 0|1 1"),
     "odbl": ("database", "(?:the )?open (?:data commons )?(?:open )?database licen[cs]e", "1 0"),
     "odc-by": ("attribution", "(?:the )?open data commons attribution licen[cs]e", "1 0"),
@@ -89,7 +89,7 @@ FAMILIES = {
     "cc-by-nc-sa-short": ("cc", "(?:the )?cc by nc sa(?: licen[cs]e)?", "2 0|2 5|3 0|4 0"),
     "cc-by-nc-nd-short": ("cc", "(?:the )?cc by nc nd(?: licen[cs]e)?", "2 0|2 5|3 0|4 0"),
 }
-#: Rules that no family covers: label, keyword, expression, priority, confidence.
+#: Rules that no family covers: label, keywords, expression, priority, confidence.
 SINGLE = [
     ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 1, 0.95),
     ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose", 1, 0.95),
@@ -103,14 +103,14 @@ SINGLE = [
     ("copyright", "copyright", "copyright(?: c)? (?:19|20)[0-9][0-9]", 5, 0.3),
     ("no-warranty", "warranty", "(?:without|no) warranty(?: of any kind)?", 6, 0.2),
     ("no-warranty", "warranties", "without warranties or conditions of any kind", 6, 0.2),
-    ("unknown", "licensed", "(?:licensed|released|distributed|published|made available) under (?:the )?(?:terms of )?(?:an?|the|its|this) (?:open |free |same )?licen[cs]e", 7, 0.2),
-    ("unknown", "license", "(?:see|read) (?:the )?(?:license|licence|copying) file", 7, 0.2),
+    ("unknown", "under", "(?:licensed|released|distributed|published|made available) under (?:the )?(?:terms of )?(?:an?|the|its|this) (?:open |free |same )?licen[cs]e", 7, 0.2),
+    ("unknown", "license|licence|copying", "(?:see|read) (?:the )?(?:license|licence|copying) file", 7, 0.2),
 ]
 UNDER = "(?:licen[cs]ed|released|distributed|published|available|provided|covered|work is licensed)(?: to you)? under (?:the )?(?:terms (?:and conditions )?of )?"
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, expression, priority, confidence), the best first; about five for each family."""
+    """(label, keywords, expression, priority, confidence), the best first; about five for each family."""
     out = list(SINGLE)
     for name, (keyword, expression, versions) in FAMILIES.items():
         label = name.removesuffix("-short")
@@ -146,9 +146,9 @@ _HIT = "struct<start:int,end:int,priority:int,label:string,confidence:double>"
 
 
 def _detections(padded):
-    """All matches of all rules whose keyword the text contains, in the order of the sweep."""
-    table = F.array(*(F.struct(F.lit(k).alias("keyword"), F.lit(f"(?<= ){e}(?= )").alias("expression"), F.lit(p).alias("priority"), F.lit(n).alias("label"), F.lit(float(c)).alias("confidence")) for n, k, e, p, c in rules()))
-    asked = F.filter(table, lambda r: F.contains(padded, r["keyword"]))
+    """All matches of all rules of whose keywords the text contains one, in the order of the sweep."""
+    table = F.array(*(F.struct(F.array(*map(F.lit, k.split("|"))).alias("keywords"), F.lit(f"(?<= ){e}(?= )").alias("expression"), F.lit(p).alias("priority"), F.lit(n).alias("label"), F.lit(float(c)).alias("confidence")) for n, k, e, p, c in rules()))
+    asked = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(padded, k)))
     one = lambda r: F.transform(places(padded, r["expression"]), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("neg"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence")))
     ordered = F.array_sort(F.flatten(F.transform(asked, one)))
     return F.transform(ordered, lambda x: F.struct(x["start"].alias("start"), (-x["neg"]).alias("end"), x["priority"].alias("priority"), x["label"].alias("label"), x["confidence"].alias("confidence")))

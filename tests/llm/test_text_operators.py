@@ -406,6 +406,45 @@ def test_license_rules(spark):
     assert len(licenses.rules()) > 200
 
 
+def spelled(tree):
+    """All strings of a parsed expression without open repeats."""
+    out = [""]
+    for op, x in tree:
+        op = str(op)
+        if op == "LITERAL":
+            each = [chr(x)]
+        elif op == "IN":
+            each = [chr(c) for o, v in x for c in ([v] if str(o) == "LITERAL" else range(v[0], v[1] + 1))]
+            each = each if len(each) < 4 else each[:1]
+        elif op == "SUBPATTERN":
+            each = spelled(x[3])
+        elif op == "BRANCH":
+            each = [s for b in x[1] for s in spelled(b)]
+        else:
+            assert op == "MAX_REPEAT" and x[0] in (0, 1), op
+            each = ([""] if x[0] == 0 else []) + spelled(x[2])
+        out = [a + b for a in out for b in each]
+    return out
+
+
+def test_license_prefilters_drop_no_match(spark):
+    from re import _parser
+
+    names = [(label, k, e) for label, k, e, _, _ in licenses.SINGLE] + [(n.removesuffix("-short"), k, e) for n, (k, e, _) in licenses.FAMILIES.items()]
+    texts = []
+    for label, keywords, expression in names:
+        for s in spelled(_parser.parse(expression)):
+            assert re.search(licenses.GATE, f" {s} ") and any(k in s for k in keywords.split("|")), (label, s)
+            texts.append((label, s))
+    texts = sorted(set(texts))
+    texts += [("mpl", "released under mpl 2 0"), ("openrail", "distributed under the openrail m"), ("mit", "expat licence")]
+    df = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(texts)], "doc_id long, text string").repartition(16)
+    for r in licenses.scan_licenses(df).collect():
+        # a longer or better rule may stand for it, but the match alone is never without a detection that covers it
+        label, s = texts[r.doc_id]
+        assert r.detections and max(x.end for x in r.detections) == len(s.split()), (label, s, r.detections)
+
+
 def test_license_sweep_against_brute_force(spark):
     rng = random.Random(8)
     for _ in range(5):
