@@ -141,8 +141,8 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def cell_links(band: int, keys: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links, root) of each class of a cell.  side: 0 if the cell is one block, else 0 or 1 for its two blocks."""
+def cell_links(band: int, keys: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links, root) of each class of a cell.  side: None if the cell is one block, else 0 or 1 for its two blocks, of which one may be empty."""
     k = len(sets)
     least, links, parent = least_matches(threshold), np.zeros(k, np.int64), list(range(k))
 
@@ -152,11 +152,11 @@ def cell_links(band: int, keys: np.ndarray, sig: np.ndarray, sets: list[np.ndarr
             x = parent[x]
         return x
 
-    left, right = (np.arange(k), np.arange(k)) if not side.any() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    left, right = (np.arange(k), np.arange(k)) if side is None else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     for at in range(0, len(left), 256):
         part = left[at : at + 256]
         a, b = (x.ravel() for x in np.meshgrid(part, right, indexing="ij"))
-        if not side.any():
+        if side is None:
             a, b = a[a < b], b[a < b]
         for i in range(band):
             fresh = keys[a, i] != keys[b, i]
@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, scratch: Scra
         sets = [shingles(t) for t in pdf["text"]]
         sig = np.array([signature(s) for s in sets])
         keys = np.array([band_keys(s) for s in sig])
-        links, root = cell_links(int(pdf["key"].iloc[0]) & (BANDS - 1), keys, sig, sets, pdf["n"].to_numpy(), pdf["side"].to_numpy(), threshold)
+        side = None if pdf["lo"].iloc[0] == pdf["hi"].iloc[0] else pdf["side"].to_numpy()
+        links, root = cell_links(int(pdf["key"].iloc[0]) & (BANDS - 1), keys, sig, sets, pdf["n"].to_numpy(), side, threshold)
         ids = pdf["c"].to_numpy()
         return pd.DataFrame({"a": ids, "b": ids[root], "links": links})
 

@@ -310,6 +310,18 @@ def test_near_duplicates(spark, docs, odd, empty):
     assert out.columns == odd.columns
 
 
+def test_near_duplicates_with_empty_blocks(spark):
+    w = [f"w{i}" for i in range(120)]
+    for n in (2, 3):
+        df = spark.createDataFrame([(i, " ".join([*w, f"end{i}"]), "s", 1, "k", "h") for i in range(n)], SCHEMA)
+        old = jaccard_join.BLOCK_BYTES
+        try:
+            for jaccard_join.BLOCK_BYTES in (700, 250, 100):
+                assert {r.n_links for r in jaccard_join.near_duplicates(df).collect()} == {n - 1}
+        finally:
+            jaccard_join.BLOCK_BYTES = old
+
+
 def test_one_of_each_group_judges_each_text_of_a_repeated_id(spark):
     one, other, third = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(3, one), (5, one), (5, other), (6, other + " tail"), (7, third), (7, third), (None, one), (None, "alone with its words"), (8, None), (9, "")]
