@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows (DataFrame functions only).
 
 1. Texts and items become words (letters, digits, and other non-ASCII characters; lower case), hashed five by five; an item of fewer words is one shingle of all its words.
-2. A window of a document is as long as an item and has one of the item's shingles at its own place there (moved inwards where it would
-   reach over an end of the text); as windows with any similarity share a shingle, the places to look at come from a join on shingle hashes.
+2. A window of a document is as long as an item (or the whole text, if that is shorter) and has at least t / (1 + t) of both their shingles
+   at places whose shingle the item has anywhere, in any order; no other window can reach the similarity t.  The places come from a join on shingle hashes.
 3. A window and an item are fingerprinted by a 64-bit SimHash of their shingles (each weighted by how often it occurs).
    Fingerprints are cut into ``BLOCKS`` blocks; items are indexed by (words, block, value) for every value within one bit, and as
    at most ``RADIUS`` = 2 * BLOCKS - 1 differing bits leave some block with at most one of them, the lookup finds every fingerprint within the radius.
@@ -72,14 +72,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """doc_id, rk (the hash of the text), item_id, start (word), n_words, distance, similarity: for each row and item the best window that reaches the threshold (of equal ones the first)."""
     scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
     items = scratch.small(items_of(benchmark), "items")
-    places = scratch.small(items.select("n", F.posexplode("hashes").alias("at", "h")).groupBy("h", "n", "at").agg(F.lit(1).alias("_")).select("h", "n", "at"), "places")
+    places = scratch.small(items.select("item_id", "n", F.size("hashes").alias("m"), F.explode(F.array_distinct("hashes")).alias("h")), "places")
     base = slim(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), F.xxhash64("text").alias("rk"), "text")
     found = None
     # items of fewer words than a shingle have shingles of their own length: at most 5 lengths, usually one
     for k in sorted(r.k for r in items.select(F.least("n", F.lit(SHINGLE)).alias("k")).distinct().collect()):
         seen = base.select("did", "rk", words(F.col("text")).alias("w")).select("did", "rk", F.size("w").alias("size"), F.posexplode(shingle_hashes(F.col("w"), k)).alias("pos", "h"))
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("n")))
-        starts = seen.join(places.filter(F.least("n", F.lit(SHINGLE)) == k), "h").select("did", "rk", "n", start.alias("start"))
+        hit = seen.join(places.filter(F.least("n", F.lit(SHINGLE)) == k), "h")
+        # rows that repeat a text have the same places
+        hit = hit.groupBy("did", "rk", "item_id", "n", "m", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+        own = F.greatest(F.lit(1), F.least("n", "size") - F.lit(k - 1))
+        hit = hit.withColumn("need", F.greatest(F.lit(1), F.ceil(F.lit(threshold) / (1 + threshold) * (own + F.col("m")) - 1e-9).cast("int"))).filter(F.size("at") >= F.col("need"))
+        starts = hit.select("did", "rk", "n", F.explode(_dense_starts(k)).alias("start"))
         windows = scratch.small(starts.distinct(), f"windows{k}")
         hits = base.join(windows.groupBy("did", "rk").agg(F.collect_set(F.struct("n", "start")).alias("windows")), ["did", "rk"]).select("did", "rk", words(F.col("text")).alias("w"), "windows")
         hashed = hits.select("did", "rk", shingle_hashes(F.col("w"), k).alias("all"), "windows")
@@ -91,6 +95,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     return verify(found, items, threshold)
 
 
+def _dense_starts(k: int):
+    """Every start of a window of n words that has at least need of the places at."""
+    end = F.greatest(F.lit(0), F.col("size") - F.col("n"))
+
+    def around(i):
+        low = F.greatest(F.lit(0), F.get("at", i + F.col("need") - 1) - (F.col("n") - F.lit(k)))
+        high = F.least(F.get("at", i), end)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), around)))
+
+
 def _windows_of(k: int):
     """A function from (n, start) to (n, start, the hashes of that window of the column all)."""
 

@@ -373,6 +373,15 @@ def test_decontamination(spark, docs, odd, empty):
     assert decontaminate.contaminated(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_a_reordered_passage(spark):
+    w = [f"w{i}" for i in range(59)]
+    bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    rest = [f"other{i}" for i in range(80)]
+    rows = [(1, " ".join([*rest[:40], *w[30:], *w[:30], *rest[40:]]), "s", 1, "k", "h"), (2, " ".join([*rest, *w[:30]]), "s", 1, "k", "h"), (3, " ".join(w[2:57]), "s", 1, "k", "h")]
+    got = {r.doc_id: r for r in decontaminate.contaminated(spark.createDataFrame(rows, SCHEMA), bench).collect()}
+    assert set(got) == {1, 3} and got[1].start == 40 and abs(got[1].similarity - 51 / 59) < 1e-9
+
+
 def test_simhash_lookup_is_complete(spark):
     rng = np.random.default_rng(6)
     item = rng.integers(-(2**62), 2**62, 40)
