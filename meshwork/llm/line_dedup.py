@@ -3,8 +3,9 @@
 Lines are normalised (white space stripped at both ends, A-Z lower-cased) and hashed to 128 bits; a hash that at least
 ``min_docs`` documents hold loses its lines everywhere but in the document with the largest doc_id that holds it; the other lines are joined again by position.
 
-Defined cases: null or empty text is one empty line; a row is a document, so a repeated row counts as one more; a null doc_id
-orders before every other; an empty table gives an empty table; other columns of the input don't matter.
+Defined cases: null or empty text is one empty line; rows that repeat a doc_id are one document, which counts once for a line and, where it is the holder, keeps the
+line in all its rows; all rows with a null doc_id are one document, which orders before every other; of equal lines in the holder all stay (ties need no order); texts
+of any length are cut whole; an empty table gives an empty table; other columns of the input, whatever their names, don't matter.
 """
 from __future__ import annotations
 
@@ -34,7 +35,8 @@ def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int, scratch: Scrat
     base = _keyed(slim(docs))
     long_keys = F.filter(F.transform(F.filter(lines, lambda x: F.length(x) >= min_chars), _key), lambda x: F.length(x) >= min_chars)
     once = base.select("did", F.explode(F.array_distinct(long_keys)).alias("key")).select("did", *_hashes(F.col("key")))
-    often = once.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("did").alias("holder")).filter(F.col("n") >= min_docs).select("h1", "h2", "holder")
+    held_by = once.groupBy("h1", "h2", "did").agg(F.lit(1).alias("one"))  # rows that repeat a doc_id are one document
+    often = held_by.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("did").alias("holder")).filter(F.col("n") >= min_docs).select("h1", "h2", "holder")
     often = scratch.small(often, "often")
     held = base.select("did", "rk", F.posexplode(lines).alias("pos", "line")).filter(F.length("line") >= min_chars)
     held = held.withColumn("key", _key(F.col("line"))).filter(F.length("key") >= min_chars).select("did", "rk", "pos", *_hashes(F.col("key")))

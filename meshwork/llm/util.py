@@ -58,6 +58,25 @@ class Scratch:
         return F.broadcast(out) if self.bytes(table) <= limit and out.count() <= BROADCAST_ROWS else out
 
 
+#: Keys that ``hot_join`` treats apart, and the rows of a key from which it does.
+HOT_KEYS, HOT_ROWS = 1000, 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) with right on key, where right has one row for each key and a column n: how many rows of left have the key, about.
+
+    The at most ``HOT_KEYS`` most frequent keys of ``HOT_ROWS`` rows or more are broadcast and their rows dealt by a salt, so the rows of no key with more
+    than 1 / HOT_KEYS of left meet in one task.  A null key matches nothing.
+    """
+    names = [c for c in right.columns if c != key]
+    hot = right.filter(F.col(n) >= HOT_ROWS).orderBy(F.desc(n), key).limit(HOT_KEYS).select(F.col(key).alias("_hot_key"), F.struct(*names).alias("_hot"))
+    rest = right.select(F.lit(0).alias("_zero"), F.col(key).alias("_key"), F.struct(*names).alias("_rest"))
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.spark_partition_id(), *left.columns), F.lit(HOT_KEYS)).cast("int") + 1)
+    out = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn("_salt", salt)
+    out = out.join(rest, (F.col("_salt") == F.col("_zero")) & (F.col(key) == F.col("_key")), "left").select(*left.columns, F.coalesce("_hot", "_rest").alias("_found"))
+    return (out if how == "left" else out.filter("_found IS NOT NULL")).select(*left.columns, "_found.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
