@@ -2,11 +2,14 @@
 
 A snapshot holds exact buckets (one row for each digest of normalised text) and, for each shard of the digest space, a
 static binary fuse filter.  Incoming digests are grouped first (so a digest that a third of the batch holds is one row),
-screened by the filter of their shard, and only positives join the exact buckets.  At last the bytes of every row of a group of two or more are compared with
-the text of the group's first row.
+screened by the filter of their shard, and only positives join the exact buckets.  At last the bytes of all rows of a group of two or more are compared: the least
+and the greatest text of a group must be one.
 
-Defined cases: null or empty text is the empty text (all such rows are equal); a null doc_id is kept last; rows that repeat a
-doc_id and a text count as rows of the group and are all marked as kept if that doc_id is; an empty table gives an empty table.
+A batch may be screened against any number of snapshots, and the groups that come out become a snapshot in turn (``Snapshot.of_groups``).
+
+Defined cases: null or empty text is the empty text (all such rows are equal); of equally long texts the smallest doc_id stays; a null doc_id is kept last; rows that repeat a
+doc_id and a text count as rows of the group and are all marked as kept if that doc_id is (also where all ids of a group are null); texts of any length are compared whole;
+an empty table gives an empty table; other columns, whatever their names, don't matter.
 """
 from __future__ import annotations
 
@@ -17,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import Scratch, slim
+from .util import Scratch, hot_join, slim
 
 #: Digests in one shard of a snapshot's filters, about.
 SHARD_KEYS = 200_000
@@ -124,8 +127,17 @@ class Snapshot:
     """An immutable set of exact buckets with its filters, written once."""
 
     def __init__(self, rows: DataFrame, scratch: Scratch, name: str):
-        buckets = _groups(rows).withColumn("key", _key())
-        self.buckets = scratch.write(buckets, f"{name}-buckets")
+        self._build(_groups(rows), scratch, name)
+
+    @classmethod
+    def of_groups(cls, groups: DataFrame, scratch: Scratch, name: str) -> "Snapshot":
+        """The snapshot whose buckets are the groups that ``dedup_batch`` returned."""
+        out = cls.__new__(cls)
+        out._build(groups.select("digest", "n", "best", "first_id"), scratch, name)
+        return out
+
+    def _build(self, groups: DataFrame, scratch: Scratch, name: str) -> None:
+        self.buckets = scratch.write(groups.withColumn("key", _key()), f"{name}-buckets")
         self.shards = max(1, math.ceil(self.buckets.count() / SHARD_KEYS))
         shards = self.shards
 
@@ -149,14 +161,22 @@ class Snapshot:
         return groups.join(found, "digest")
 
 
-def dedup_batch(batch: DataFrame, snapshot: Snapshot, scratch: Scratch) -> DataFrame:
-    """The groups of batch and snapshot together: digest, n, best, first_id; snapshot digests that no row of batch has stay as they are."""
-    screened = scratch.write(snapshot.screen(_groups(batch)), "screened")
-    hits = screened.filter("maybe").join(snapshot.buckets.select("digest", F.col("n").alias("n2"), F.col("best").alias("best2"), F.col("first_id").alias("first2")), "digest", "left")
-    both = hits.select("digest", (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.greatest("best", "best2").alias("best"), F.least("first_id", "first2").alias("first_id"))
-    new = screened.filter("NOT maybe").select("digest", "n", "best", "first_id")
-    rest = snapshot.buckets.join(screened.filter("maybe").select("digest"), "digest", "left_anti").select("digest", "n", "best", "first_id")
-    return both.unionByName(new).unionByName(rest)
+def dedup_batch(batch: DataFrame, snapshots: list[Snapshot], scratch: Scratch) -> DataFrame:
+    """The groups of batch and snapshots together: digest, n, best, first_id; snapshot digests that no row of batch has stay as they are.
+
+    No two snapshots hold the same digest (each was made from rows that its predecessors had been asked about, or they are first merged by ``Snapshot.of_groups``).
+    """
+    now = scratch.write(_groups(batch), "batch-0")
+    rest = []
+    for k, snapshot in enumerate(snapshots, 1):
+        screened = scratch.write(snapshot.screen(now), f"screened-{k}")
+        hits = screened.filter("maybe").join(snapshot.buckets.select("digest", F.col("n").alias("n2"), F.col("best").alias("best2"), F.col("first_id").alias("first2")), "digest", "left")
+        both = hits.select("digest", (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.greatest("best", "best2").alias("best"), F.least("first_id", "first2").alias("first_id"))
+        now = both.unionByName(screened.filter("NOT maybe").select("digest", "n", "best", "first_id"))
+        rest.append(snapshot.buckets.join(screened.filter("maybe").select("digest"), "digest", "left_anti").select("digest", "n", "best", "first_id"))
+    for df in rest:
+        now = now.unionByName(df)
+    return now
 
 
 def exact_dedup(docs: DataFrame, scratch: Scratch | None = None, in_snapshot=None) -> DataFrame:
@@ -168,19 +188,18 @@ def exact_dedup(docs: DataFrame, scratch: Scratch | None = None, in_snapshot=Non
     in_snapshot = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0 if in_snapshot is None else in_snapshot
     rows = scratch.write(digests(docs).withColumn("old", in_snapshot).drop("norm"), "rows")
     snapshot = Snapshot(rows.filter("old"), scratch, "first")
-    groups = scratch.write(dedup_batch(rows.filter("NOT old"), snapshot, scratch), "groups")
-    many = scratch.small(groups.filter("n > 1").select("digest", "first_id"), "many")
-    texts = digests(docs).join(many, "digest")
-    first = texts.filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("digest").agg(F.min("norm").alias("first_norm"))
-    odd = texts.join(first, "digest").filter(F.col("norm") != F.col("first_norm")).select("doc_id", "digest", "n_cp", "norm")
-    odd = scratch.write(odd, "odd")
+    groups = scratch.write(dedup_batch(rows.filter("NOT old"), [snapshot], scratch), "groups")
+    many = groups.filter("n > 1").select("digest", "n")
+    # a group whose least and greatest text are equal has one text: a pre-aggregated minimum and maximum, in which no group meets as a whole
+    texts = hot_join(digests(docs), many, "digest", "n").groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
+    odd = scratch.write(texts.filter("least <> greatest").select("digest"), "odd")
     keep = F.when(F.col("best.neg").isNotNull(), -F.col("best.neg"))
     if not odd.isEmpty():  # different bytes under one digest: their groups go by the bytes themselves
         rows = digests(docs).select("doc_id", "n_cp", "digest", F.concat("digest", F.lit(":"), "norm").alias("full"))
         groups = _groups(rows.select("doc_id", "n_cp", F.col("full").alias("digest"))).withColumnRenamed("digest", "full")
-        joined = rows.join(groups, "full")
+        joined = hot_join(rows, groups.select("full", "n", "best"), "full", "n")
     else:
-        joined = rows.join(groups, "digest")
+        joined = hot_join(rows.select("doc_id", "digest"), groups.select("digest", "n", "best"), "digest", "n")
     out = joined.select("doc_id", keep.alias("keep_id"), F.col("n").alias("group_size"), F.col("digest").alias("text_sha256"))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
