@@ -9,7 +9,8 @@
 5. A cell returns, for each class, its number of links and one edge of the cell's spanning forest: never its pairs.  Links are summed, edges joined to components.
 
 Defined cases: null and empty texts have the empty set and are equal to each other, with no link to anything else; texts of one to four words have one shingle
-of all their words; rows that repeat a doc_id are rows of their class; a null doc_id never names a class unless all its rows have none (then the class is null); an empty table gives an empty table.
+of all their words; rows that repeat a doc_id are rows of their class; a null doc_id never names a class unless all its rows have none (then the class is null); of equal
+smallest ids the least text hash stands for a class; a text of any length is one set of all its shingles; other columns, whatever their names, don't matter; an empty table gives an empty table.
 """
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import Scratch, slices, slim
+from .util import Scratch, hot_join, slices, slim
 
 SHINGLE, THRESHOLD, HASHES, ROWS, STEP, TOLERANCE = 5, 0.8, 128, 4, 16, 1e-9
 BANDS = HASHES // ROWS
@@ -197,17 +198,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, scratch: Scra
     sketched = scratch.write(sketch(rows), "sketch")
     first = F.min_by(F.struct("doc_id", "th", "size", "keys"), F.struct("doc_id", "th")).alias("first")
     classes = scratch.write(sketched.groupBy("c").agg(F.count("*").alias("n"), first).select("c", "n", F.col("first.doc_id").alias("class_id"), "first.th", "first.size", "first.keys"), "classes")
-    named = scratch.write(sketched.select("doc_id", "th", "c").join(classes.select("c", "class_id", "n", F.col("th").alias("class_th")), "c"), "named")
-    scratch.drop("sketch")
-
     banded = classes.filter("keys IS NOT NULL").select("c", "n", "class_id", "th", "size", F.explode("keys").alias("key"))
     look = F.xxhash64("c")
     buckets = banded.groupBy("key").agg(F.count("*").alias("k"), F.sum("size").alias("bytes"), F.bit_xor(look).alias("x"), F.min(look).alias("m")).filter("k > 1")
     band = F.col("key").bitwiseAND(BANDS - 1)
     kept = buckets.groupBy("k", "bytes", "x", "m").agg(F.min_by("key", band).alias("key"))
     blocks = F.ceil(F.greatest(F.col("k") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
-    kept = scratch.small(kept.select("key", blocks), "buckets")
-    members = banded.join(kept, "key").select("c", "n", "class_id", "th", "key", "blocks", F.pmod(F.xxhash64(F.lit(2), "c"), "blocks").cast("int").alias("block"))
+    kept = scratch.write(kept.select("key", "k", blocks), "buckets")
+    members = hot_join(banded, kept, "key", "k").select("c", "n", "class_id", "th", "key", "blocks", F.pmod(F.xxhash64(F.lit(2), "c"), "blocks").cast("int").alias("block"))
     members = members.select("c", "n", "class_id", "th", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     members = members.select("c", "n", "class_id", "th", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     members = scratch.write(members, "members")
@@ -227,10 +225,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, scratch: Scra
     found = scratch.write(cells.groupBy("key", "lo", "hi").applyInPandas(run, "a binary, b binary, links long").filter("links > 0"), "found")
     tied = components(found.select("a", "b"), scratch).withColumnsRenamed({"id": "c", "root": "group"})
     tied = tied.join(classes.select("c", F.struct("class_id", "th").alias("first")), "c")
-    group = tied.groupBy("group").agg(F.min("first").alias("first"))
+    group = tied.groupBy("group").agg(F.min("first").alias("first"), F.count("*").alias("classes"))
     links = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "c")
-    known = scratch.small(tied.drop("first").join(group, "group").join(links, "c").select("c", F.col("first.class_id").alias("group_id"), F.col("first.th").alias("group_th"), "links"), "known")
-    out = named.join(known, "c", "left")
+    known = hot_join(tied.select("c", "group"), group, "group", "classes").join(links, "c").select("c", F.col("first.class_id").alias("group_id"), F.col("first.th").alias("group_th"), "links")
+    known = scratch.write(classes.select("c", "class_id", "n", F.col("th").alias("class_th")).join(known, "c", "left"), "known")
+    out = hot_join(sketched.select("doc_id", "th", "c"), known, "c", "n")
     own = lambda x: F.when(x != big, x)
     kept = (F.col("doc_id") == F.coalesce("group_id", "class_id")) & (F.col("th") == F.coalesce("group_th", "class_th"))
     return out.select(own(F.col("doc_id")).alias("doc_id"), own(F.col("class_id")).alias("class_id"), own(F.coalesce("group_id", "class_id")).alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("th").alias("text_hash"), kept.alias("kept"))
