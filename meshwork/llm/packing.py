@@ -1,29 +1,38 @@
 """Lexical retrieval packing.
 
 Texts become token ids once (written as 16-bit ids).  Document frequencies of all ids, the number of documents and their mean
-length are counted over the whole corpus; the ids of a vocabulary bound what reaches the driver.  Documents are dealt to shards of about
-``shard_tokens`` tokens by a hash of doc_id.  A shard holds a BM25 inverted index of its documents; each seed document asks it for
+length are counted over the whole corpus; the ids of a vocabulary bound what reaches the driver.
+
+The index is sharded by content: a document's key is ``KEYS`` weighted MinHash values of its distinct ids, each weighted by its idf (ids of one document alone
+have no weight), so two documents agree in the first value with a probability that is the weighted Jaccard similarity of their ids, however many shards there are.  Documents are
+range-partitioned by key and, within a range, cut into shards of about ``shard_tokens`` tokens in order of key: what is alike lies in one shard, and no
+key, however frequent, makes a shard larger.  A shard holds a BM25 inverted index of its documents; each seed document asks it for
 its best unused neighbours, which fill the seed's window in order of score; the last one is cut to fit and its rest stays
-available, so only a shard's last window has padding.
+available, so only a shard's last window has padding.  A seed does not ask other shards: README gives the measured recall.
 
-Defined cases: null text is empty and has the end id only; a null doc_id goes to a shard like any other; rows that repeat a doc_id are
-packed one by one; an empty table gives no piece.
+Defined cases: null text is empty and has the end id only; a null doc_id is placed by its text like any other; rows that repeat a doc_id or a text are
+packed one by one; of equal scores the document that comes first in its shard is taken; a text of any length is encoded whole, and its full windows are sequences of their own;
+other columns, whatever their names, don't matter; an empty table gives no piece; a vocabulary of more than 65,536 ids is refused.
 """
 from __future__ import annotations
 
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import tokenizer, vocabulary
+from .tokens import tokenizer
 from .util import Scratch, slices, slim
 
 WINDOW, END_ID, SHARD_TOKENS = 2048, 1, 1_000_000
 K1, B = 1.2, 0.75
+#: MinHash values in a placement key, of 16 bits each.
+KEYS = 4
+#: Shards in one range of keys, about.
+RANGE_SHARDS = 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -32,6 +41,8 @@ def token_ids(docs: DataFrame, vocab: str, kind: str = "word", end_id: int = END
 
     def encode(batches):
         tok, end = tokenizer(vocab, kind), np.array([end_id], "<u2")
+        if tok.size > 1 << 16:
+            raise ValueError(f"a vocabulary of {tok.size} ids does not fit 16 bits")
         for batch in batches:
             for part in slices(batch):
                 raw = [np.concatenate([np.frombuffer(x, "<u4").astype("<u2"), end]) for x in tok.encode(part.column("text").to_pylist())]
@@ -112,29 +123,66 @@ def pack(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WIN
     return out
 
 
+def placement_values(df: np.ndarray, idf: np.ndarray, keys: int = KEYS) -> np.ndarray:
+    """For each of ``keys`` hash functions a number for each id: the id of a document with the least number is its MinHash value, weighted by idf."""
+    u = np.random.default_rng(11).random((keys, len(idf)))
+    weight = np.where(df > 1, idf, 0.0)
+    return np.where(weight > 0, -np.log(u) / np.maximum(weight, 1e-300), 1e300 * (1 + u))
+
+
+def placement_key(ids: np.ndarray, values: np.ndarray) -> int:
+    key = 0
+    for v in values:
+        key = key << 16 | int(ids[v[ids].argmin()])
+    return key - (1 << 63)
+
+
 def pack_documents(docs: DataFrame, vocab: str, scratch: Scratch | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """The pieces of all rows of docs."""
     scratch = scratch or Scratch(docs.sparkSession, "packing")
     encoded = scratch.write(token_ids(docs, vocab), "ids")
     n, total = encoded.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     found = document_frequencies(encoded).toPandas()  # at most a row for each id of the vocabulary
-    idf = np.zeros(1 << 16)
-    idf[found["token"].to_numpy(np.int64)] = np.log1p((n - found["df"] + 0.5) / (found["df"] + 0.5))
-    shards, mean = max(1, -(-total // shard_tokens)), max(1.0, total / max(n, 1))
+    idf, df = np.zeros(1 << 16), np.zeros(1 << 16, np.int64)
+    df[found["token"].to_numpy(np.int64)] = found["df"]
+    idf[df > 0] = np.log1p((n - df[df > 0] + 0.5) / (df[df > 0] + 0.5))
+    mean = max(1.0, total / max(n, 1))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "ids"], kind="stable")
-        docs = [np.frombuffer(x, "<u2") for x in pdf["ids"]]
-        ids, shard = pdf["doc_id"].tolist(), int(pdf["shard"].iloc[0])
-        rows = [(ids[i], s, k, zlib.crc32(docs[i][s : s + k].astype("<u4").tobytes()), len(docs[i]), (shard << 32) + q, o) for i, s, k, q, o in pack(docs, idf, mean)]
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-        return out.astype({"doc_id": "Int64"})
+    def place(batches):
+        values = placement_values(df, idf)
+        for batch in batches:
+            keys = [placement_key(np.frombuffer(raw, "<u2"), values) for raw in batch.column("ids").to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("ids"), pa.array(keys, pa.int64())], names=["doc_id", "ids", "key"])
 
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")
-    return encoded.select("doc_id", "ids", shard).groupBy("shard").applyInPandas(run, SCHEMA)
+    def shards(batches):
+        """Lists of (doc_id, ids) of about shard_tokens tokens, in order."""
+        held, size = [], 0
+        for batch in batches:
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                ids = np.frombuffer(raw, "<u2")
+                held.append((doc_id, ids))
+                size += len(ids)
+                if size >= shard_tokens:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+
+    def run(batches):
+        sequence = TaskContext.get().partitionId() << 32
+        for shard in shards(batches):
+            ids = [x for _, x in shard]
+            rows = [(shard[i][0], s, k, zlib.crc32(ids[i][s : s + k].astype("<u4").tobytes()), len(ids[i]), sequence + q, o) for i, s, k, q, o in pack(ids, idf, mean)]
+            sequence = rows[-1][5] + 1
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    placed = encoded.select("doc_id", "ids").mapInArrow(place, "doc_id long, ids binary, key long").withColumn("salt", F.monotonically_increasing_id())
+    order = ["key", F.xxhash64("doc_id"), "salt"]
+    ranges = max(1, -(-total // (RANGE_SHARDS * shard_tokens)))
+    return placed.repartitionByRange(int(ranges), *order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(run, SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .util import table
 
-    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return pack_documents(table(spark, sf_dir, "documents"), "word_bpe_49k.json")

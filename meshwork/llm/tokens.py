@@ -19,6 +19,9 @@ _open: dict[tuple[str, str], "Tok"] = {}
 
 
 def vocabulary(name: str) -> str:
+    """The place of a vocabulary file on this machine: a path as it is, a bare name from the installed public vocabularies."""
+    if os.path.dirname(name):
+        return name
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -87,7 +90,7 @@ class Tok:
 
 
 def tokenizer(path: str, kind: str) -> Tok:
-    """The worker's own tokenizer for path, loaded once."""
+    """The worker's own tokenizer for a vocabulary, loaded once; a bare name is looked up where the task runs."""
     if (path, kind) not in _open:
-        _open[path, kind] = Tok(path, kind)
+        _open[path, kind] = Tok(vocabulary(path), kind)
     return _open[path, kind]
