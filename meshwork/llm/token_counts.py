@@ -2,10 +2,12 @@
 
 A vocabulary trie over bytes has, at each node, a failure link to the node of what remains after the longest pieces are popped
 from the node's string, and the number of pieces so popped (Song et al., "Fast WordPiece Tokenization", 2021).  A word is read once, byte by byte; no
-piece is built.  Pieces of the vocabulary count as byte strings, whether or not they are marked as ending a word.
+piece is built.  A piece that the vocabulary marks as ending a word ends in the symbol ``END``, which follows each word's bytes, so it matches at a word's end only;
+END alone counts as no piece, so that an unmarked piece may also be a word's last one where no marked piece is as long.
 
 A word is a maximal run of letters, digits and underscores, or any other single visible character, in lower case.  A word that no sequence of pieces covers counts as one
-unknown piece.  Defined cases: null or empty text has 0 words and pieces; rows are counted one by one, whatever their doc_id; an empty table gives an empty table.
+unknown piece.  Defined cases: null or empty text has 0 words and pieces; rows are counted one by one, whatever their doc_id, repeated ones too; a text or a word of any
+length is read whole; the greedy piece is unique, so there are no ties; other columns, whatever their names, don't matter; an empty table gives an empty table.
 """
 from __future__ import annotations
 
@@ -21,14 +23,16 @@ from .util import slices, slim
 #: Words whose counts one worker remembers; beyond that it starts anew.
 MEMO_WORDS = 300_000
 WORD = re.compile(r"\w+|[^\w\s]").findall
+#: The symbol after a word's last byte.
+END = 256
 _open: dict[str, "LongestMatch"] = {}
 
 
 class LongestMatch:
-    """pieces: byte strings."""
+    """pieces: sequences of symbols (bytes, and END); the piece free counts nothing."""
 
-    def __init__(self, pieces):
-        child, final, parent = [{}], [False], [(0, 0)]
+    def __init__(self, pieces, free=None):
+        child, final, parent, unpaid = [{}], [False], [(0, 0)], None
         for piece in pieces:
             v = 0
             for c in piece:
@@ -39,12 +43,13 @@ class LongestMatch:
                     parent.append((v, c))
                 v = child[v][c]
             final[v] = v > 0
+            unpaid = v if piece == free else unpaid
         self.child, self.fail, self.pops = child, [-1] * len(child), [0] * len(child)
         queue = list(child[0].values())
         for v in queue:  # breadth first: shorter strings are done before longer ones
             queue.extend(child[v].values())
             if final[v]:
-                self.fail[v], self.pops[v] = 0, 1
+                self.fail[v], self.pops[v] = 0, int(v != unpaid)
                 continue
             u, c = parent[v]
             z, n = self.fail[u], self.pops[u]
@@ -71,8 +76,8 @@ class LongestMatch:
         return n
 
 
-def pieces_of(path: str) -> set[bytes]:
-    """The pieces of a byte-level vocabulary file (a piece that ends a word is marked with </w>)."""
+def pieces_of(path: str) -> set[tuple[int, ...]]:
+    """The pieces of a byte-level vocabulary file (one that ends a word is marked with </w> there and with END here)."""
     byte = {c: b for b, c in byte_alphabet().items()}
     out = set()
     with open(path, encoding="utf-8") as f:
@@ -80,13 +85,13 @@ def pieces_of(path: str) -> set[bytes]:
     for piece in vocab:
         body = piece.removesuffix("</w>")
         if body and all(c in byte for c in body) and not piece.startswith("<|"):
-            out.add(bytes(byte[c] for c in body))
+            out.add((*(byte[c] for c in body), *([END] if body != piece else [])))
     return out
 
 
 class Counter:
     def __init__(self, path: str):
-        self.automaton, self.memo = LongestMatch(pieces_of(path)), {}
+        self.automaton, self.memo = LongestMatch(pieces_of(vocabulary(path)) | {(END,)}, (END,)), {}
 
     def counts(self, text: str) -> tuple[int, int, int, int]:
         """Words, pieces, unknown words, pieces of the longest word."""
@@ -97,7 +102,7 @@ class Counter:
             memo.clear()
             miss = set(words)
         for w in miss:
-            memo[w] = self.automaton.count(w.encode("utf-8", "replace"))
+            memo[w] = self.automaton.count((*w.encode("utf-8", "replace"), END))
         found = list(map(memo.__getitem__, words))
         unknown = found.count(0)
         return len(found), sum(found) + unknown, unknown, max(found, default=0)
@@ -122,4 +127,4 @@ def count_tokens(docs: DataFrame, vocab: str) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     from .util import table
 
-    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return count_tokens(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
