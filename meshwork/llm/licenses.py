@@ -2,12 +2,13 @@
 
 A text becomes its words (runs of letters, digits and non-ASCII characters, A-Z lower-cased), joined by single blanks.  Rules are regular
 expressions over that string, each behind keywords of which the text must contain one; a text that has no general licence word is not looked at further.
-Overlapping detections are resolved in one sweep in order of (start, longest first, priority): one that lies inside an earlier one is
-suppressed; of two that overlap partly the one of better priority stays, of equal priority both.
+Overlapping detections are taken in order of (priority, longest first, start, label): one that lies inside a detection that stays, or overlaps one that stays and
+has better priority, is suppressed; of equal priority two that overlap partly both stay.  Only a detection that stays suppresses.
 
 Beside these rules, base phrases (mit license; apache license; general public license) are found at every place where their words stand consecutively.
 
-Defined cases: null or empty text has no words; repeated rows are scanned each; a null doc_id is like any other; an empty table gives an empty table; other columns don't matter.
+Defined cases: null or empty text has no words; repeated rows are scanned each; a null doc_id is like any other; a text of any length is scanned whole; equal
+detections of one rule set count once; an empty table gives an empty table; other columns, whatever their names, don't matter.
 """
 from __future__ import annotations
 
@@ -154,19 +155,35 @@ def _detections(padded):
     return F.transform(ordered, lambda x: F.struct(x["start"].alias("start"), (-x["neg"]).alias("end"), x["priority"].alias("priority"), x["label"].alias("label"), x["confidence"].alias("confidence")))
 
 
-def resolved(hits):
-    """The detections that the sweep keeps."""
+def _clusters(hits):
+    """The hits, which come in order of start, in runs that overlap."""
     none = F.array().cast(f"array<{_HIT}>")
-    start = F.struct(none.alias("out"), F.lit(None).cast(_HIT).alias("last"))
+    start = F.struct(F.array().cast(f"array<array<{_HIT}>>").alias("done"), none.alias("now"), F.lit(0).alias("end"))
 
     def step(acc, x):
-        last = acc["last"]
-        kept = F.struct(F.when(last.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(last))).alias("out"), x.alias("last"))
-        better = F.struct(acc["out"].alias("out"), x.alias("last"))
-        overlap = x["start"] < last["end"]
-        return F.when(last.isNull(), kept).when(x["end"] <= last["end"], acc).when(overlap & (x["priority"] > last["priority"]), acc).when(overlap & (x["priority"] < last["priority"]), better).otherwise(kept)
+        joins = x["start"] < acc["end"]
+        done = F.when(joins, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
+        return F.struct(done.alias("done"), F.when(joins, F.concat(acc["now"], F.array(x))).otherwise(F.array(x)).alias("now"), F.when(joins, F.greatest(acc["end"], x["end"])).otherwise(x["end"]).alias("end"))
+
+    return F.aggregate(hits, start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+
+
+def resolved(hits):
+    """The detections that stay, of detections in order of start; in order of start."""
+    none = F.array().cast(f"array<{_HIT}>")
+
+    def taken(cluster):
+        ranked = F.array_sort(F.transform(cluster, lambda x: F.struct(x["priority"].alias("priority"), (x["start"] - x["end"]).alias("short"), x["start"].alias("start"), x["label"].alias("label"), x.alias("hit"))))
+
+        def step(out, r):
+            x = r["hit"]
+            overlap = lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"])
+            inside = lambda k: (k["start"] <= x["start"]) & (x["end"] <= k["end"])
+            return F.when(F.exists(out, lambda k: overlap(k) & ((k["priority"] < x["priority"]) | inside(k))), out).otherwise(F.concat(out, F.array(x)))
+
+        return F.when(F.size(cluster) < 2, cluster).otherwise(F.aggregate(ranked, none, step))
 
-    return F.aggregate(hits, start, step, lambda acc: F.when(acc["last"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["last"]))))
+    return F.array_sort(F.flatten(F.transform(_clusters(hits), taken)))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
