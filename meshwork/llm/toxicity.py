@@ -7,8 +7,11 @@ Features are the presence of words and of word beginnings (2 to 6 characters).
 least hash of doc_id); their features are the ``FEATURES`` per category with the highest signed log-likelihood ratio over that sample, counted on the executors.
 The driver holds counts of chosen features and the sample's indices only.  All rows are scored, from their whole texts, without a shuffle.
 
-Defined cases: null text is empty; labels that are null leave out a row for that category; labels of a doc_id that repeats count once (the greatest); a label
-without a document is left out; with no usable label every probability is 0 and nothing is toxic; an empty table gives an empty table; other columns don't matter.
+The labels know quality and toxic only, so the chain has low quality, toxic, and both together; ``toxic`` decides, and the third category has no part in that.
+
+Defined cases: null text is empty; labels that are null leave out a row for that category; labels of a doc_id that repeats count once (the greatest); rows that repeat a
+labelled doc_id are all in the sample; a label without a document is left out; of features with equal scores the lesser id is chosen; a text of any length is scored whole; a
+probability at the cutoff is toxic; with no usable label every probability is 0 and nothing is toxic; an empty table gives an empty table; other columns, whatever their names, don't matter.
 """
 from __future__ import annotations
 
@@ -124,7 +127,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFr
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, scratch: Scratch | None = None) -> tuple[dict[int, int], Chain]:
     names = list(CHAIN)
     scratch = scratch or Scratch(docs.sparkSession, "toxicity")
-    found = sample(docs, labels, rows)
+    found = scratch.write(sample(docs, labels, rows), "sample")  # read three times
 
     def count(batches):
         features, seen = Features(), {}
@@ -179,6 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, scratch: S
 
 
 def _scorer(chosen: dict[int, int], chain: Chain):
+    """Adds a column of probabilities for each category to batches of (row, text); the column row passes as it is."""
     names = list(CHAIN)
 
     def run(batches):
@@ -189,28 +193,30 @@ def _scorer(chosen: dict[int, int], chain: Chain):
                 for i, t in enumerate(part.column("text").to_pylist()):
                     x[i, features(t or "")] = 1
                 p = chain.predict(x)
-                cols = {c: part.column(c) for c in part.schema.names}
-                yield pa.RecordBatch.from_arrays([*cols.values(), *(pa.array(p[:, k]) for k in range(len(names)))], names=[*cols, *(f"_p_{c}" for c in names)])
+                yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(p[:, k]) for k in range(len(names)))], names=["row", *(f"p_{c}" for c in names)])
 
     return run
 
 
+def _scored(docs: DataFrame, rows: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
+    """rows (row, text) with the probabilities instead of the text."""
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    chosen, chain = train(docs, labels, sample_rows)
+    return rows.mapInArrow(_scorer(chosen, chain), StructType([rows.schema["row"], *(StructField(f"p_{c}", DoubleType()) for c in CHAIN)]))
+
+
 def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, the probability of each category (p_...) and is_toxic of each row."""
-    chosen, chain = train(docs, labels, rows)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, text string, " + ", ".join(f"_p_{c} double" for c in CHAIN)
-    out = slim.mapInArrow(_scorer(chosen, chain), schema)
-    return out.select("doc_id", *(F.round(f"_p_{c}", 6).alias(f"p_{c}") for c in CHAIN), (F.col(f"_p_{DECIDES}") >= cutoff).alias("is_toxic"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("row"), F.col("text").cast("string").alias("text"))
+    out = _scored(docs, slim, labels, rows)
+    return out.select(F.col("row").alias("doc_id"), *(F.round(f"p_{c}", 6).alias(f"p_{c}") for c in CHAIN), (F.col(f"p_{DECIDES}") >= cutoff).alias("is_toxic"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of docs (all columns) whose probability of being toxic is below the cutoff."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    chosen, chain = train(docs, labels, rows)
-    schema = StructType([*docs.schema.fields, *(StructField(f"_p_{c}", DoubleType()) for c in CHAIN)])
-    return docs.mapInArrow(_scorer(chosen, chain), schema).filter(F.col(f"_p_{DECIDES}") < cutoff).select(*docs.columns)
+    kept = _scored(docs, docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text")), labels, rows)
+    return kept.filter(F.col(f"p_{DECIDES}") < cutoff).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
