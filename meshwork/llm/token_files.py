@@ -1,15 +1,15 @@
 """Token ids in Arrow files of fixed-size-list batches.
 
-Documents are range-partitioned by doc_id; each partition becomes one shard: ``shard-NNNNN.tokens.arrow`` (Arrow IPC file; the
-columns input_ids, a fixed-size list of 16- or 32-bit unsigned ids, and mask, a fixed-size list of booleans) and
+Documents are range-partitioned by (doc_id, hash of the text); each partition becomes one shard: ``shard-NNNNN.tokens.arrow`` (Arrow IPC file; the
+columns input_ids, a fixed-size list of 16- or 32-bit unsigned ids, and mask, a fixed-size list of bytes that are 1 for ids and 0 for padding) and
 ``shard-NNNNN.index.arrow`` (doc_id, start in the shard, n_tokens).  A shard's ids are one stream cut into equal sequences;
-only its last sequence is padded, which its mask shows.  Memory-mapped, a sequence is read at random without copying.
+only its last sequence is padded, which its mask shows.  Memory-mapped, a sequence and its mask are read at random without copying.
 
 A file is written under a temporary name and then moved, and its content depends on its rows only, so a task that
 runs again after a lost executor replaces it by the same.
 
-Defined cases: null text is empty and has the end id only; a null doc_id comes first; rows that repeat a doc_id are ordered by text;
-an empty table gives no file.
+Defined cases: null text is empty and has the end id only; a null doc_id comes first; rows that repeat a doc_id are ordered by
+the hash of their text, and equal rows as they were read; a text of any length is encoded whole; other columns, whatever their names, don't matter; an empty table gives no file.
 """
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import tokenizer, vocabulary
+from .tokens import tokenizer
 from .util import Scratch, slices, slim
 
 SEQUENCE = 2048
@@ -43,7 +43,7 @@ class ShardWriter:
         self.names = [f"{folder}/shard-{shard:05d}.{kind}.arrow" for kind in ("tokens", "index")]
         self.temp = [f"{folder}/.{uuid.uuid4().hex}.{kind}" for kind in ("tokens", "index")]
         self.dtype, self.length, self.batch = np.uint16 if size <= 1 << 16 else np.uint32, length, batch
-        schema = pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(self.dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
+        schema = pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(self.dtype), length)), ("mask", pa.list_(pa.uint8(), length))])
         self.sinks = [self.fs.open_output_stream(t) for t in self.temp]
         self.writers = [pa.ipc.new_file(self.sinks[0], schema), pa.ipc.new_file(self.sinks[1], _INDEX)]
         self.schema, self.held, self.n_held, self.at = schema, [], 0, 0
@@ -67,11 +67,11 @@ class ShardWriter:
         unit = self.length if last else step  # every batch but the last is full
         n = len(flat) // unit * unit
         rest = flat[n:]
-        mask = np.ones(n, bool)
+        mask = np.ones(n, np.uint8)
         if last and len(rest):
             flat = np.concatenate([flat, np.zeros(self.length - len(rest), self.dtype)])
             n += self.length
-            mask = np.arange(n) < n - self.length + len(rest)
+            mask = (np.arange(n) < n - self.length + len(rest)).astype(np.uint8)
             rest = rest[:0]
         for a in range(0, n, step):
             b = min(n, a + step)
@@ -99,10 +99,10 @@ class ShardReader:
         self.batch = self.tokens.get_batch(0).num_rows if self.tokens.num_record_batches else 1
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids (a view of the file) and the mask of sequence i."""
+        """The ids and the mask of sequence i, both views of the file."""
         b, k = self.tokens.get_batch(i // self.batch), i % self.batch
         ids, mask = (b.column(c).slice(k, 1).flatten() for c in range(2))
-        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
+        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=True)
 
     def span(self, start: int, n: int) -> np.ndarray:
         """n ids from position start of the shard's stream."""
@@ -138,8 +138,9 @@ def write_token_files(docs: DataFrame, root: str, vocab: str, kind: str, end_id:
             out.close()
             yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([out.at], pa.int64()), pa.array([n_docs], pa.int64())], names=["shard", "n_tokens", "n_docs"])
 
-    ordered = slim(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(write, "shard long, n_tokens long, n_docs long")
+    order = ["doc_id", F.xxhash64("text"), "salt"]  # so the rows of one doc_id, or of none, are dealt too
+    ordered = slim(docs).withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return ordered.select("doc_id", "text").mapInArrow(write, "shard long, n_tokens long, n_docs long")
 
 
 def read_token_files(spark, root: str, shards: list[tuple[int, int]]) -> DataFrame:
@@ -176,6 +177,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     from .util import table
 
     scratch = Scratch(spark, "token-files")
-    shards = write_token_files(table(spark, sf_dir, "documents"), scratch.path("files"), vocabulary("byte_bpe_50k.json"), "byte", 0)
+    shards = write_token_files(table(spark, sf_dir, "documents"), scratch.path("files"), "byte_bpe_50k.json", "byte", 0)
     shards = scratch.write(shards, "shards")
     return read_token_files(spark, scratch.path("files"), [(r.shard, r.n_tokens) for r in shards.collect()])
