@@ -11,10 +11,13 @@ each partition runs the programme from its true entry costs, and the driver chai
 No conversation is ever gathered as a whole; the rendered text of one is the concatenation of its chunks in order.
 
 Defined cases: a null or unknown role must be relabelled; null text is empty; turns that repeat are turns of their own and are ordered by role and text; a null
-conv_id is one conversation, ordered first, and null turns come first; an empty table gives an empty table; other columns don't matter.
+conv_id is one conversation, ordered first, and null turns come first; a text of any length is rendered whole, in one chunk; an empty table gives an empty table; other
+columns, whatever their names, don't matter.
 """
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -156,22 +159,16 @@ def repair(turns: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     def ranges():
         return found.repartition(n, "part").sortWithinPartitions("part", *order)
 
+    def cut_up(batches):
+        for batch in batches:
+            col = batch.column("part").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(col)) + 1).tolist(), len(col)]
+            yield from ((int(col[a]), batch.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
+
     def by_part(run):
         def go(batches):
-            part, held = None, []
-            for batch in batches:
-                col = batch.column("part").to_numpy()
-                cuts = [0, *(np.flatnonzero(np.diff(col)) + 1).tolist(), len(col)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    if a == b:
-                        continue
-                    if part is not None and col[a] != part:
-                        yield from run(part, held)
-                        held = []
-                    part = int(col[a])
-                    held.append(batch.slice(a, b - a))
-            if part is not None:
-                yield from run(part, held)
+            for part, pieces in itertools.groupby(cut_up(batches), key=lambda x: x[0]):
+                yield from run(part, (piece for _, piece in pieces))  # one conversation of the range is held at a time
 
         return go
 
@@ -179,15 +176,18 @@ def repair(turns: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     plan = Plan(ends.collect())  # two short rows for each partition
 
     def maps(p, held):
-        groups = list(_groups(held))
-        at_first = _codes(groups[0]), plan.entry[p]
-        at_last = at_first if len(groups) == 1 else (_codes(groups[-1]), _entry())
-        through = len(groups) == 1 and plan.goes_on[p]
+        first, last, n = None, None, 0
+        for group in _groups(held):
+            last, n = _codes(group), n + 1
+            first = first or last
+        at_first = first, plan.entry[p]
+        at_last = at_first if n == 1 else (last, _entry())
+        through = n == 1 and plan.goes_on[p]
         (roles, entry), costs = at_first, forward(*at_first)
         back = [backward(roles, costs, s)[0] for s in (range(4) if through else [final_state(costs[-1])] * 4)]
         costs = forward(*at_last)
         n_made = [_made(backward(at_last[0], costs, s)) for s in range(4)]
-        yield pa.record_batch([pa.array([p]), pa.array([len(groups)]), pa.array([[*back, int(through)]]), pa.array([n_made])], names=["part", "n", "back", "made"])
+        yield pa.record_batch([pa.array([p]), pa.array([n]), pa.array([[*back, int(through)]]), pa.array([n_made])], names=["part", "n", "back", "made"])
 
     told = {r.part: r for r in ranges().mapInArrow(by_part(maps), "part long, n long, back array<long>, made array<long>").collect()}
     plan.chain({p: list(r.back) for p, r in told.items()})
