@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from meshwork.llm import chat_format, decontaminate, exact_dedup, jaccard_join, licenses, line_dedup, packing, token_counts, token_files, toxicity
 from meshwork.llm.tokens import tokenizer, vocabulary
@@ -57,11 +58,11 @@ def brute_lines(rows, min_chars=40, min_docs=5):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda x: x.strip(BLANK).translate(low)
     held = {}
-    for i, (d, t) in enumerate(rows):
+    for d, t in rows:
         for k in {key(x) for x in t.split("\n")}:
             if len(k) >= min_chars:
-                held.setdefault(k, []).append((-1 if d is None else d, i))
-    top = {k: max(v)[0] for k, v in held.items() if len(v) >= min_docs}
+                held.setdefault(k, set()).add(-1 if d is None else d)
+    top = {k: max(v) for k, v in held.items() if len(v) >= min_docs}
     out = []
     for d, t in rows:
         lines = t.split("\n")
@@ -78,6 +79,15 @@ def test_line_dedup(docs, odd, empty):
     assert out.columns == odd.columns and out.count() == odd.count()
 
 
+def test_line_dedup_counts_documents_not_rows(spark):
+    few = [(d, LONG) for d in (1, 1, 1, 2, 3)]
+    many = [(d, f"{LONG}\n{LONG}") for d in (1, 2, 3, 4, 5, 5)]
+    for rows in (few, many):
+        df = spark.createDataFrame([(d, t, "s", 1, "k", "h") for d, t in rows], SCHEMA)
+        got = sorted((r.doc_id, r.n_dropped) for r in line_dedup.dedup_lines(df).collect())
+        assert got == sorted((d, 2 if rows is many and d < 5 else 0) for d, _ in rows)
+
+
 def test_exact_dedup(docs, odd, empty):
     for df in (docs, odd, empty):
         groups = {}
@@ -108,7 +118,7 @@ def test_token_files_round_trip(spark, docs, odd, empty):
         scratch = Scratch(spark, "t")
         shards = scratch.write(token_files.write_token_files(df, scratch.path("files"), vocabulary("byte_bpe_50k.json"), "byte", 0, 64), "shards").collect()
         got = token_files.read_token_files(spark, scratch.path("files"), [(r.shard, r.n_tokens) for r in shards]).orderBy("start").collect()
-        rows = sorted(texts(df), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+        rows = sorted(texts(df), key=lambda x: (x[0] is not None, x[0] or 0, np.uint64(xxhash.xxh64_intdigest(x[1].encode(), 42)).astype(np.int64)))
         at = 0
         assert len(got) == len(rows)
         for r, (d, t) in zip(got, rows, strict=True):
@@ -170,17 +180,17 @@ def test_packing_scores_with_every_id_of_the_seed():
 
 
 def test_token_counts(docs, odd, empty):
-    pieces = token_counts.pieces_of(vocabulary("word_bpe_49k.json"))
+    pieces = token_counts.pieces_of(vocabulary("word_bpe_49k.json")) | {(token_counts.END,)}
     longest = max(map(len, pieces))
 
     def greedy(word):
-        b, n = word.encode("utf-8", "replace"), 0
+        b, n = (*word.encode("utf-8", "replace"), token_counts.END), 0
         while b:
             k = next(k for k in range(min(longest, len(b)), 0, -1) if b[:k] in pieces)
-            b, n = b[k:], n + 1
+            b, n = b[k:], n + (b[:k] != (token_counts.END,))
         return n
 
-    for df in (docs.limit(60), odd, empty):
+    for df in (docs, odd, empty):
         want = []
         for d, t in texts(df):
             words = re.findall(r"\w+|[^\w\s]", t.lower())
@@ -466,23 +476,26 @@ def test_license_prefilters_drop_no_match(spark):
         assert r.detections and max(x.end for x in r.detections) == len(s.split()), (label, s, r.detections)
 
 
-def test_license_sweep_against_brute_force(spark):
+def stays(hits):
+    """A hit stays if no hit that stays and comes before it in rank suppresses it; by recursion over all hits, without runs or sweeps."""
+    rank = lambda x: (x[2], x[0] - x[1], x[0], x[3])
+
+    def kept(x):
+        return not any(y[0] < x[1] and x[0] < y[1] and (y[2] < x[2] or (y[0] <= x[0] and x[1] <= y[1])) and kept(y) for y in hits if rank(y) < rank(x))
+
+    return sorted(x for x in hits if kept(x))
+
+
+def test_license_resolution_against_brute_force(spark):
     rng = random.Random(8)
-    for _ in range(5):
-        hits = sorted(((s := rng.randint(0, 12)), -(s + rng.randint(1, 6)), rng.randint(1, 3), "l", 0.5) for _ in range(10))
-        kept = []
-        for s, e, p, label, c in hits:
-            e = -e
-            if kept and e <= kept[-1][1]:
-                continue
-            if kept and s < kept[-1][1] and p > kept[-1][2]:
-                continue
-            if kept and s < kept[-1][1] and p < kept[-1][2]:
-                kept.pop()
-            kept.append((s, e, p))
-        df = spark.createDataFrame([([(s, -e, p, label, c) for s, e, p, label, c in hits],)], f"hits array<{licenses._HIT}>")
-        got = df.select(licenses.resolved(licenses.F.col("hits")).alias("k")).first().k
-        assert [(x.start, x.end, x.priority) for x in got] == kept
+    cases = [[(0, 10, 4, "a"), (2, 5, 1, "b"), (8, 15, 1, "c")], [], [(0, 3, 1, "a"), (2, 5, 1, "b")]]
+    for n in (3, 8, 8, 12, 12, 12):
+        cases.append(sorted({((s := rng.randint(0, 30)), s + rng.randint(1, 6), rng.randint(1, 3), rng.choice("lm")) for _ in range(n)}))
+    rows = [(i, [(*x, 0.5) for x in sorted(c)]) for i, c in enumerate(cases)]
+    df = spark.createDataFrame(rows, f"i int, hits array<{licenses._HIT}>")
+    for r in df.select("i", licenses.resolved(licenses.F.col("hits")).alias("k")).collect():
+        assert [(x.start, x.end, x.priority, x.label) for x in r.k] == stays(cases[r.i]), cases[r.i]
+    assert stays(cases[0]) == [(2, 5, 1, "b"), (8, 15, 1, "c")]
 
 
 def test_toxicity_held_out(spark):
