@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from meshwork.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
-from meshwork.llm.tokens import vocabulary
 from meshwork.llm.util import Scratch, table
 
 
@@ -25,7 +24,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    return packing.pack_documents(docs, "word_bpe_49k.json")
 
 
 STAGES = [
