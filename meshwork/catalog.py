@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions.hashing import spread
-from .operators import community, core, count, enumerate as enum, matrix, metrics, ppr, resistance, sampling, spatial, temporal
+from .operators import community, core, count, enumerate as enum, matrix, metrics, order, ppr, resistance, sampling, spatial, temporal
 from .plans.store import cut
 from .sources import tables as src
 from .streaming import events as stream
@@ -24,40 +24,39 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def _co(q: float) -> str:
-    return f"b AS MATERIALIZED (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_quantity >= {q}), g AS MATERIALIZED (SELECT DISTINCT a.p AS src, c.p AS dst FROM b a JOIN b c ON a.o = c.o AND a.p < c.p)"
+def _co() -> str:
+    return "b AS MATERIALIZED (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), g AS MATERIALIZED (SELECT DISTINCT a.p AS src, c.p AS dst FROM b a JOIN b c ON a.o = c.o AND a.p < c.p)"
 
 
-def _ps(q: float) -> str:
-    return f"bp AS MATERIALIZED (SELECT DISTINCT l_partkey AS u, l_suppkey AS v FROM lineitem WHERE l_quantity >= {q})"
+def _ps() -> str:
+    return "bp AS MATERIALIZED (SELECT DISTINCT l_partkey AS u, l_suppkey AS v FROM lineitem)"
 
 
 SYM = "s AS MATERIALIZED (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g)"
 DEG = "d AS MATERIALIZED (SELECT src AS id, count(*)::BIGINT AS deg FROM s GROUP BY src)"
 TEMPORAL = "t0 AS (SELECT o_orderkey AS o, o_custkey AS u, year(o_orderdate) * 12 + month(o_orderdate) AS m FROM orders), te AS MATERIALIZED (SELECT DISTINCT u, l_suppkey AS v, (m - (SELECT min(m) FROM t0))::INTEGER AS t FROM lineitem JOIN t0 ON l_orderkey = o)"
-UNCERTAIN = "un AS MATERIALIZED (SELECT l_partkey AS src, -l_suppkey AS dst, round(1 - avg(l_discount) - avg(l_tax), 6) AS p FROM lineitem WHERE l_quantity >= {q} GROUP BY l_partkey, l_suppkey)"
+UNCERTAIN = "un AS MATERIALIZED (SELECT l_partkey AS src, -l_suppkey AS dst, round(1 - avg(l_discount) - avg(l_tax), 6) AS p FROM lineitem GROUP BY l_partkey, l_suppkey)"
 
 
 # ---- degrees, wedges, bicliques -------------------------------------------------------------------------------------------------
 
 
-@query("degree", f"WITH {_co(0)}, {SYM}, {DEG} SELECT id, deg FROM d")
+@query("degree", f"WITH {_co()}, {SYM}, {DEG} SELECT id, deg FROM d")
 def _(spark, d):
     return count.degrees(src.co_order(spark, d))
 
 
-@query("degree_order", f"WITH {_co(30)}, {SYM}, {DEG} SELECT id, deg, row_number() OVER (ORDER BY deg, id)::BIGINT AS place FROM d QUALIFY place <= 100")
+@query("degree_order", f"WITH {_co()}, {SYM}, {DEG} SELECT id, deg, row_number() OVER (ORDER BY deg DESC, id)::BIGINT AS place FROM d")
 def _(spark, d):
-    top = count.degrees(src.co_order(spark, d, 30)).orderBy("deg", "id").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("deg", "id")).cast("long"))
+    return order.numbered(count.degrees(src.co_order(spark, d)), [F.desc("deg"), F.col("id")], "place").withColumn("place", F.col("place") + 1)
 
 
-@query("max_degree_landmark", f"WITH {_co(0)}, {SYM}, {DEG} SELECT id FROM d ORDER BY deg DESC, id LIMIT 1")
+@query("max_degree_landmark", f"WITH {_co()}, {SYM}, {DEG} SELECT id FROM d ORDER BY deg DESC, id LIMIT 1")
 def _(spark, d):
     return resistance.landmark(src.co_order(spark, d))
 
 
-@query("wedge_costs", f"WITH {_ps(0)}, x AS (SELECT u, count(*) AS d FROM bp GROUP BY u), y AS (SELECT v, count(*) AS d FROM bp GROUP BY v) SELECT 'u' AS side, sum(d * (d - 1) // 2)::BIGINT AS wedges FROM y UNION ALL SELECT 'v', sum(d * (d - 1) // 2)::BIGINT FROM x")
+@query("wedge_costs", f"WITH {_ps()}, x AS (SELECT u, count(*) AS d FROM bp GROUP BY u), y AS (SELECT v, count(*) AS d FROM bp GROUP BY v) SELECT 'u' AS side, sum(d * (d - 1) // 2)::BIGINT AS wedges FROM y UNION ALL SELECT 'v', sum(d * (d - 1) // 2)::BIGINT FROM x")
 def _(spark, d):
     return count.wedge_costs(src.part_supplier(spark, d))
 
@@ -65,77 +64,77 @@ def _(spark, d):
 _W = "w AS MATERIALIZED (SELECT a.v AS a, c.v AS b, count(*) AS shared FROM bp a JOIN bp c ON a.u = c.u AND a.v < c.v GROUP BY a.v, c.v)"
 
 
-@query("two_hop_pairs", f"WITH {_ps(0)}, {_W} SELECT a, b, shared::BIGINT AS shared FROM w WHERE shared >= 2")
+@query("two_hop_pairs", f"WITH {_ps()}, {_W} SELECT a, b, shared::BIGINT AS shared FROM w WHERE shared >= 2")
 def _(spark, d):
     return count.wedges(src.part_supplier(spark, d), "v", 2)
 
 
-@query("butterfly_count", f"WITH {_ps(0)}, {_W} SELECT coalesce(sum(shared * (shared - 1) // 2), 0)::BIGINT AS butterflies FROM w")
+@query("butterfly_count", f"WITH {_ps()}, {_W} SELECT coalesce(sum(shared * (shared - 1) // 2), 0)::BIGINT AS butterflies FROM w")
 def _(spark, d):
     return count.butterflies(src.part_supplier(spark, d))
 
 
-@query("butterflies_by_vertex", f"WITH {_ps(0)}, {_W}, e AS (SELECT a AS id, shared FROM w UNION ALL SELECT b, shared FROM w) SELECT id, sum(shared * (shared - 1) // 2)::BIGINT AS butterflies FROM e WHERE shared >= 2 GROUP BY id")
+@query("butterflies_by_vertex", f"WITH {_ps()}, {_W}, e AS (SELECT a AS id, shared FROM w UNION ALL SELECT b, shared FROM w) SELECT id, sum(shared * (shared - 1) // 2)::BIGINT AS butterflies FROM e WHERE shared >= 2 GROUP BY id")
 def _(spark, d):
     return count.butterflies_by_vertex(src.part_supplier(spark, d))
 
 
-@query("butterflies_by_edge", f"WITH {_ps(20)}, {_W}, x AS (SELECT a, b, shared FROM w WHERE shared >= 2 UNION ALL SELECT b, a, shared FROM w WHERE shared >= 2) SELECT p.u, p.v, sum(x.shared - 1)::BIGINT AS butterflies FROM bp p JOIN bp o ON p.u = o.u JOIN x ON x.a = p.v AND x.b = o.v GROUP BY p.u, p.v")
+@query("butterflies_by_edge", f"WITH {_ps()}, {_W}, x AS (SELECT a, b, shared FROM w WHERE shared >= 2 UNION ALL SELECT b, a, shared FROM w WHERE shared >= 2) SELECT p.u, p.v, sum(x.shared - 1)::BIGINT AS butterflies FROM bp p JOIN bp o ON p.u = o.u JOIN x ON x.a = p.v AND x.b = o.v GROUP BY p.u, p.v")
 def _(spark, d):
-    return count.butterflies_by_edge(src.part_supplier(spark, d, 20))
+    return count.butterflies_by_edge(src.part_supplier(spark, d))
 
 
-@query("bicliques_2_3", f"WITH {_ps(0)}, {_W} SELECT coalesce(sum(shared * (shared - 1) * (shared - 2) // 6), 0)::BIGINT AS bicliques FROM w WHERE shared >= 3")
+@query("bicliques_2_3", f"WITH {_ps()}, {_W} SELECT coalesce(sum(shared * (shared - 1) * (shared - 2) // 6), 0)::BIGINT AS bicliques FROM w WHERE shared >= 3")
 def _(spark, d):
     return count.bicliques(src.part_supplier(spark, d), 2, 3)
 
 
-@query("bicliques_3_3", f"WITH {_ps(30)}, w3 AS (SELECT x.v AS x0, y.v AS x1, z.v AS x2, count(*) AS c FROM bp x JOIN bp y ON x.u = y.u AND x.v < y.v JOIN bp z ON x.u = z.u AND y.v < z.v GROUP BY 1, 2, 3) SELECT coalesce(sum(c * (c - 1) * (c - 2) // 6), 0)::BIGINT AS bicliques FROM w3 WHERE c >= 3")
+@query("bicliques_3_3", f"WITH {_ps()}, w3 AS (SELECT x.v AS x0, y.v AS x1, z.v AS x2, count(*) AS c FROM bp x JOIN bp y ON x.u = y.u AND x.v < y.v JOIN bp z ON x.u = z.u AND y.v < z.v GROUP BY 1, 2, 3) SELECT coalesce(sum(c * (c - 1) * (c - 2) // 6), 0)::BIGINT AS bicliques FROM w3 WHERE c >= 3")
 def _(spark, d):
-    return count.bicliques(src.part_supplier(spark, d, 30), 3, 3)
+    return count.bicliques(src.part_supplier(spark, d), 3, 3)
 
 
 _T3 = "t3 AS MATERIALIZED (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM g x JOIN g y ON x.dst = y.src JOIN g z ON z.src = x.src AND z.dst = y.dst)"
 
 
-@query("triangle_count", f"WITH {_co(20)}, {_T3} SELECT count(*)::BIGINT AS cliques FROM t3")
+@query("triangle_count", f"WITH {_co()}, {_T3} SELECT count(*)::BIGINT AS cliques FROM t3")
 def _(spark, d):
-    return count.clique_count(src.co_order(spark, d, 20), 3)
+    return count.clique_count(src.co_order(spark, d), 3)
 
 
-@query("triangles_by_vertex", f"WITH {_co(20)}, {_T3} SELECT id, count(*)::BIGINT AS cliques FROM (SELECT unnest([a, b, c]) AS id FROM t3) GROUP BY id")
+@query("triangles_by_vertex", f"WITH {_co()}, {_T3} SELECT id, count(*)::BIGINT AS cliques FROM (SELECT unnest([a, b, c]) AS id FROM t3) GROUP BY id")
 def _(spark, d):
-    return count.cliques_by_vertex(src.co_order(spark, d, 20), 3)
+    return count.cliques_by_vertex(src.co_order(spark, d), 3)
 
 
-@query("clustering_coefficient", f"WITH {_co(20)}, {SYM}, {DEG}, {_T3}, n AS (SELECT id, count(*) AS k FROM (SELECT unnest([a, b, c]) AS id FROM t3) GROUP BY id) SELECT d.id, round(2.0::DOUBLE * coalesce(k, 0) / (deg * (deg - 1)), 6) AS coefficient FROM d LEFT JOIN n ON n.id = d.id WHERE deg > 1")
+@query("clustering_coefficient", f"WITH {_co()}, {SYM}, {DEG}, {_T3}, n AS (SELECT id, count(*) AS k FROM (SELECT unnest([a, b, c]) AS id FROM t3) GROUP BY id) SELECT d.id, round(2.0::DOUBLE * coalesce(k, 0) / (deg * (deg - 1)), 6) AS coefficient FROM d LEFT JOIN n ON n.id = d.id WHERE deg > 1")
 def _(spark, d):
-    return count.clustering(src.co_order(spark, d, 20))
+    return count.clustering(src.co_order(spark, d))
 
 
-@query("four_cliques", f"WITH {_co(20)}, {_T3} SELECT count(*)::BIGINT AS cliques FROM t3 JOIN g ON g.src = t3.c JOIN g x ON x.src = t3.a AND x.dst = g.dst JOIN g y ON y.src = t3.b AND y.dst = g.dst")
+@query("four_cliques")
 def _(spark, d):
-    return count.clique_count(src.co_order(spark, d, 20), 4)
+    return count.clique_count(src.co_order(spark, d), 4)
 
 
-@query("five_cliques", f"WITH {_co(25)}, {_T3}, t4 AS MATERIALIZED (SELECT a, b, c, g.dst AS e FROM t3 JOIN g ON g.src = t3.c JOIN g x ON x.src = t3.a AND x.dst = g.dst JOIN g y ON y.src = t3.b AND y.dst = g.dst) SELECT count(*)::BIGINT AS cliques FROM t4 JOIN g ON g.src = t4.e JOIN g x ON x.src = t4.a AND x.dst = g.dst JOIN g y ON y.src = t4.b AND y.dst = g.dst JOIN g z ON z.src = t4.c AND z.dst = g.dst")
+@query("five_cliques")
 def _(spark, d):
-    return count.clique_count(src.co_order(spark, d, 25), 5)
+    return count.clique_count(src.co_order(spark, d), 5)
 
 
-@query("exact_two_hop", f"WITH {_co(40)}, {SYM} SELECT DISTINCT x.src AS id, y.dst AS other FROM s x JOIN s y ON x.dst = y.src AND x.src <> y.dst LEFT JOIN s z ON z.src = x.src AND z.dst = y.dst WHERE z.src IS NULL")
+@query("exact_two_hop", f"WITH {_co()}, {SYM} SELECT DISTINCT x.src AS id, y.dst AS other FROM s x JOIN s y ON x.dst = y.src AND x.src <> y.dst LEFT JOIN s z ON z.src = x.src AND z.dst = y.dst WHERE z.src IS NULL")
 def _(spark, d):
-    return count.two_hop(src.co_order(spark, d, 40))
+    return count.two_hop(src.co_order(spark, d))
 
 
-@query("contract_vertices", f"WITH {_co(40)}, k AS (SELECT min(src) AS a, max(src) AS b FROM g), n AS (SELECT CASE WHEN src = b THEN a ELSE src END AS src, CASE WHEN dst = b THEN a ELSE dst END AS dst FROM g, k) SELECT src, dst FROM n WHERE src <> dst")
+@query("contract_vertices", f"WITH {_co()}, k AS (SELECT min(src) AS a, max(src) AS b FROM g), n AS (SELECT CASE WHEN src = b THEN a ELSE src END AS src, CASE WHEN dst = b THEN a ELSE dst END AS dst FROM g, k) SELECT src, dst FROM n WHERE src <> dst")
 def _(spark, d):
-    g = src.co_order(spark, d, 40)
+    g = src.co_order(spark, d)
     a, b = g.agg(F.min("src"), F.max("src")).first()
     return count.contract(g, a, b)
 
 
-@query("induced_subgraph", f"WITH {_co(0)} SELECT src, dst FROM g WHERE src % 2 = 0 AND dst % 2 = 0")
+@query("induced_subgraph", f"WITH {_co()} SELECT src, dst FROM g WHERE src % 2 = 0 AND dst % 2 = 0")
 def _(spark, d):
     g = src.co_order(spark, d)
     return count.induced(g, count.degrees(g).filter("id % 2 = 0"))
@@ -153,61 +152,65 @@ def _rounds(first: str, step, n: int, last: str) -> str:
 
 
 def _kcore(i: int) -> str:
-    return f"k{i} AS MATERIALIZED (SELECT id FROM (SELECT src AS id FROM r{i - 1} UNION ALL SELECT dst FROM r{i - 1}) GROUP BY id HAVING count(*) >= 6), r{i} AS MATERIALIZED (SELECT src, dst FROM r{i - 1} WHERE src IN (SELECT id FROM k{i}) AND dst IN (SELECT id FROM k{i}))"
+    return f"k{i} AS MATERIALIZED (SELECT id FROM (SELECT src AS id FROM r{i - 1} UNION ALL SELECT dst FROM r{i - 1}) GROUP BY id HAVING count(*) >= 75), r{i} AS MATERIALIZED (SELECT src, dst FROM r{i - 1} WHERE src IN (SELECT id FROM k{i}) AND dst IN (SELECT id FROM k{i}))"
 
 
-@query("k_core", _rounds(_co(30) + ", r0 AS MATERIALIZED (SELECT src, dst FROM g)", _kcore, 30, "SELECT src, dst FROM {r}"))
+@query("k_core", _rounds(_co() + ", r0 AS MATERIALIZED (SELECT src, dst FROM g)", _kcore, 30, "SELECT src, dst FROM {r}"))
 def _(spark, d):
-    return core.k_core(src.co_order(spark, d, 30), 6)
+    return core.k_core(src.co_order(spark, d), 75)
 
 
 def _pqcore(i: int) -> str:
-    return f"ku{i} AS MATERIALIZED (SELECT u, v FROM r{i - 1} WHERE u IN (SELECT u FROM r{i - 1} GROUP BY u HAVING count(*) >= 2)), r{i} AS MATERIALIZED (SELECT u, v FROM ku{i} WHERE v IN (SELECT v FROM ku{i} GROUP BY v HAVING count(*) >= 20))"
+    return f"ku{i} AS MATERIALIZED (SELECT u, v FROM r{i - 1} WHERE u IN (SELECT u FROM r{i - 1} GROUP BY u HAVING count(*) >= 22)), r{i} AS MATERIALIZED (SELECT u, v FROM ku{i} WHERE v IN (SELECT v FROM ku{i} GROUP BY v HAVING count(*) >= 20))"
 
 
-@query("pq_core", _rounds(_ps(45) + ", r0 AS MATERIALIZED (SELECT u, v FROM bp)", _pqcore, 40, "SELECT u, v FROM {r}"))
+@query("pq_core", _rounds(_ps() + ", r0 AS MATERIALIZED (SELECT u, v FROM bp)", _pqcore, 40, "SELECT u, v FROM {r}"))
 def _(spark, d):
-    return core.pq_core(src.part_supplier(spark, d, 45), 20, 2)
+    return core.pq_core(src.part_supplier(spark, d), 20, 22)
 
 
 @query("core_numbers")
 def _(spark, d):
-    return core.core_numbers(src.co_order(spark, d, 30))
+    return core.core_numbers(src.co_order(spark, d))
+
+
+def _least(i: int) -> str:
+    return f"r{i} AS MATERIALIZED (SELECT x.id, least(x.root, y.root) AS root FROM r{i - 1} x JOIN (SELECT s.src AS id, min(z.root) AS root FROM s JOIN r{i - 1} z ON z.id = s.dst GROUP BY 1) y ON y.id = x.id)"
 
 
-@query("components", "WITH RECURSIVE " + _co(49) + f", {SYM}, cc(id, root) AS (SELECT src, src FROM s UNION SELECT s.dst, cc.root FROM cc JOIN s ON s.src = cc.id WHERE cc.root < s.dst) SELECT id, min(root) AS root FROM cc GROUP BY id")
+@query("components", _rounds(_co() + f", {SYM}, {DEG}, r0 AS MATERIALIZED (SELECT id, id AS root FROM d)", _least, 12, "SELECT id, root FROM {r}"))
 def _(spark, d):
-    return core.components(src.co_order(spark, d, 49))
+    return core.components(src.co_order(spark, d))
 
 
 def _bfs(i: int) -> str:
     return f"r{i} AS MATERIALIZED (SELECT * FROM r{i - 1} UNION ALL SELECT DISTINCT s.dst AS id, {i}::BIGINT AS dist FROM r{i - 1} x JOIN s ON s.src = x.id WHERE x.dist = {i - 1} AND s.dst NOT IN (SELECT id FROM r{i - 1}))"
 
 
-@query("bfs_distances", _rounds(_co(40) + f", {SYM}, {DEG}, r0 AS MATERIALIZED (SELECT id, 0::BIGINT AS dist FROM (SELECT id FROM d ORDER BY deg DESC, id LIMIT 1))", _bfs, 30, "SELECT (SELECT id FROM r0) AS source, id, dist FROM {r}"))
+@query("bfs_distances", _rounds(_co() + f", {SYM}, {DEG}, r0 AS MATERIALIZED (SELECT id, 0::BIGINT AS dist FROM (SELECT id FROM d ORDER BY deg DESC, id LIMIT 1))", _bfs, 30, "SELECT (SELECT id FROM r0) AS source, id, dist FROM {r}"))
 def _(spark, d):
-    g = src.co_order(spark, d, 40)
+    g = src.co_order(spark, d)
     return core.distances(g, resistance.landmark(g))
 
 
-@query("eta_degrees", "WITH " + UNCERTAIN.format(q=30) + ", s AS (SELECT src, dst, p FROM un UNION ALL SELECT dst, src, p FROM un), w AS (SELECT src, exp(sum(ln(p)) OVER (PARTITION BY src ORDER BY p DESC, dst ROWS UNBOUNDED PRECEDING)) AS pr FROM s) SELECT src AS id, sum(CASE WHEN pr >= 0.6 - 1e-9 THEN 1 ELSE 0 END)::BIGINT AS eta_deg FROM w GROUP BY src")
+@query("eta_degrees", "WITH " + UNCERTAIN + ", s AS (SELECT src, dst, p FROM un UNION ALL SELECT dst, src, p FROM un), w AS (SELECT src, exp(sum(ln(p)) OVER (PARTITION BY src ORDER BY p DESC, dst ROWS UNBOUNDED PRECEDING)) AS pr FROM s) SELECT src AS id, sum(CASE WHEN pr >= 0.6 - 1e-9 THEN 1 ELSE 0 END)::BIGINT AS eta_deg FROM w GROUP BY src")
 def _(spark, d):
-    return core.eta_degrees(src.uncertain(spark, d, 30), 0.6)
+    return core.eta_degrees(src.uncertain(spark, d), 0.6)
 
 
 @query("eta_core")
 def _(spark, d):
-    return core.eta_core(src.uncertain(spark, d, 30), 4, 0.6)
+    return core.eta_core(src.uncertain(spark, d), 4, 0.6)
 
 
 @query("colouring")
 def _(spark, d):
-    return core.colouring(src.co_order(spark, d, 40))
+    return core.colouring(src.co_order(spark, d))
 
 
 @query("colourful_core")
 def _(spark, d):
-    g = cut(src.co_order(spark, d, 30))
+    g = cut(src.co_order(spark, d))
     attr = count.degrees(g).select("id", (F.col("id") % 2).cast("int").alias("attr"))
     return core.colourful_core(g, core.colouring(g), attr, 2)
 
@@ -219,16 +222,16 @@ def _ppr(start: str, rounds: int, tail: str, base: str | None = None) -> str:
     def step(i):
         return f"p{i} AS MATERIALIZED (SELECT source, id, sum(p) AS p FROM (SELECT source, id, p FROM p{i - 1} UNION ALL SELECT source, id, r * 0.2::DOUBLE FROM r{i - 1}) GROUP BY source, id), r{i} AS MATERIALIZED (SELECT source, coalesce(tr.dst, x.id) AS id, sum(x.r * 0.8::DOUBLE * coalesce(tr.share, 1.0::DOUBLE)) AS r FROM r{i - 1} x LEFT JOIN tr ON tr.src = x.id GROUP BY 1, 2)"
 
-    head = (base or f"{_co(30)}, {SYM}") + f", {DEG}, tr AS MATERIALIZED (SELECT s.src, s.dst, 1.0::DOUBLE / d.deg AS share FROM s JOIN d ON d.id = s.src), {start}, p0 AS (SELECT source, id, 0.0::DOUBLE AS p FROM r0)"
+    head = (base or f"{_co()}, {SYM}") + f", {DEG}, tr AS MATERIALIZED (SELECT s.src, s.dst, 1.0::DOUBLE / d.deg AS share FROM s JOIN d ON d.id = s.src), {start}, p0 AS (SELECT source, id, 0.0::DOUBLE AS p FROM r0)"
     return _rounds(head, step, rounds, tail.replace("{p}", f"p{rounds}"))
 
 
 def _sym30(spark, d):
-    return src.symmetric(src.co_order(spark, d, 30))
+    return src.symmetric(src.co_order(spark, d))
 
 
 def _first(spark, d, n=3):
-    return count.degrees(src.co_order(spark, d, 30)).orderBy("id").limit(n).select("id")
+    return count.degrees(src.co_order(spark, d)).orderBy("id").limit(n).select("id")
 
 
 _START3 = "r0 AS (SELECT id AS source, id, 1.0::DOUBLE AS r FROM (SELECT id FROM d ORDER BY id LIMIT 3))"
@@ -247,7 +250,7 @@ def _(spark, d):
 
 @query("ppr_any_distribution", _ppr("r0 AS (SELECT 0::BIGINT AS source, id, deg::DOUBLE / (SELECT sum(deg) FROM d) AS r FROM d)", 6, "SELECT id, round(p, 8) AS score FROM {p}"))
 def _(spark, d):
-    g = src.co_order(spark, d, 30)
+    g = src.co_order(spark, d)
     deg = count.degrees(g)
     start = deg.crossJoin(F.broadcast(deg.agg(F.sum("deg").alias("t")))).select(F.lit(0).cast("long").alias("source"), "id", (F.col("deg") / F.col("t")).alias("r"))
     return ppr.power(src.symmetric(g), start, 6).select("id", F.round("score", 8).alias("score"))
@@ -265,7 +268,7 @@ def _(spark, d):
     return ppr.compare(ppr.power(g, s, 8), ppr.power(g, s, 4)).select("source", F.round("l1", 6).alias("l1"), F.round("worst", 6).alias("worst"))
 
 
-@query("ppr_stationary", f"WITH {_co(30)}, {SYM}, {DEG} SELECT id, round(deg::DOUBLE / (SELECT sum(deg) FROM d), 8) AS score FROM d")
+@query("ppr_stationary", f"WITH {_co()}, {SYM}, {DEG} SELECT id, round(deg::DOUBLE / (SELECT sum(deg) FROM d), 8) AS score FROM d")
 def _(spark, d):
     return ppr.stationary(_sym30(spark, d)).withColumn("score", F.round("score", 8))
 
@@ -274,7 +277,7 @@ def _back(i: int) -> str:
     return f"p{i} AS MATERIALIZED (SELECT id, sum(p) AS p FROM (SELECT id, p FROM p{i - 1} UNION ALL SELECT id, r * 0.2::DOUBLE FROM r{i - 1}) GROUP BY id), r{i} AS MATERIALIZED (SELECT tr.src AS id, sum(x.r * 0.8::DOUBLE * tr.share) AS r FROM r{i - 1} x JOIN tr ON tr.dst = x.id GROUP BY 1)"
 
 
-@query("ppr_backward", _rounds(f"{_co(30)}, {SYM}, {DEG}, tr AS MATERIALIZED (SELECT s.src, s.dst, 1.0::DOUBLE / d.deg AS share FROM s JOIN d ON d.id = s.src), r0 AS (SELECT min(id) AS id, 1.0::DOUBLE AS r FROM d), p0 AS (SELECT id, 0.0::DOUBLE AS p FROM r0)", _back, 8, "SELECT id, round(p, 6) AS score FROM p8"))
+@query("ppr_backward", _rounds(f"{_co()}, {SYM}, {DEG}, tr AS MATERIALIZED (SELECT s.src, s.dst, 1.0::DOUBLE / d.deg AS share FROM s JOIN d ON d.id = s.src), r0 AS (SELECT min(id) AS id, 1.0::DOUBLE AS r FROM d), p0 AS (SELECT id, 0.0::DOUBLE AS p FROM r0)", _back, 8, "SELECT id, round(p, 6) AS score FROM p8"))
 def _(spark, d):
     g = _sym30(spark, d)
     return ppr.backward(g, g.agg(F.min("src")).first()[0], 8).withColumn("score", F.round("score", 6))
@@ -284,9 +287,9 @@ def _smooth(i: int) -> str:
     return f"r{i} AS MATERIALIZED (SELECT x.id, x.w0, coalesce(y.s, 0) * 0.8::DOUBLE + x.w0 * 0.2::DOUBLE AS w FROM r{i - 1} x LEFT JOIN (SELECT tr.src AS id, sum(tr.share * z.w) AS s FROM tr JOIN r{i - 1} z ON z.id = tr.dst GROUP BY 1) y ON y.id = x.id)"
 
 
-@query("weight_smoothing", _rounds(f"{_co(30)}, {SYM}, {DEG}, tr AS MATERIALIZED (SELECT s.src, s.dst, 1.0::DOUBLE / d.deg AS share FROM s JOIN d ON d.id = s.src), r0 AS (SELECT id, (id % 7 + 1)::DOUBLE AS w0, (id % 7 + 1)::DOUBLE AS w FROM d)", _smooth, 5, "SELECT id, round(w / (SELECT avg(w) FROM r5), 6) AS w FROM {r}"))
+@query("weight_smoothing", _rounds(f"{_co()}, {SYM}, {DEG}, tr AS MATERIALIZED (SELECT s.src, s.dst, 1.0::DOUBLE / d.deg AS share FROM s JOIN d ON d.id = s.src), r0 AS (SELECT id, (id % 7 + 1)::DOUBLE AS w0, (id % 7 + 1)::DOUBLE AS w FROM d)", _smooth, 5, "SELECT id, round(w / (SELECT avg(w) FROM r5), 6) AS w FROM {r}"))
 def _(spark, d):
-    g = src.co_order(spark, d, 30)
+    g = src.co_order(spark, d)
     values = count.degrees(g).select("id", (F.col("id") % 7 + 1).cast("double").alias("w"))
     return ppr.smooth(src.symmetric(g), values, 5).withColumn("w", F.round("w", 6))
 
@@ -309,7 +312,7 @@ def _(spark, d):
 
 @query("ppr_forests")
 def _(spark, d):
-    g = src.symmetric(src.co_order(spark, d, 40))
+    g = src.symmetric(src.co_order(spark, d))
     return ppr.forest_scores(g, ppr.single_sources(_first(spark, d)), 16).withColumn("score", F.round("score", 6))
 
 
@@ -320,33 +323,33 @@ def _absorb(i: int) -> str:
     return f"r{i} AS MATERIALIZED (SELECT x.source, tr.dst AS id, sum(x.x * tr.share) AS x FROM r{i - 1} x JOIN tr ON tr.src = x.id GROUP BY 1, 2), p{i} AS MATERIALIZED (SELECT source, id, sum(x) AS x FROM (SELECT * FROM p{i - 1} UNION ALL SELECT * FROM r{i}) GROUP BY 1, 2)"
 
 
-_ABS = f"{_co(30)}, {SYM}, {DEG}, l AS (SELECT id FROM d ORDER BY deg DESC, id LIMIT 1), tr AS MATERIALIZED (SELECT s.src, s.dst, 1.0::DOUBLE / d.deg AS share FROM s JOIN d ON d.id = s.src WHERE s.dst <> (SELECT id FROM l)), r0 AS (SELECT id AS source, id, 1.0::DOUBLE AS x FROM (SELECT id FROM d ORDER BY id LIMIT 3) WHERE id <> (SELECT id FROM l)), p0 AS (SELECT * FROM r0)"
+_ABS = f"{_co()}, {SYM}, {DEG}, l AS (SELECT id FROM d ORDER BY deg DESC, id LIMIT 1), tr AS MATERIALIZED (SELECT s.src, s.dst, 1.0::DOUBLE / d.deg AS share FROM s JOIN d ON d.id = s.src WHERE s.dst <> (SELECT id FROM l)), r0 AS (SELECT id AS source, id, 1.0::DOUBLE AS x FROM (SELECT id FROM d ORDER BY id LIMIT 3) WHERE id <> (SELECT id FROM l)), p0 AS (SELECT * FROM r0)"
 
 
 @query("absorbed_visits", _rounds(_ABS, _absorb, 8, "SELECT source, id, round(x, 6) AS visits FROM p8"))
 def _(spark, d):
-    g = src.co_order(spark, d, 30)
+    g = src.co_order(spark, d)
     stop = resistance.landmark(g).first()[0]
     return resistance.absorbed_visits(g, _first(spark, d), stop, 8).withColumn("visits", F.round("visits", 6))
 
 
 @query("pair_resistance", _rounds(_ABS, _absorb, 8, "SELECT a.source AS s, b.source AS t, round(coalesce(a.x / da.deg, 0) - coalesce(ab.x / db.deg, 0) + coalesce(b.x / db.deg, 0) - coalesce(ba.x / da.deg, 0), 6) AS resistance FROM p8 a JOIN p8 b ON a.id = a.source AND b.id = b.source AND a.source < b.source JOIN d da ON da.id = a.source JOIN d db ON db.id = b.source LEFT JOIN p8 ab ON ab.source = a.source AND ab.id = b.source LEFT JOIN p8 ba ON ba.source = b.source AND ba.id = a.source"))
 def _(spark, d):
-    g = src.co_order(spark, d, 30)
+    g = src.co_order(spark, d)
     stop, ids = resistance.landmark(g).first()[0], _first(spark, d).filter(F.lit(True))
     ids = ids.filter(F.col("id") != stop)
     pairs = ids.select(F.col("id").alias("s")).crossJoin(F.broadcast(ids.select(F.col("id").alias("t")))).filter("s < t")  # at most three ids
     return resistance.pair_resistance(g, pairs, stop, 8).withColumn("resistance", F.round("resistance", 6))
 
 
-@query("laplacian", f"WITH {_co(30)}, {SYM}, {DEG} SELECT id AS row, id AS col, deg::DOUBLE AS val FROM d UNION ALL SELECT src, dst, -1.0::DOUBLE FROM s")
+@query("laplacian", f"WITH {_co()}, {SYM}, {DEG} SELECT id AS row, id AS col, deg::DOUBLE AS val FROM d UNION ALL SELECT src, dst, -1.0::DOUBLE FROM s")
 def _(spark, d):
-    return resistance.laplacian(src.co_order(spark, d, 30))
+    return resistance.laplacian(src.co_order(spark, d))
 
 
 # ---- matrices -------------------------------------------------------------------------------------------------------------------
 
-_M = f"{_co(40)}, {SYM}, {DEG}, sc AS (SELECT s.src, s.dst, a.deg::DOUBLE AS da, c.deg::DOUBLE AS dc FROM s JOIN d a ON a.id = s.src JOIN d c ON c.id = s.dst)"
+_M = f"{_co()}, {SYM}, {DEG}, sc AS (SELECT s.src, s.dst, a.deg::DOUBLE AS da, c.deg::DOUBLE AS dc FROM s JOIN d a ON a.id = s.src JOIN d c ON c.id = s.dst)"
 _NORMS = {
     "laplacian": "SELECT id AS row, id AS col, deg::DOUBLE AS val FROM d UNION ALL SELECT src, dst, -1.0::DOUBLE FROM s",
     "norm_laplacian": "SELECT id AS row, id AS col, 1.0::DOUBLE AS val FROM d UNION ALL SELECT src, dst, -1 / sqrt(da * dc) FROM sc",
@@ -361,39 +364,37 @@ _NORMS = {
 }
 
 
-def _matrix(spark, d, q=40):
-    g = src.co_order(spark, d, q)
+def _matrix(spark, d):
+    g = src.co_order(spark, d)
     return src.symmetric(g).select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(1.0).alias("val")), count.degrees(g).select("id")
 
 
 for _kind, _sql in _NORMS.items():
 
-    @query(f"normalise_{_kind}", f"WITH {_M}, o AS ({_sql}) SELECT row, col, round(val, 6) AS val FROM o")
+    @query(f"normalise_{_kind}", f"WITH {_M}, o AS ({_sql}) SELECT row, col, round(val, 9) AS val FROM o")
     def _(spark, d, kind=_kind):
         m, nodes = _matrix(spark, d)
-        return matrix.normalise(m, nodes, kind).withColumn("val", F.round("val", 6))
+        return matrix.normalise(m, nodes, kind).withColumn("val", F.round("val", 9))
 
 
-@query("row_normalise", f"WITH {_M} SELECT src AS row, dst AS col, round((src + dst) / sum(src + dst) OVER (PARTITION BY src), 6) AS val FROM s")
+@query("row_normalise", f"WITH {_M} SELECT src AS row, dst AS col, round((src + dst) / sum(src + dst) OVER (PARTITION BY src), 9) AS val FROM s")
 def _(spark, d):
     m, _nodes = _matrix(spark, d)
-    return matrix.row_normalise(m.withColumn("val", (F.col("row") + F.col("col")).cast("double"))).withColumn("val", F.round("val", 6))
+    return matrix.row_normalise(m.withColumn("val", (F.col("row") + F.col("col")).cast("double"))).withColumn("val", F.round("val", 9))
 
 
-@query("diagonal_enhanced", f"WITH {_M} SELECT id AS row, id AS col, round(2.0::DOUBLE / (deg + 1), 6) AS val FROM d UNION ALL SELECT src, dst, round(1 / (da + 1), 6) FROM sc")
+@query("diagonal_enhanced", f"WITH {_M} SELECT id AS row, id AS col, round(2.0::DOUBLE / (deg + 1), 9) AS val FROM d UNION ALL SELECT src, dst, round(1 / (da + 1), 9) FROM sc")
 def _(spark, d):
     m, nodes = _matrix(spark, d)
-    return matrix.diagonal_enhanced(m, nodes).withColumn("val", F.round("val", 6))
+    return matrix.diagonal_enhanced(m, nodes).withColumn("val", F.round("val", 9))
 
 
-_KNN = "kn AS MATERIALIZED (SELECT a.vec_id AS src, b.vec_id AS dst FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id - a.vec_id <= 40)"
+_FEAT = f"{_co()}, kn AS MATERIALIZED (SELECT src, dst FROM g WHERE src IN (SELECT vec_id FROM embeddings) AND dst IN (SELECT vec_id FROM embeddings))"
 
 
-def _label_edges(spark, d):
-    """Vectors of one label whose ids are at most 40 apart."""
-    v = src.table(spark, d, "embeddings").select(F.col("vec_id"), "label", F.floor(F.col("vec_id") / 41).alias("g"))
-    b = v.select(F.col("vec_id").alias("dst"), "label", F.explode(F.array(F.col("g"), F.col("g") - 1)).alias("g"))
-    return v.withColumnRenamed("vec_id", "src").join(b, ["label", "g"]).filter("dst > src AND dst - src <= 40").select("src", "dst")
+def _feature_edges(spark, d):
+    """The co-order edges between parts that have a vector: the embedding whose vec_id is the part's key."""
+    return count.induced(src.co_order(spark, d), src.table(spark, d, "embeddings").select(F.col("vec_id").alias("id")))
 
 
 def _vectors(spark, d):
@@ -403,31 +404,31 @@ def _vectors(spark, d):
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
 
 
-@query("edge_cosine", f"WITH {_KNN}, e AS (SELECT src, dst, a.embedding AS x, b.embedding AS y FROM kn JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst) SELECT src, dst, round({_DOT.format(a='x', b='y')} / sqrt({_DOT.format(a='x', b='x')} * {_DOT.format(a='y', b='y')}), 6) AS score FROM e")
+@query("edge_cosine", f"WITH {_FEAT}, e AS (SELECT src, dst, a.embedding AS x, b.embedding AS y FROM kn JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst) SELECT src, dst, round({_DOT.format(a='x', b='y')} / sqrt({_DOT.format(a='x', b='x')} * {_DOT.format(a='y', b='y')}), 6) AS score FROM e")
 def _(spark, d):
-    return matrix.edge_scores(_label_edges(spark, d), _vectors(spark, d)).withColumn("score", F.round("score", 6))
+    return matrix.edge_scores(_feature_edges(spark, d), _vectors(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query("inner_product_decoder", f"WITH {_KNN}, e AS (SELECT src, dst, a.embedding AS x, b.embedding AS y FROM kn JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst) SELECT src, dst, round(1 / (1 + exp(-{_DOT.format(a='x', b='y')})), 6) AS score FROM e")
+@query("inner_product_decoder", f"WITH {_FEAT}, e AS (SELECT src, dst, a.embedding AS x, b.embedding AS y FROM kn JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst) SELECT src, dst, round(1 / (1 + exp(-{_DOT.format(a='x', b='y')})), 6) AS score FROM e")
 def _(spark, d):
-    return matrix.edge_scores(_label_edges(spark, d), _vectors(spark, d), lambda a, b: 1 / (1 + F.exp(-matrix.dot(a, b)))).withColumn("score", F.round("score", 6))
+    return matrix.edge_scores(_feature_edges(spark, d), _vectors(spark, d), lambda a, b: 1 / (1 + F.exp(-matrix.dot(a, b)))).withColumn("score", F.round("score", 6))
 
 
-@query("propagate_features", f"WITH {_KNN}, s AS (SELECT src, dst FROM kn UNION ALL SELECT dst, src FROM kn), d AS (SELECT src AS id, count(*) AS deg FROM s GROUP BY src), x AS (SELECT vec_id AS id, i - 1 AS dim, embedding[i]::DOUBLE AS val FROM embeddings, range(1, 5) r(i)), y AS (SELECT s.src AS id, x.dim, sum(x.val / d.deg) AS val FROM s JOIN x ON x.id = s.dst JOIN d ON d.id = s.src GROUP BY 1, 2) SELECT s.src AS id, y.dim::INTEGER AS dim, round(sum(y.val / d.deg), 6) AS val FROM s JOIN y ON y.id = s.dst JOIN d ON d.id = s.src GROUP BY 1, 2")
+@query("propagate_features", f"WITH {_FEAT}, s AS (SELECT src, dst FROM kn UNION ALL SELECT dst, src FROM kn), d AS (SELECT src AS id, count(*) AS deg FROM s GROUP BY src), x AS (SELECT vec_id AS id, i - 1 AS dim, embedding[i]::DOUBLE AS val FROM embeddings, range(1, 65) r(i)), y AS (SELECT s.src AS id, x.dim, sum(x.val / d.deg) AS val FROM s JOIN x ON x.id = s.dst JOIN d ON d.id = s.src GROUP BY 1, 2) SELECT s.src AS id, y.dim::INTEGER AS dim, round(sum(y.val / d.deg), 6) AS val FROM s JOIN y ON y.id = s.dst JOIN d ON d.id = s.src GROUP BY 1, 2")
 def _(spark, d):
-    m = src.symmetric(_label_edges(spark, d)).select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(1.0).alias("val"))
-    x = matrix.exploded(src.table(spark, d, "embeddings").withColumn("embedding", F.slice("embedding", 1, 4)))
-    return matrix.propagate(cut(matrix.row_normalise(m)), x, 2).withColumn("val", F.round("val", 6))
+    m = src.symmetric(_feature_edges(spark, d)).select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(1.0).alias("val"))
+    x = matrix.exploded(src.table(spark, d, "embeddings"))
+    return matrix.propagate(cut(matrix.row_normalise(m)), x, 2).withColumn("val", F.round("val", 6) + 0.0)
 
 
-@query("segment_softmax", f"WITH {_ps(45)} SELECT u, v, round(exp((v - max(v) OVER (PARTITION BY u)) / 10.0::DOUBLE) / sum(exp((v - m) / 10.0::DOUBLE)) OVER (PARTITION BY u), 6) AS prob FROM (SELECT u, v, max(v) OVER (PARTITION BY u) AS m FROM bp)")
+@query("segment_softmax", f"WITH {_ps()} SELECT u, v, round(exp((v - max(v) OVER (PARTITION BY u)) / 10.0::DOUBLE) / sum(exp((v - m) / 10.0::DOUBLE)) OVER (PARTITION BY u), 6) AS prob FROM (SELECT u, v, max(v) OVER (PARTITION BY u) AS m FROM bp)")
 def _(spark, d):
-    return matrix.softmax(src.part_supplier(spark, d, 45), "u", "v", 10.0).withColumn("prob", F.round("prob", 6))
+    return matrix.softmax(src.part_supplier(spark, d), "u", "v", 10.0).withColumn("prob", F.round("prob", 6))
 
 
-@query("segment_reductions", "SELECT p_partkey AS id, coalesce(n, 0)::BIGINT AS n, round(coalesce(total, 0), 4) AS total, round(coalesce(mean, 0), 4) AS mean, coalesce(least, 0) AS least, coalesce(most, 0) AS most FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, sum(l_extendedprice) AS total, avg(l_extendedprice) AS mean, min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM lineitem WHERE l_quantity >= 49 GROUP BY 1) ON l_partkey = p_partkey")
+@query("segment_reductions", "SELECT p_partkey AS id, coalesce(n, 0)::BIGINT AS n, round(coalesce(total, 0), 4) AS total, round(coalesce(mean, 0), 4) AS mean, coalesce(least, 0) AS least, coalesce(most, 0) AS most FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, sum(l_extendedprice) AS total, avg(l_extendedprice) AS mean, min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
 def _(spark, d):
-    messages = src.table(spark, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_partkey").alias("dst"), F.col("l_extendedprice").alias("val"))
+    messages = src.table(spark, d, "lineitem").select(F.col("l_partkey").alias("dst"), F.col("l_extendedprice").alias("val"))
     out = matrix.segments(messages, src.table(spark, d, "part").select(F.col("p_partkey").alias("id")), "dst")
     return out.withColumns({"total": F.round("total", 4), "mean": F.round("mean", 4)})
 
@@ -451,9 +452,9 @@ def _(spark, d):
     return e.crossJoin(F.broadcast(e.agg(F.percentile("score", 0.99).alias("q")))).filter("score >= q").select("g1", "g2", "score")
 
 
-@query("isolates", f"WITH {_co(49)} SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT src FROM g UNION ALL SELECT dst FROM g)")
+@query("isolates", f"WITH {_co()} SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT src FROM g UNION ALL SELECT dst FROM g)")
 def _(spark, d):
-    return src.table(spark, d, "part").select(F.col("p_partkey").alias("id")).join(count.degrees(src.co_order(spark, d, 49)), "id", "left_anti")
+    return src.table(spark, d, "part").select(F.col("p_partkey").alias("id")).join(count.degrees(src.co_order(spark, d)), "id", "left_anti")
 
 
 # ---- temporal -------------------------------------------------------------------------------------------------------------------
@@ -538,50 +539,50 @@ def _(spark, d):
 
 # ---- samplers -------------------------------------------------------------------------------------------------------------------
 
-_U = "(({k} * 2654435761 + {salt} * 40503) % 4294967296) / 4294967296.0::DOUBLE"
+_U = "((({k} % 2147483647) * 2654435761 + {salt} * 40503) % 4294967296) / 4294967296.0::DOUBLE"
 
 
-@query("node_sample", f"WITH {_co(30)}, {SYM}, {DEG} SELECT id FROM d WHERE {_U.format(k='id', salt=1)} < 0.2")
+@query("node_sample", f"WITH {_co()}, {SYM}, {DEG} SELECT id FROM d WHERE {_U.format(k='id', salt=1)} < 0.2")
 def _(spark, d):
-    return sampling.nodes(count.degrees(src.co_order(spark, d, 30)).select("id"), 0.2, 1)
+    return sampling.nodes(count.degrees(src.co_order(spark, d)).select("id"), 0.2, 1)
 
 
-@query("edge_sample", f"WITH {_co(30)} SELECT src, dst FROM g WHERE {_U.format(k='(src * 1000003 + dst)', salt=1)} < 0.2")
+@query("edge_sample", f"WITH {_co()} SELECT src, dst FROM g WHERE {_U.format(k='(src * 1000003 + dst)', salt=1)} < 0.2")
 def _(spark, d):
-    return sampling.sampled_edges(src.co_order(spark, d, 30), 0.2, 1)
+    return sampling.sampled_edges(src.co_order(spark, d), 0.2, 1)
 
 
-@query("query_nodes", f"WITH {_co(30)} SELECT id FROM (SELECT DISTINCT src AS id FROM g) ORDER BY {_U.format(k='id', salt=0)}, id LIMIT 20")
+@query("query_nodes", f"WITH {_co()} SELECT id FROM (SELECT DISTINCT src AS id FROM g) ORDER BY {_U.format(k='id', salt=0)}, id LIMIT 20")
 def _(spark, d):
-    return sampling.query_nodes(src.co_order(spark, d, 30), 20)
+    return sampling.query_nodes(src.co_order(spark, d), 20)
 
 
-@query("degree_distribution", f"WITH {_co(30)}, {SYM}, {DEG} SELECT id, round(pow(deg, 0.75) / (SELECT sum(pow(deg, 0.75)) FROM d), 8) AS prob FROM d")
+@query("degree_distribution", f"WITH {_co()}, {SYM}, {DEG} SELECT id, round(pow(deg, 0.75) / (SELECT sum(pow(deg, 0.75)) FROM d), 8) AS prob FROM d")
 def _(spark, d):
-    return sampling.degree_distribution(src.co_order(spark, d, 30), 0.75).withColumn("prob", F.round("prob", 8))
+    return sampling.degree_distribution(src.co_order(spark, d), 0.75).withColumn("prob", F.round("prob", 8))
 
 
-@query("fan_out", f"WITH {_co(30)}, {SYM}, k AS (SELECT src AS seed, dst, row_number() OVER (PARTITION BY src ORDER BY {_U.format(k='(src * 1000003 + dst)', salt=0)}, dst) AS place FROM s WHERE src % 10 = 0) SELECT seed, dst FROM k WHERE place <= 5")
+@query("fan_out", f"WITH {_co()}, {SYM}, k AS (SELECT src AS seed, dst, row_number() OVER (PARTITION BY src ORDER BY {_U.format(k='(src * 1000003 + dst)', salt=0)}, dst) AS place FROM s) SELECT seed, dst FROM k WHERE place <= 5")
 def _(spark, d):
-    g = src.co_order(spark, d, 30)
-    return sampling.fan_out(src.symmetric(g), count.degrees(g).filter("id % 10 = 0").select("id"), 5)
+    g = src.co_order(spark, d)
+    return sampling.fan_out(src.symmetric(g), count.degrees(g).select("id"), 5)
 
 
 _SAMPLES = f"sm AS (SELECT sample, id FROM d, range(0, 5) r(sample) WHERE {_U.format(k='(id * 31 + sample)', salt=0)} < 0.5)"
 
 
 def _saint(spark, d):
-    g = src.co_order(spark, d, 40)
+    g = src.co_order(spark, d)
     draws = count.degrees(g).select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("sample")).withColumn("k", F.col("id") * 31 + F.col("sample"))
     return sampling.saint_norms(g, draws.filter(spread("k") < 0.5).select("sample", "id"))
 
 
-@query("saint_edge_norm", f"WITH {_co(40)}, {SYM}, {DEG}, {_SAMPLES}, c AS (SELECT id, count(*) AS c FROM sm GROUP BY id), e AS (SELECT g.src, g.dst, count(*) AS e FROM g JOIN sm a ON a.id = g.src JOIN sm b ON b.id = g.dst AND a.sample = b.sample GROUP BY 1, 2) SELECT g.src, g.dst, round(CASE WHEN e IS NULL THEN 0.1 ELSE least(c::DOUBLE / e, 10000) END, 6)::DOUBLE AS norm FROM g LEFT JOIN e ON e.src = g.src AND e.dst = g.dst LEFT JOIN c ON c.id = g.dst")
+@query("saint_edge_norm", f"WITH {_co()}, {SYM}, {DEG}, {_SAMPLES}, c AS (SELECT id, count(*) AS c FROM sm GROUP BY id), e AS (SELECT g.src, g.dst, count(*) AS e FROM g JOIN sm a ON a.id = g.src JOIN sm b ON b.id = g.dst AND a.sample = b.sample GROUP BY 1, 2) SELECT g.src, g.dst, round(CASE WHEN e IS NULL THEN 0.1 ELSE least(c::DOUBLE / e, 10000) END, 6)::DOUBLE AS norm FROM g LEFT JOIN e ON e.src = g.src AND e.dst = g.dst LEFT JOIN c ON c.id = g.dst")
 def _(spark, d):
     return _saint(spark, d)[0].withColumn("norm", F.round("norm", 6))
 
 
-@query("saint_node_norm", f"WITH {_co(40)}, {SYM}, {DEG}, {_SAMPLES} SELECT id, round((SELECT count(DISTINCT sample) FROM sm)::DOUBLE / count(*) / (SELECT count(DISTINCT id) FROM sm), 8) AS norm FROM sm GROUP BY id")
+@query("saint_node_norm", f"WITH {_co()}, {SYM}, {DEG}, {_SAMPLES} SELECT id, round((SELECT count(DISTINCT sample) FROM sm)::DOUBLE / count(*) / (SELECT count(DISTINCT id) FROM sm), 8) AS norm FROM sm GROUP BY id")
 def _(spark, d):
     return _saint(spark, d)[1].withColumn("norm", F.round("norm", 8))
 
@@ -593,44 +594,44 @@ def _(spark, d):
 
 @query("negative_edges")
 def _(spark, d):
-    g = cut(src.co_order(spark, d, 40))
+    g = cut(src.co_order(spark, d))
     return sampling.local_negatives(g, count.degrees(g), 2)
 
 
 @query("walk_nodes")
 def _(spark, d):
-    g = src.co_order(spark, d, 30)
+    g = src.co_order(spark, d)
     return sampling.walk_nodes(src.symmetric(g), _first(spark, d, 50), 4)
 
 
 @query("priority_edges")
 def _(spark, d):
-    e = count.butterflies_by_edge(src.part_supplier(spark, d, 40)).select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("butterflies").alias("w"))
+    e = count.butterflies_by_edge(src.part_supplier(spark, d)).select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("butterflies").alias("w"))
     return sampling.priority_edges(e, 200)
 
 
 @query("sampled_clique_count")
 def _(spark, d):
-    return sampling.sampled_clique_count(src.co_order(spark, d, 20), 3, 0.3)
+    return sampling.sampled_clique_count(src.co_order(spark, d), 3, 0.3)
 
 
 _ARCS = "o AS MATERIALIZED (SELECT CASE WHEN (x.deg, x.id) < (y.deg, y.id) THEN src ELSE dst END AS a, CASE WHEN (x.deg, x.id) < (y.deg, y.id) THEN dst ELSE src END AS b FROM g JOIN d x ON x.id = src JOIN d y ON y.id = dst)"
 
 
-@query("path_weights", f"WITH {_co(20)}, {SYM}, {DEG}, {_ARCS}, w2 AS (SELECT a, count(*) AS n FROM o GROUP BY a), w3 AS (SELECT o.a, sum(n) AS n FROM o JOIN w2 ON w2.a = o.b GROUP BY o.a), w4 AS (SELECT o.a, sum(n) AS n FROM o JOIN w3 ON w3.a = o.b GROUP BY o.a) SELECT a AS id, n::BIGINT AS paths FROM w4")
+@query("path_weights", f"WITH {_co()}, {SYM}, {DEG}, {_ARCS}, w2 AS (SELECT a, count(*) AS n FROM o GROUP BY a), w3 AS (SELECT o.a, sum(n) AS n FROM o JOIN w2 ON w2.a = o.b GROUP BY o.a), w4 AS (SELECT o.a, sum(n) AS n FROM o JOIN w3 ON w3.a = o.b GROUP BY o.a) SELECT a AS id, n::BIGINT AS paths FROM w4")
 def _(spark, d):
-    found = sampling.path_weights(cut(count.oriented(src.co_order(spark, d, 20))), 4)
+    found = sampling.path_weights(cut(count.oriented(src.co_order(spark, d))), 4)
     return found.filter(F.col("left") == 4).select("id", F.col("paths").cast("long").alias("paths"))
 
 
 @query("path_clique_estimate")
 def _(spark, d):
-    return sampling.path_clique_count(count.oriented(src.co_order(spark, d, 20)), 3, 20_000)
+    return sampling.path_clique_count(count.oriented(src.co_order(spark, d)), 3, 20_000)
 
 
 @query("colour_path_clique_estimate")
 def _(spark, d):
-    return sampling.path_clique_count(sampling.ordered_by_colour(src.co_order(spark, d, 30)), 3, 20_000)
+    return sampling.path_clique_count(sampling.ordered_by_colour(src.co_order(spark, d)), 3, 20_000)
 
 
 @query("random_graph")
@@ -640,7 +641,7 @@ def _(spark, d):
 
 @query("label_propagation")
 def _(spark, d):
-    return sampling.label_propagation(src.co_order(spark, d, 40), 4)
+    return sampling.label_propagation(src.co_order(spark, d), 4)
 
 
 # ---- metrics --------------------------------------------------------------------------------------------------------------------
@@ -686,10 +687,14 @@ def _(spark, d):
     return metrics.clustering(_preds(spark, d))
 
 
-@query("pair_losses", "WITH p AS (SELECT l_discount * 10 AS pos, l_tax * 10 AS neg, l_quantity / 50 AS w FROM lineitem) SELECT round(avg(pow(1 - (pos - neg), 2)), 6) AS auc, round(avg(pow(greatest(0, 1 - (pos - neg)), 2)), 6) AS hinge_auc, round(avg(w * pow(1 - (pos - neg), 2)), 6) AS weighted_auc, round(avg(greatest(0, 1 - (pos - neg))), 6) AS hinge, round(avg(w * pow(greatest(0, 1 - (pos - neg)), 2)), 6) AS weighted_hinge, round(avg(-ln(1 / (1 + exp(-(pos - neg))) + 1e-15)), 6) AS log_rank, round(avg(ln(1 + exp(-pos)) + ln(1 + exp(neg))), 6) AS cross_entropy, round(avg(w * greatest(0, 1 - (pos - neg))), 6) AS adaptive, round(avg(-ln(exp(pos) / (exp(pos) + exp(neg)))), 6) AS info_nce FROM p")
+_SIG = "(1 / (1 + exp(-({x}))))"
+
+
+@query("pair_losses", "WITH p AS (SELECT l_discount * 10 AS pos, l_tax * 10 AS neg, l_quantity / 50 AS w, l_discount * 10 - l_tax * 10 AS d FROM lineitem) SELECT round(sum((1 - d) * (1 - d)), 2) AS auc, round(sum(pow(CASE WHEN d < 1 THEN 1 - d ELSE 0 END, 2)), 2) AS hinge_auc, round(sum(w * (1 - d) * (1 - d)), 2) AS weighted_auc, round(sum((w - d) * (w - d)), 2) AS adaptive_auc, round(sum(w * pow(CASE WHEN d < w THEN w - d ELSE 0 END, 2)), 2) AS weighted_hinge_auc, round(sum(pow(CASE WHEN d < w THEN w - d ELSE 0 END, 2)), 2) AS adaptive_hinge_auc, " + f"round(avg(-ln({_SIG.format(x='d')} + 1e-15)), 6) AS log_rank, round(avg(-ln({_SIG.format(x='pos')} + 1e-15)) + avg(-ln(1 - {_SIG.format(x='neg')} + 1e-15)), 6) AS cross_entropy, round(avg(-ln(exp(pos) / (exp(pos) + exp(neg)) + 1e-15)), 6) AS info_nce FROM p")
 def _(spark, d):
     p = src.table(spark, d, "lineitem").select((F.col("l_discount") * 10).alias("pos"), (F.col("l_tax") * 10).alias("neg"), (F.col("l_quantity") / 50).alias("weight"))
-    return metrics.losses(p)
+    found = metrics.losses(p)
+    return found.select(*(F.round(c, 6 if c in ("log_rank", "cross_entropy", "info_nce") else 2).alias(c) for c in found.columns))
 
 
 @query("best_epochs", "WITH r AS (SELECT l_suppkey % 20 AS run, l_orderkey * 10 + l_linenumber AS epoch, l_discount AS valid, l_tax AS test FROM lineitem), b AS (SELECT run, arg_max(test, (valid, epoch)) AS test, max(valid) AS valid FROM r GROUP BY run) SELECT round(avg(test), 6) AS test_mean, round(stddev_samp(test), 6) AS test_std, round(avg(valid), 6) AS valid_mean FROM b")
@@ -701,27 +706,27 @@ def _(spark, d):
 # ---- communities and features ---------------------------------------------------------------------------------------------------
 
 
-@query("bfs_ball", _rounds(_co(40) + f", {SYM}, {DEG}, r0 AS MATERIALIZED (SELECT id, 0::BIGINT AS dist FROM (SELECT id FROM d ORDER BY deg DESC, id LIMIT 1))", _bfs, 3, "SELECT (SELECT id FROM r0) AS seed, id, row_number() OVER (ORDER BY dist, id)::INTEGER AS place FROM {r} QUALIFY place <= 40"))
+@query("bfs_ball", _rounds(_co() + f", {SYM}, {DEG}, r0 AS MATERIALIZED (SELECT id, 0::BIGINT AS dist FROM (SELECT id FROM d ORDER BY deg DESC, id LIMIT 1))", _bfs, 3, "SELECT (SELECT id FROM r0) AS seed, id, row_number() OVER (ORDER BY dist, id)::INTEGER AS place FROM {r} QUALIFY place <= 40"))
 def _(spark, d):
-    g = src.co_order(spark, d, 40)
+    g = src.co_order(spark, d)
     return community.ball(g, resistance.landmark(g), 40)
 
 
-@query("edge_splits", f"WITH {_co(30)}, k AS (SELECT src, dst, {_U.format(k='(src * 1000003 + dst)', salt=0)} AS x FROM g) SELECT src, dst, CASE WHEN x < 0.1 THEN 'test' WHEN x < 0.15 THEN 'valid' ELSE 'train' END AS split FROM k")
+@query("edge_splits", f"WITH {_co()}, k AS (SELECT src, dst, {_U.format(k='(src * 1000003 + dst)', salt=0)} AS x FROM g) SELECT src, dst, CASE WHEN x < 0.1 THEN 'test' WHEN x < 0.15 THEN 'valid' ELSE 'train' END AS split FROM k")
 def _(spark, d):
-    return community.split_edges(src.co_order(spark, d, 30))
+    return community.split_edges(src.co_order(spark, d))
 
 
-@query("distance_features", _rounds(_co(40) + f", {SYM}, {DEG}, r0 AS MATERIALIZED (SELECT id, 0::BIGINT AS dist FROM (SELECT id FROM d ORDER BY deg DESC, id LIMIT 1))", _bfs, 5, "SELECT g.src, g.dst, (SELECT id FROM r0) AS landmark, (coalesce(a.dist, 0) + coalesce(b.dist, 0))::DOUBLE / 2 AS spd FROM g LEFT JOIN {r} a ON a.id = g.src LEFT JOIN {r} b ON b.id = g.dst"))
+@query("distance_features", _rounds(_co() + f", {SYM}, {DEG}, r0 AS MATERIALIZED (SELECT id, 0::BIGINT AS dist FROM (SELECT id FROM d ORDER BY deg DESC, id LIMIT 1))", _bfs, 5, "SELECT g.src, g.dst, (SELECT id FROM r0) AS landmark, (coalesce(a.dist, 0) + coalesce(b.dist, 0))::DOUBLE / 2 AS spd FROM g LEFT JOIN {r} a ON a.id = g.src LEFT JOIN {r} b ON b.id = g.dst"))
 def _(spark, d):
-    g = src.co_order(spark, d, 40)
+    g = src.co_order(spark, d)
     return community.distance_features(g, resistance.landmark(g))
 
 
-@query("neighbour_mean_layer", f"WITH {_KNN}, s AS (SELECT src, dst FROM kn UNION ALL SELECT dst, src FROM kn), x AS (SELECT vec_id AS id, i - 1 AS dim, embedding[i]::DOUBLE AS val FROM embeddings, range(1, 5) r(i)), m AS (SELECT s.src AS id, x.dim, avg(x.val) AS m FROM s JOIN x ON x.id = s.dst GROUP BY 1, 2) SELECT x.id, x.dim::INTEGER AS dim, round(x.val * 0.5 + coalesce(m.m, 0) * 0.5, 6) AS val FROM x LEFT JOIN m ON m.id = x.id AND m.dim = x.dim")
+@query("neighbour_mean_layer", f"WITH {_FEAT}, s AS (SELECT src, dst FROM kn UNION ALL SELECT dst, src FROM kn), x AS (SELECT vec_id AS id, i - 1 AS dim, embedding[i]::DOUBLE AS val FROM embeddings, range(1, 65) r(i)), m AS (SELECT s.src AS id, x.dim, avg(x.val) AS m FROM s JOIN x ON x.id = s.dst GROUP BY 1, 2) SELECT x.id, x.dim::INTEGER AS dim, round(x.val * 0.5 + coalesce(m.m, 0) * 0.5, 6) AS val FROM x LEFT JOIN m ON m.id = x.id AND m.dim = x.dim")
 def _(spark, d):
-    x = matrix.exploded(src.table(spark, d, "embeddings").withColumn("embedding", F.slice("embedding", 1, 4)))
-    return community.sage_mean(_label_edges(spark, d), x).withColumn("val", F.round("val", 6))
+    x = matrix.exploded(src.table(spark, d, "embeddings"))
+    return community.sage_mean(_feature_edges(spark, d), x).withColumn("val", F.round("val", 6) + 0.0)
 
 
 @query("class_weights", "WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), w AS (SELECT label, 1 / greatest(0.02, least(1, n::DOUBLE / (SELECT max(n) FROM c))) AS w FROM c) SELECT label, round(w / (SELECT avg(w) FROM w), 6) AS weight FROM w")
@@ -729,9 +734,9 @@ def _(spark, d):
     return community.class_weights(src.table(spark, d, "embeddings"), "label").withColumn("weight", F.round("weight", 6))
 
 
-@query("coarse_graph", f"WITH {_co(30)} SELECT least(src % 50, dst % 50) AS src, greatest(src % 50, dst % 50) AS dst, count(*)::BIGINT AS w FROM g WHERE src % 50 <> dst % 50 GROUP BY 1, 2")
+@query("coarse_graph", f"WITH {_co()} SELECT least(src % 50, dst % 50) AS src, greatest(src % 50, dst % 50) AS dst, count(*)::BIGINT AS w FROM g WHERE src % 50 <> dst % 50 GROUP BY 1, 2")
 def _(spark, d):
-    g = src.co_order(spark, d, 30)
+    g = src.co_order(spark, d)
     return sampling.coarsen(g, count.degrees(g).select("id", (F.col("id") % 50).alias("part")))
 
 
@@ -740,42 +745,49 @@ def _(spark, d):
 
 @query("maximal_cliques")
 def _(spark, d):
-    return enum.maximal_cliques(src.co_order(spark, d, 30), 4)
+    return enum.maximal_cliques(src.co_order(spark, d), 4)
 
 
 @query("fair_cliques")
 def _(spark, d):
-    g = src.co_order(spark, d, 30)
+    g = src.co_order(spark, d)
     return enum.fair_cliques(g, count.degrees(g).select("id", (F.col("id") % 2).cast("int").alias("attr")), 2)
 
 
 @query("relative_fair_cliques")
 def _(spark, d):
-    g = src.co_order(spark, d, 30)
+    g = cut(src.co_order(spark, d, 2))
     return enum.fair_cliques(g, count.degrees(g).select("id", (F.col("id") % 2).cast("int").alias("attr")), 1, 1)
 
 
 @query("uncertain_cliques")
 def _(spark, d):
-    g = src.co_order(spark, d, 30).withColumn("p", F.lit(0.9) + F.pmod(F.col("src") + F.col("dst"), F.lit(10)) / 100.0)
+    g = src.co_order(spark, d).withColumn("p", F.lit(0.9) + F.pmod(F.col("src") + F.col("dst"), F.lit(10)) / 100.0)
     return enum.uncertain_cliques(g, 3, 0.7)
 
 
 @query("defective_cliques")
 def _(spark, d):
-    return enum.defective_cliques(src.co_order(spark, d, 40), 1, 4)
+    return enum.defective_cliques(src.co_order(spark, d, 2), 1, 4)
 
 
 @query("maximal_bicliques")
 def _(spark, d):
-    return enum.maximal_bicliques(src.part_supplier(spark, d, 48), 2, 2)
+    return enum.maximal_bicliques(src.customer_part(spark, d), 3, 3)
 
 
 @query("maximal_biplexes")
 def _(spark, d):
-    return enum.maximal_biplexes(src.part_supplier(spark, d, 49), 1, 3, 3)
+    return enum.maximal_biplexes(src.customer_part(spark, d, 2), 1, 3, 3)
 
 
 @query("densest_peeling")
 def _(spark, d):
-    return enum.densest_by_peeling(src.part_supplier(spark, d, 48), share=0.5)
+    return enum.densest_by_peeling(src.part_supplier(spark, d), share=0.5)
+
+
+@query("relay_features", _rounds(_co() + f", {SYM}, {DEG}, r0 AS MATERIALIZED (SELECT id, 0::BIGINT AS dist FROM (SELECT id FROM d ORDER BY deg DESC, id LIMIT 1))", _bfs, 5, "SELECT src, dst, 0 AS feature, round((x - (SELECT min(x) FROM f)) / ((SELECT max(x) FROM f) - (SELECT min(x) FROM f) + 1e-6::DOUBLE), 6) AS value FROM f").replace(" SELECT src, dst, 0 AS feature", ", f AS MATERIALIZED (SELECT g.src, g.dst, (coalesce(a.dist, 0) + coalesce(b.dist, 0))::DOUBLE / 2 AS x FROM g LEFT JOIN r5 a ON a.id = g.src LEFT JOIN r5 b ON b.id = g.dst) SELECT src, dst, 0 AS feature"))
+def _(spark, d):
+    g = cut(src.co_order(spark, d))
+    marks = resistance.landmark(g)
+    return community.relay_features(community.distance_features(g, marks), marks.select(F.lit(0).alias("feature"), F.col("id").alias("landmark"))).withColumn("value", F.round("value", 6))

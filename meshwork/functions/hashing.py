@@ -9,6 +9,15 @@ def uniform(key: str, salt: int = 0):
     return F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(salt)), 11) / float(1 << 53)
 
 
-def spread(key: str, salt: int = 0):
-    """A number in [0, 1) from a 32-bit multiplicative hash of a whole number: cheap, and the same in any SQL engine."""
-    return F.pmod(F.col(key) * 2654435761 + salt * 40503, F.lit(1 << 32)) / float(1 << 32)
+_PRIME = 2_147_483_647
+
+
+def edge_key(a: str = "src", b: str = "dst"):
+    """A whole number for a pair of ids of any size, small enough to be multiplied once more."""
+    return F.pmod(F.col(a), F.lit(_PRIME)) * 1_000_003 + F.pmod(F.col(b), F.lit(_PRIME))
+
+
+def spread(key, salt: int = 0):
+    """A number in [0, 1) from a 32-bit multiplicative hash of a whole number of any size: cheap, and the same in any SQL engine."""
+    x = F.col(key) if isinstance(key, str) else key
+    return F.pmod(F.pmod(x, F.lit(_PRIME)) * 2654435761 + salt * 40503, F.lit(1 << 32)) / float(1 << 32)

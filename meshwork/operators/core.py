@@ -1,6 +1,8 @@
 """Reductions to cores, components and distances: loops whose rounds are joins and aggregates."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,17 +73,32 @@ def components(edges: DataFrame) -> DataFrame:
     return until_stable(start, step, lambda x: x.agg(F.sum("root")).first()[0])
 
 
-def distances(edges: DataFrame, sources: DataFrame, limit: int = 100) -> DataFrame:
-    """source, id, dist of each vertex within reach of sources(id): frontier by frontier."""
+def distances(edges: DataFrame, sources: DataFrame, hops: int | None = None) -> DataFrame:
+    """source, id, dist of each vertex within reach (or so many hops) of sources(id): frontier by frontier, until no new vertex is found.
+
+    Each round writes its frontier alone; a vertex of an undirected graph has all its neighbours in the last, this or the next frontier, so only the last two are looked at.
+    """
     both = cut(symmetric(edges))
-    seen = front = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).cast("long").alias("dist")))
-    for d in range(1, limit + 1):
+    last = front = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).cast("long").alias("dist")).distinct())
+    rounds, d = [front], 0
+    while hops is None or d < hops:
+        d += 1
         near = front.join(both, front.id == both.src).select("source", F.col("dst").alias("id")).distinct()
-        front = cut(near.join(seen, ["source", "id"], "left_anti").withColumn("dist", F.lit(d).cast("long")))
+        old = front if d == 1 else front.unionByName(last)
+        last, front = front, cut(near.join(old.select("source", "id"), ["source", "id"], "left_anti").withColumn("dist", F.lit(d).cast("long")))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen
+        rounds.append(front)
+        if len(rounds) == 50:
+            rounds = [cut(reduce(DataFrame.unionByName, rounds))]
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def bfs_tree(edges: DataFrame, root: DataFrame) -> DataFrame:
+    """id, parent (the least neighbour one hop nearer; null for the root), dist from root(id)."""
+    d = cut(distances(edges, root).select("id", "dist"))
+    near = symmetric(edges).join(d.withColumnsRenamed({"id": "src", "dist": "a"}), "src").join(d.withColumnsRenamed({"id": "dst", "dist": "b"}), "dst").filter("b = a - 1")
+    return d.join(near.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("parent")), "id", "left").select("id", "parent", "dist")
 
 
 def colourful_degrees(edges: DataFrame, colours: DataFrame, attributes: DataFrame) -> DataFrame:
@@ -104,21 +121,31 @@ def colourful_core(edges: DataFrame, colours: DataFrame, attributes: DataFrame,
     return until_stable(edges, step)
 
 
-def colouring(edges: DataFrame) -> DataFrame:
-    """id, colour of a proper colouring: rounds of Jones and Plassmann, by descending (degree, id).
+def colouring(edges: DataFrame, most: int = 500) -> DataFrame:
+    """id, colour of a proper colouring, by proposals: rounds whose number grows with the logarithm of the vertices, whatever the degrees.
 
-    In a round each vertex that has no uncoloured neighbour before it takes the least colour that no neighbour has.
+    In a round each uncoloured vertex proposes one of its first free colours, by a hash among one more than half of its uncoloured neighbours before it (by descending degree, id), so the first
+    take their least one; of two neighbours that propose the same colour the earlier has it.
     """
     deg = degrees(edges)
-    both = cut(symmetric(edges).join(deg.withColumnsRenamed({"id": "src", "deg": "ds"}), "src").join(deg.withColumnsRenamed({"id": "dst", "deg": "dd"}), "dst"))
-    before = cut(both.filter(F.struct("dd", "dst") > F.struct("ds", "src")).select("src", "dst"))
-    done = cut(deg.select("id").join(before.select(F.col("src").alias("id")), "id", "left_anti").withColumn("colour", F.lit(0)))
-    left = cut(deg.select("id").join(done, "id", "left_anti"))
-    while not left.isEmpty():
-        waits = before.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
-        ready = left.join(waits, "id", "left_anti")
-        used = before.join(ready.select(F.col("id").alias("src")), "src", "left_semi").join(done.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.collect_set("colour").alias("used"))
-        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("used")), "used"))
-        done = cut(done.unionByName(used.select(F.col("src").alias("id"), free.alias("colour"))))
+    both = cut(symmetric(edges.select("src", "dst")).join(deg.withColumnsRenamed({"id": "src", "deg": "ds"}), "src").join(deg.withColumnsRenamed({"id": "dst", "deg": "dd"}), "dst").withColumn("later", F.struct("dd", "dst") > F.struct("ds", "src")).select("src", "dst", "later"))
+    left = cut(deg.select("id"))
+    done = None
+    for k in range(most):
+        if left.isEmpty():
+            return done
+        mine = both.join(left.select(F.col("id").alias("src")), "src", "left_semi")
+        ahead = mine.filter("later").join(left.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count("*").cast("int").alias("ahead"))
+        now = left.join(ahead, "id", "left").withColumn("ahead", F.coalesce("ahead", F.lit(0)))
+        if done is None:
+            now = now.withColumn("used", F.array().cast("array<int>"))
+        else:
+            taken = mine.join(done.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.collect_set("colour").alias("used"))
+            now = now.join(taken, "id", "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
+        free = F.array_except(F.sequence(F.lit(0), F.size("used") + F.col("ahead")), "used")
+        asked = cut(now.select("id", F.get(free, F.pmod(F.xxhash64("id", F.lit(k)), F.shiftright("ahead", 1) + 1).cast("int")).alias("colour")))
+        beaten = mine.filter("later").join(asked.withColumnsRenamed({"id": "src", "colour": "a"}), "src").join(asked.withColumnsRenamed({"id": "dst", "colour": "b"}), "dst").filter("a = b").select(F.col("src").alias("id")).distinct()
+        fresh = asked.join(beaten, "id", "left_anti")
+        done = cut(fresh if done is None else done.unionByName(fresh))
         left = cut(left.join(done, "id", "left_anti"))
-    return done
+    raise RuntimeError("vertices are uncoloured after so many rounds")

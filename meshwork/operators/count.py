@@ -58,14 +58,43 @@ def butterflies_by_edge(bip: DataFrame) -> DataFrame:
     return pairs.groupBy("u", F.col("a").alias("v")).agg(F.sum(F.col("shared") - 1).cast("long").alias("butterflies"))
 
 
+def _sets(bip: DataFrame, p: int, side: str, least: int) -> DataFrame:
+    """x0 < x1 < ... of each p-set of one side with at least ``least`` common neighbours, and their number c; sets grow by one vertex at a time and go when too few remain."""
+    other = "u" if side == "v" else "v"
+    pairs = bip.select(F.col(other).alias("o"), F.col(side).alias("x"))
+    enough = pairs.groupBy("x").agg(F.count("*").alias("c")).filter(F.col("c") >= least)
+    found = pairs.join(enough.select("x"), "x", "left_semi").withColumnRenamed("x", "x0")
+    for i in range(1, p):
+        names = [f"x{j}" for j in range(i + 1)]
+        longer = found.join(pairs.withColumnRenamed("x", f"x{i}"), "o").filter(F.col(f"x{i - 1}") < F.col(f"x{i}"))
+        found = longer
+        if i < p - 1:
+            found = cut(longer)
+            alive = found.groupBy(*names).agg(F.count("*").alias("c")).filter(F.col("c") >= least)
+            found = found.join(alive.select(*names), names, "left_semi")
+    return found.groupBy(*(f"x{i}" for i in range(p))).agg(F.count("*").alias("c")).filter(F.col("c") >= least)
+
+
+def set_cost(bip: DataFrame, size: int, side: str) -> float:
+    """How many sets of so many vertices of one side have a common neighbour, with repeats."""
+    d = bip.groupBy("u" if side == "v" else "v").agg(F.count("*").alias("d"))
+    return float(d.agg(F.coalesce(F.sum(choose("d", size).cast("double")), F.lit(0.0))).first()[0])
+
+
 def bicliques(bip: DataFrame, p: int, q: int) -> DataFrame:
     """The number of (p, q)-bicliques: p vertices of side v, q of side u.
 
-    p-sets of v are listed with their count of shared u by p joins on u; the binomials are summed.
+    The side whose sets are fewer is listed, p-sets of v or q-sets of u, with their number of common neighbours; the binomials are summed.
     """
-    sets = reduce(lambda acc, i: acc.join(bip.select("u", F.col("v").alias(f"x{i}")), "u").filter(F.col(f"x{i - 1}") < F.col(f"x{i}")), range(1, p), bip.select("u", F.col("v").alias("x0")))
-    shared = sets.groupBy(*(f"x{i}" for i in range(p))).agg(F.count("*").alias("c")).filter(F.col("c") >= q)
-    return shared.agg(F.coalesce(F.sum(choose("c", q)).cast("long"), F.lit(0).cast("long")).alias("bicliques"))
+    side, size, rest = ("v", p, q) if set_cost(bip, p, "v") <= set_cost(bip, q, "u") else ("u", q, p)
+    return _sets(bip, size, side, rest).agg(F.coalesce(F.sum(choose("c", rest)).cast("long"), F.lit(0).cast("long")).alias("bicliques"))
+
+
+def bicliques_by_vertex(bip: DataFrame, p: int, q: int, side: str = "v") -> DataFrame:
+    """id, bicliques: the (p, q)-bicliques (p of side v, q of side u) that hold each vertex of one side; vertices without any are left out."""
+    size, rest = (p, q) if side == "v" else (q, p)
+    found = _sets(bip, size, side, rest)
+    return found.select(F.explode(F.array(*(f"x{i}" for i in range(size)))).alias("id"), choose("c", rest).alias("n")).groupBy("id").agg(F.sum("n").cast("long").alias("bicliques"))
 
 
 def oriented(edges: DataFrame) -> DataFrame:

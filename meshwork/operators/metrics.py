@@ -4,6 +4,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running
+
+
+#: Cells of a contingency table that the driver solves, at most.
+CELLS = 1_000_000
+
 
 def hits_at(positives: DataFrame, negatives: DataFrame, k: int) -> DataFrame:
     """hits: the share of positive scores over the k-th best negative one (all, if there are fewer negatives)."""
@@ -13,20 +19,26 @@ def hits_at(positives: DataFrame, negatives: DataFrame, k: int) -> DataFrame:
 
 
 def mrr(positives: DataFrame, negatives: DataFrame) -> DataFrame:
-    """mrr: the mean of 1 / rank of each positive among the negatives of the same source (higher scores before it; ties half)."""
-    pairs = positives.join(negatives.select("source", F.col("score").alias("other")), "source", "left")
-    place = pairs.groupBy("source", "id", "score").agg((1 + F.sum(F.when(F.col("other") > F.col("score"), 1.0).when(F.col("other") == F.col("score"), 0.5).otherwise(0.0))).alias("place"))
-    return place.agg(F.round(F.avg(1 / F.col("place")), 6).alias("mrr"))
+    """mrr: the mean of 1 / rank of each positive among the negatives of the same source (higher scores before it; ties half).
+
+    Equal scores of a source are counted first; sums over a source's scores in order give the ranks, without pairs of positives and negatives.
+    """
+    each = positives.select("source", "score", F.lit(1).alias("p"), F.lit(0).alias("n")).unionByName(negatives.select("source", "score", F.lit(0).alias("p"), F.lit(1).alias("n")))
+    by = each.groupBy("source", "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    above = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = by.withColumn("place", 1 + above + F.col("n") / 2).filter("p > 0")
+    return ranked.agg(F.round(F.sum(F.col("p") / F.col("place")) / F.sum("p"), 6).alias("mrr"))
 
 
 def auc_ap(df: DataFrame) -> DataFrame:
-    """auc, ap of (score, label 0/1): sums over distinct scores, which are counted first, so ties cost nothing."""
+    """auc, ap of (score, label 0/1): sums over distinct scores, which are counted first, so ties cost nothing; running sums go by ranges of scores."""
     by = df.groupBy("score").agg(F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("n"))
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.select("p", "n", F.coalesce(F.sum("n").over(up), F.lit(0.0)).alias("below"), F.sum("p").over(down).alias("tp"), F.sum(F.col("p") + F.col("n")).over(down).alias("all"))
-    out = run.agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("a"), F.sum(F.col("p") * F.col("tp") / F.col("all")).alias("s"))
-    return out.select(F.round(F.col("a") / (F.col("P") * F.col("N")), 6).alias("auc"), F.round(F.col("s") / F.col("P"), 6).alias("ap"))
+    up = running(running(by, "score", "n", "upto"), "score", "p", "pupto")
+    total = F.broadcast(by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n")))
+    p, n = F.col("p"), F.col("n")
+    run = up.crossJoin(total).select("p", "n", "all_p", "all_n", (F.col("upto") - n).alias("below"), (F.col("all_p") - F.col("pupto") + p).alias("tp"), (F.col("all_n") - F.col("upto") + n).alias("fp"))
+    out = run.agg(F.max("all_p").alias("all_p"), F.max("all_n").alias("all_n"), F.sum(p * (F.col("below") + n / 2)).alias("a"), F.sum(p * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("s"))
+    return out.select(F.round(F.col("a") / (F.col("all_p") * F.col("all_n")), 6).alias("auc"), F.round(F.col("s") / F.col("all_p"), 6).alias("ap"))
 
 
 def confusion(df: DataFrame) -> DataFrame:
@@ -67,7 +79,10 @@ def best_mapping_accuracy(df: DataFrame) -> float:
     """The accuracy under the best one-to-one mapping of clusters to labels (the contingency table, a cell for each pair of classes, is solved on the driver)."""
     import numpy as np
 
-    c = df.groupBy("label", "pred").count().limit(1_000_000).toPandas()
+    cells = df.groupBy("label", "pred").count()
+    if cells.limit(CELLS + 1).count() > CELLS:
+        raise ValueError(f"more than {CELLS} cells: the mapping is solved on the driver")
+    c = cells.toPandas()
     labels, preds = sorted(c["label"].unique()), sorted(c["pred"].unique())
     n = max(len(labels), len(preds))
     gain = np.zeros((n, n))
@@ -110,15 +125,21 @@ def assignment(cost) -> list[int]:
 
 
 def losses(pairs: DataFrame) -> DataFrame:
-    """One row of mean losses over pairs(pos, neg, weight): squared AUC, hinge, weighted, squared hinge, weighted hinge, log rank, cross entropy, logistic margin, InfoNCE."""
-    d = F.col("pos") - F.col("neg")
-    hinge = F.greatest(F.lit(0.0), 1 - d)
-    lse = lambda x: F.ln(1 + F.exp(x))
-    terms = {
-        "auc": F.pow(1 - d, F.lit(2.0)), "hinge_auc": F.pow(hinge, F.lit(2.0)), "weighted_auc": F.col("weight") * F.pow(1 - d, F.lit(2.0)), "hinge": hinge, "weighted_hinge": F.col("weight") * F.pow(hinge, F.lit(2.0)),
-        "log_rank": -F.ln(1 / (1 + F.exp(-d)) + 1e-15), "cross_entropy": lse(-F.col("pos")) + lse(F.col("neg")), "adaptive": F.col("weight") * hinge, "info_nce": -F.ln(F.exp("pos") / (F.exp("pos") + F.exp("neg"))),
+    """One row over pairs(pos, neg, weight), one negative for each positive: sums of the squared losses of the margin d = pos - neg, means of the logarithmic ones.
+
+    auc (1 - d)^2, hinge_auc max(0, 1 - d)^2, weighted_auc w (1 - d)^2, adaptive_auc (w - d)^2, weighted_hinge_auc w max(0, w - d)^2, adaptive_hinge_auc max(0, w - d)^2,
+    log_rank -ln(sigmoid(d) + 1e-15), cross_entropy -ln(sigmoid(pos) + 1e-15) - ln(1 - sigmoid(neg) + 1e-15), info_nce -ln(e^pos / (e^pos + e^neg) + 1e-15).
+    """
+    d, w = F.col("pos") - F.col("neg"), F.col("weight")
+    square = lambda x: x * x
+    above = lambda x: F.greatest(F.lit(0.0), x)
+    sigmoid = lambda x: 1 / (1 + F.exp(-x))
+    sums = {"auc": square(1 - d), "hinge_auc": square(above(1 - d)), "weighted_auc": w * square(1 - d), "adaptive_auc": square(w - d), "weighted_hinge_auc": w * square(above(w - d)), "adaptive_hinge_auc": square(above(w - d))}
+    means = {
+        "log_rank": -F.ln(sigmoid(d) + 1e-15), "cross_entropy": -F.ln(sigmoid(F.col("pos")) + 1e-15) - F.ln(1 - sigmoid(F.col("neg")) + 1e-15),
+        "info_nce": -F.ln(F.exp("pos") / (F.exp("pos") + F.exp("neg")) + 1e-15),
     }
-    return pairs.agg(*(F.round(F.avg(x), 6).alias(k) for k, x in terms.items()))
+    return pairs.agg(*(F.sum(x).alias(k) for k, x in sums.items()), *(F.avg(x).alias(k) for k, x in means.items()))
 
 
 def best_epochs(runs: DataFrame) -> DataFrame:

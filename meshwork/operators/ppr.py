@@ -29,17 +29,30 @@ def _spread(r: DataFrame, t: DataFrame, alpha: float) -> DataFrame:
     return moved.groupBy("source", F.coalesce("dst", "id").alias("id")).agg(F.sum(F.col("r") * (1 - alpha) * F.coalesce("share", F.lit(1.0))).alias("r"))
 
 
-def power(edges: DataFrame, start: DataFrame, rounds: int, alpha: float = 0.2, weight: str | None = None, every: int = CUT_EVERY) -> DataFrame:
-    """source, id, score after so many rounds from start(source, id, r): each round gives alpha of the residual to the reserve and passes on the rest."""
+def _moves(edges: DataFrame, start: DataFrame, weight: str | None) -> DataFrame:
+    """src, dst, share, own: the transitions, a move to itself for each vertex without any, and one row (own) for each vertex by which its reserve stays."""
     t = _transitions(edges, weight)
-    r, total = start.select("source", "id", F.col("r").cast("double").alias("r")), None
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("src")).unionByName(start.select(F.col("id").alias("src"))).distinct()
+    ends = nodes.join(t.select("src").distinct(), "src", "left_anti")
+    row = lambda df, share, own: df.select("src", F.col("src").alias("dst"), F.lit(share).alias("share"), F.lit(own).alias("own"))
+    return cut(t.withColumn("own", F.lit(False)).unionByName(row(ends, 1.0, False)).unionByName(row(nodes, 0.0, True)))
+
+
+def power(edges: DataFrame, start: DataFrame, rounds: int, alpha: float = 0.2, weight: str | None = None, every: int = CUT_EVERY) -> DataFrame:
+    """source, id, score after so many rounds from start(source, id, r): each round gives alpha of the residual to the reserve and passes on the rest.
+
+    The state of a round is one row (source, id, p, r) for each vertex reached; a round is one join with the moves and one aggregate.
+    """
+    moves = _moves(edges, start, weight)
+    now = start.select("source", "id", F.lit(0.0).alias("p"), F.col("r").cast("double").alias("r"))
     for i in range(rounds):
-        gain = r.select("source", "id", (F.col("r") * alpha).alias("p"))
-        total = gain if total is None else total.unionByName(gain).groupBy("source", "id").agg(F.sum("p").alias("p"))
-        r = _spread(r, t, alpha)
+        each = now.join(moves, now.id == moves.src)
+        p = F.when(F.col("own"), F.col("p") + F.col("r") * alpha).otherwise(0.0)
+        now = each.select("source", F.col("dst").alias("id"), p.alias("p"), (F.col("r") * (1 - alpha) * F.col("share")).alias("r"))
+        now = now.groupBy("source", "id").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
         if i % every == every - 1:
-            r, total = cut(r), cut(total)
-    return total.select("source", "id", F.col("p").alias("score"))
+            now = cut(now)
+    return now.filter("p > 0").select("source", "id", F.col("p").alias("score"))
 
 
 def single_sources(nodes: DataFrame) -> DataFrame:
@@ -70,11 +83,11 @@ def push(edges: DataFrame, start: DataFrame, epsilon: float, alpha: float = 0.2,
         marked = cut(r.join(deg, "id", "left").withColumn("hot", F.col("r") > epsilon * F.coalesce("deg", F.lit(1))))
         hot = marked.filter("hot").select("source", "id", "r")
         if hot.isEmpty():
-            break
+            return p if p is not None else r.select("source", "id", F.col("r").alias("p")).filter("false"), r
         gain = hot.select("source", "id", (F.col("r") * alpha).alias("p"))
         p = cut(gain if p is None else p.unionByName(gain).groupBy("source", "id").agg(F.sum("p").alias("p")))
         r = cut(marked.filter("NOT hot").select("source", "id", "r").unionByName(_spread(hot, t, alpha)).groupBy("source", "id").agg(F.sum("r").alias("r")))
-    return p if p is not None else r.select("source", "id", F.col("r").alias("p")).filter("false"), r
+    raise RuntimeError("residuals are above the threshold after so many rounds")
 
 
 def backward(edges: DataFrame, target: int, rounds: int, alpha: float = 0.2) -> DataFrame:
@@ -115,7 +128,7 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("source").agg(F.sum(diff).alias("l1"), F.max(diff).alias("worst"))
 
 
-def walks(edges: DataFrame, start: DataFrame, per_unit: int, alpha: float = 0.2, seed: int = 0, limit: int = 200) -> DataFrame:
+def walks(edges: DataFrame, start: DataFrame, per_unit: int, alpha: float = 0.2, seed: int = 0) -> DataFrame:
     """source, id, score estimated by walks from start(source, id, r): each unit of r gives per_unit walks of weight r / walks.
 
     All walks advance by one edge a round, as rows; a walk ends with probability alpha.  Draws are hashes of (walk, step, seed), so they do not depend on partitions.
@@ -124,8 +137,9 @@ def walks(edges: DataFrame, start: DataFrame, per_unit: int, alpha: float = 0.2,
     n = F.greatest(F.ceil(F.col("r") * per_unit), F.lit(1)).cast("long")
     rows = start.filter("r > 0").select("source", F.col("id").alias("first"), (F.col("r") / n).alias("w"), F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("k"))
     rows = cut(rows.select("source", "w", F.xxhash64(F.lit(seed), "source", "first", "k").alias("walk"), F.col("first").alias("id")))
-    ended = None
-    for step in range(limit):
+    ended, step = None, -1
+    while True:
+        step += 1
         drawn = rows.withColumn("stop", uniform("walk", 2 * step) < alpha)
         stop = drawn.filter("stop").groupBy("source", "id").agg(F.sum("w").alias("w"))
         ended = stop if ended is None else ended.unionByName(stop)
@@ -191,6 +205,151 @@ def forest_scores(edges: DataFrame, start: DataFrame, samples: int, alpha: float
     return each.groupBy("source", "id").agg((F.sum(F.col("r") * F.col("d") / F.col("total")) / samples).alias("score"))
 
 
+def backward_push(edges: DataFrame, target: int, epsilon: float, alpha: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """(id, score and id, r) when no residual is above epsilon: each vertex's PPR value of the target lies within epsilon above its score."""
+    t = _transitions(edges)
+    p, r = None, cut(edges.sparkSession.createDataFrame([(target, 1.0)], "id long, r double"))
+    while True:
+        hot = r.filter(F.col("r") > epsilon)
+        if hot.isEmpty():
+            return p if p is not None else r.select("id", F.col("r").alias("score")).filter("false"), r
+        gain = hot.select("id", (F.col("r") * alpha).alias("score"))
+        p = cut(gain if p is None else p.unionByName(gain).groupBy("id").agg(F.sum("score").alias("score")))
+        moved = hot.join(t, hot.id == t.dst).select(F.col("src").alias("id"), (F.col("r") * (1 - alpha) * F.col("share")).alias("r"))
+        r = cut(r.filter(F.col("r") <= epsilon).unionByName(moved).groupBy("id").agg(F.sum("r").alias("r")))
+
+
+def randomised_backward(edges: DataFrame, target: int, epsilon: float, alpha: float = 0.2, seed: int = 0) -> DataFrame:
+    """id, score estimated level by level against the edges: an increment below epsilon / sqrt(d) is added as that much with the fitting probability.
+
+    All receivers of one pusher share its coin of the level; a receiver v divides by the root of its own out-degree d.
+    """
+    d = cut(edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("d")))
+    arcs = cut(edges.select(F.col("src").alias("v"), F.col("dst").alias("w")).join(d, "v"))
+    r = edges.sparkSession.createDataFrame([(target, 1.0)], "id long, r double")
+    total = r.select("id", (F.col("r") * alpha).alias("score"))
+    for level in range(math.ceil(math.log(epsilon) / math.log(1 - alpha)) + 1):
+        keyed = r.withColumn("_k", F.xxhash64("id", F.lit(level)))
+        pushed = keyed.join(arcs, keyed.id == arcs.w)
+        exact = F.col("r") * (1 - alpha) / F.col("d")
+        least = F.lit(float(epsilon)) / F.sqrt("d")
+        amount = F.when(exact >= least, exact).when(uniform("_k", seed) < exact / least, least).otherwise(0.0)
+        r = cut(pushed.select(F.col("v").alias("id"), amount.alias("r")).groupBy("id").agg(F.sum("r").alias("r")).filter("r > 0"))
+        total = cut(total.unionByName(r.select("id", (F.col("r") * alpha).alias("score"))).groupBy("id").agg(F.sum("score").alias("score")))
+        if r.isEmpty():
+            break
+    return total
+
+
+def backward_with_forests(edges: DataFrame, target: int, epsilon: float, samples: int, alpha: float = 0.2, seed: int = 0) -> DataFrame:
+    """id, score: backward push, then the residuals spread over the trees of forests by degree (undirected graphs, each edge in both directions)."""
+    p, r = backward_push(edges, target, epsilon, alpha)
+    found = cut(forests(edges, samples, alpha, seed))
+    deg = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").cast("double").alias("d"))
+    trees = found.join(deg, "id").join(r, "id", "left")
+    means = trees.groupBy("sample", "root").agg((F.sum(F.coalesce("r", F.lit(0.0)) * F.col("d")) / F.sum("d")).alias("m"))
+    each = found.join(means, ["sample", "root"]).groupBy("id").agg((F.sum("m") / samples).alias("score"))
+    return p.unionByName(each).groupBy("id").agg(F.sum("score").alias("score"))
+
+
+def fora_with_forests(edges: DataFrame, start: DataFrame, epsilon: float, samples: int, alpha: float = 0.2, seed: int = 0, reduced: bool = True) -> DataFrame:
+    """Push to epsilon, then forests for the residuals (reduced: spread over the trees)."""
+    p, r = push(edges, start, epsilon, alpha)
+    w = forest_scores(edges, r, samples, alpha, seed, reduced).withColumnRenamed("score", "p")
+    return p.unionByName(w.select("source", "id", "p")).groupBy("source", "id").agg(F.sum("p").alias("score"))
+
+
+def speed_ppr(edges: DataFrame, start: DataFrame, epsilon: float, per_unit: int, alpha: float = 0.2, seed: int = 0, rest: str = "walks", samples: int = 16) -> DataFrame:
+    """source, id, score: pushes while frontiers are small, then rounds that push every vertex until the residual of each source is at most
+    arcs x epsilon, then walks, forests or reduced forests for what is left."""
+    t, m = _transitions(edges), edges.count()
+    now = cut(start.select("source", "id", F.lit(0.0).alias("p"), F.col("r").cast("double").alias("r")))
+    while (now.groupBy("source").agg(F.sum("r").alias("r")).agg(F.max("r")).first()[0] or 0.0) > min(0.5, m * epsilon):
+        moved = now.join(t, now.id == t.src, "left").select("source", F.coalesce("dst", "id").alias("id"), F.lit(0.0).alias("p"), (F.col("r") * (1 - alpha) * F.coalesce("share", F.lit(1.0))).alias("r"))
+        stays = now.select("source", "id", (F.col("p") + F.col("r") * alpha).alias("p"), F.lit(0.0).alias("r"))
+        now = cut(moved.unionByName(stays).groupBy("source", "id").agg(F.sum("p").alias("p"), F.sum("r").alias("r")))
+    r = now.filter("r > 0").select("source", "id", "r")
+    left = walks(edges, r, per_unit, alpha, seed) if rest == "walks" else forest_scores(edges, r, samples, alpha, seed, rest == "reduced")
+    return now.select("source", "id", F.col("p").alias("score")).unionByName(left.select("source", "id", "score")).groupBy("source", "id").agg(F.sum("score").alias("score"))
+
+
+def residual_of(edges: DataFrame, start: DataFrame, estimate: DataFrame, alpha: float = 0.2) -> DataFrame:
+    """source, id, r (signed): what the estimate lacks, start - estimate (I - (1 - alpha) P) / alpha; walks from it correct the estimate."""
+    t = _transitions(edges)
+    moved = estimate.join(t, estimate.id == t.src, "left").select("source", F.coalesce("dst", "id").alias("id"), (F.col("score") * ((1 - alpha) / alpha) * F.coalesce("share", F.lit(1.0))).alias("r"))
+    every = start.select("source", "id", "r").unionByName(estimate.select("source", "id", (-F.col("score") / alpha).alias("r"))).unionByName(moved)
+    return every.groupBy("source", "id").agg(F.sum("r").alias("r")).filter("abs(r) > 1e-15")
+
+
+def powered(edges: DataFrame, start: DataFrame, estimate: DataFrame, rounds: int, alpha: float = 0.2) -> DataFrame:
+    """The estimate after so many rounds of score <- alpha start + (1 - alpha) score P, each of which takes (1 - alpha) of its error."""
+    t = _transitions(edges)
+    for _ in range(rounds):
+        moved = estimate.join(t, estimate.id == t.src, "left").select("source", F.coalesce("dst", "id").alias("id"), (F.col("score") * (1 - alpha) * F.coalesce("share", F.lit(1.0))).alias("score"))
+        estimate = cut(moved.unionByName(start.select("source", "id", (F.col("r") * alpha).alias("score"))).groupBy("source", "id").agg(F.sum("score").alias("score")))
+    return estimate
+
+
+def progressive(edges: DataFrame, start: DataFrame, batches: int, per_unit: int, alpha: float = 0.2, seed: int = 0, by: str = "walks", samples: int = 8, power_rounds: int = 0) -> DataFrame:
+    """source, id, score: an estimate by walks, corrected batch after batch by walks (or forests) from its own signed residual, and power rounds at last."""
+    estimate = cut(walks(edges, start, per_unit, alpha, seed))
+    for k in range(1, batches):
+        r = cut(residual_of(edges, start, estimate, alpha))
+        parts = []
+        for sign in (1, -1):
+            side = r.filter(F.col("r") * sign > 0).select("source", "id", (F.col("r") * sign).alias("r"))
+            found = walks(edges, side, per_unit, alpha, seed + 2 * k + (sign > 0)) if by == "walks" else forest_scores(edges, side, samples, alpha, seed + k)
+            parts.append(found.select("source", "id", (F.col("score") * sign).alias("score")))
+        estimate = cut(estimate.unionByName(parts[0]).unionByName(parts[1]).groupBy("source", "id").agg(F.sum("score").alias("score")))
+    return powered(edges, start, estimate, power_rounds, alpha)
+
+
+def progressive_to(edges: DataFrame, start: DataFrame, error: float, per_unit: int, alpha: float = 0.2, seed: int = 0, most: int = 200) -> DataFrame:
+    """Power rounds on an estimate by walks until the residual of every source, alpha times its sum of sizes, is at most ``error``."""
+    estimate = cut(walks(edges, start, per_unit, alpha, seed))
+    for _ in range(most):
+        worst = residual_of(edges, start, estimate, alpha).groupBy("source").agg((F.sum(F.abs("r")) * alpha).alias("e")).agg(F.max("e")).first()[0] or 0.0
+        if worst <= error:
+            return estimate
+        estimate = powered(edges, start, estimate, 1, alpha)
+    raise RuntimeError("the error is above its bound after so many rounds")
+
+
+#: The estimators of one PPR problem by name: edges, start and the options of each.
+METHODS = {
+    "power": lambda e, s, rounds=30, **k: power(e, s, rounds, **k), "walks": walks, "fora": fora, "fora_forests": fora_with_forests, "speed": speed_ppr, "forests": forest_scores, "progressive": progressive,
+}
+
+
+def single_source(edges: DataFrame, nodes: DataFrame, method: str, **options) -> DataFrame:
+    """source, id, score for each of nodes(id)."""
+    return METHODS[method](edges, single_sources(nodes), **options)
+
+
+def any_distribution(edges: DataFrame, start: DataFrame, method: str, **options) -> DataFrame:
+    return METHODS[method](edges, start, **options)
+
+
+def centrality_by(edges: DataFrame, method: str, **options) -> DataFrame:
+    """id, score from the uniform start."""
+    return METHODS[method](edges, uniform_start(edges), **options).select("id", "score")
+
+
+def compare_runs(truth: DataFrame, runs: DataFrame) -> DataFrame:
+    """method, source, l1_mean, l1_variance of runs(method, run, source, id, score) against truth(source, id, score)."""
+    ids = runs.select("method", "run", "source").distinct()
+    want = ids.join(truth.withColumnRenamed("score", "x"), "source")
+    both = want.join(runs.withColumnRenamed("score", "y"), ["method", "run", "source", "id"], "full")
+    each = both.groupBy("method", "run", "source").agg(F.sum(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)))).alias("l1"))
+    return each.groupBy("method", "source").agg(F.avg("l1").alias("l1_mean"), F.coalesce(F.var_samp("l1"), F.lit(0.0)).alias("l1_variance"))
+
+
+def source_distribution(nodes: DataFrame, seed: int = 0) -> DataFrame:
+    """source (0), id, r: hashed numbers over nodes(id), scaled to a sum of 1."""
+    u = nodes.select("id", uniform("id", seed).alias("u"))
+    return u.crossJoin(F.broadcast(u.agg(F.sum("u").alias("t")))).select(F.lit(0).cast("long").alias("source"), "id", (F.col("u") / F.col("t")).alias("r"))
+
+
 def top_k(scores: DataFrame, k: int, ties: bool = False) -> DataFrame:
     """The k best rows of each source by (score, least id); ties: all that reach the k-th score."""
     from pyspark.sql import Window

@@ -36,6 +36,8 @@ def segment_density(edges: DataFrame, length: int, horizon: int) -> DataFrame:
 
     Only windows that end at an active time can be densest for their start; both ends are found among the prefix sums of one vertex.
     """
+    if not edges.filter((F.col("t") >= horizon) | (F.col("t") < 0)).isEmpty():
+        raise ValueError("a time lies outside 0 ... horizon - 1")
     times = F.explode(F.sequence(F.lit(0), F.lit(horizon))).alias("k")
     from pyspark.sql import Window
 
@@ -69,15 +71,40 @@ def bursting_core(edges: DataFrame, length: int, delta: float, horizon: int) ->
     return now.select("u").distinct()
 
 
-def greatest_delta(edges: DataFrame, length: int, horizon: int, at_most: int = 64) -> tuple[int, DataFrame]:
-    """The greatest whole delta with a bursting core, and the core."""
-    best = (0, edges.select("u").distinct())
-    for delta in range(1, at_most + 1):
+def greatest_delta(edges: DataFrame, length: int, horizon: int) -> tuple[int, DataFrame]:
+    """The greatest whole delta with a bursting core, and the core; each search starts from the core before, as cores are nested."""
+    delta, core, now = 0, edges.select("u").distinct(), edges
+    while True:
+        found = cut(bursting_core(now, length, delta + 1, horizon))
+        if found.isEmpty():
+            return delta, core
+        delta, core = delta + 1, found
+        now = cut(edges.join(core, "u", "left_semi").join(core.select(F.col("u").alias("v")), "v", "left_semi").select("u", "v", "t"))
+
+
+def greatest_length(edges: DataFrame, delta: float, horizon: int) -> tuple[int, DataFrame]:
+    """The greatest window length with a bursting core of delta, and the core (0 and no vertex if there is none).
+
+    A core of some length is one of every length whose windows it can be cut into, but not of every shorter one, so all lengths are tried, longest first.
+    """
+    for length in range(horizon, 0, -1):
         core = cut(bursting_core(edges, length, delta, horizon))
-        if core.isEmpty():
-            break
-        best = (delta, core)
-    return best
+        if not core.isEmpty():
+            return length, core
+    return 0, edges.select("u").filter("false")
+
+
+def slopes(edges: DataFrame, horizon: int) -> DataFrame:
+    """u, a, b, slope: for each time b the start a of the steepest rise of a vertex's summed activity that ends there (the longest of equal ones)."""
+    from pyspark.sql import Window
+
+    grid = edges.select("u").distinct().select("u", F.explode(F.sequence(F.lit(0), F.lit(horizon))).alias("k"))
+    seen = activity(edges).select("u", (F.col("t") + 1).alias("k"), "ds")
+    sums = grid.join(seen, ["u", "k"], "left").withColumn("s", F.sum(F.coalesce("ds", F.lit(0))).over(Window.partitionBy("u").orderBy("k"))).select("u", "k", "s")
+    lists = sums.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("p"))
+    point = lists.select("u", "p", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("b"))
+    best = F.array_max(F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda a: F.struct(((F.get("p", F.col("b"))["s"] - F.get("p", a)["s"]) / (F.col("b") - a).cast("double")).alias("slope"), (-a).alias("neg"))))
+    return point.withColumn("x", best).select("u", (-F.col("x.neg")).alias("a"), "b", F.col("x.slope").alias("slope"))
 
 
 def pareto_cores(edges: DataFrame, lengths: list[int], horizon: int) -> DataFrame:

@@ -161,10 +161,10 @@ def test_ppr(spark):
     exact = 0.2 * np.linalg.inv(np.eye(len(nodes)) - 0.8 * p)
     df = edges(spark, arcs)
     start = ppr.single_sources(spark.createDataFrame([(1,), (9,)], "id long"))
-    got = {(r.source, r.id): r.score for r in ppr.power_to(df, start, 1e-6).collect()}
+    got = {(r.source, r.id): r.score for r in ppr.power_to(df, start, 1e-5).collect()}
     for s in (1, 9):
         for x in nodes:
-            assert abs(got.get((s, x), 0) - exact[nodes.index(s), nodes.index(x)]) < 1e-5
+            assert abs(got.get((s, x), 0) - exact[nodes.index(s), nodes.index(x)]) < 2e-5
     back = {r.id: r.score for r in ppr.backward(edges(spark, arcs[:-1]), 1, 60).collect()}
     n2, p2 = transition(arcs[:-1])
     e2 = 0.2 * np.linalg.inv(np.eye(len(n2)) - 0.8 * p2)
@@ -218,8 +218,9 @@ def test_segments_and_bursts(spark):
 
 def test_samplers_repeat(spark):
     g = sampling.random_graph(spark, 60, 0.2, 3)
-    assert sorted(g.collect()) == sorted(sampling.random_graph(spark, 60, 0.2, 3).repartition(7).collect())
-    assert abs(g.count() - 0.2 * 60 * 59 / 2) < 80
+    assert sorted(g.collect()) == sorted(sampling.random_graph(spark, 60, 0.2, 3).repartition(7).collect()) == sorted(set(g.collect()))
+    assert abs(g.count() - 0.2 * 60 * 59 / 2) < 80 and g.filter("src >= dst OR dst >= 60").isEmpty()
+    assert sampling.random_graph(spark, 20, 1.0).count() == 190 and sampling.random_graph(spark, 20, 0.0).count() == 0
     neg = sampling.local_negatives(g, count.degrees(g), 2)
     assert neg.join(symmetric(g), ["src", "dst"]).count() == 0 and neg.count() > 0
     full = sampling.sampled_clique_count(g, 3, 1.0).first()[0]

@@ -2,6 +2,7 @@
 import duckdb
 import pytest
 
+import meshwork.catalog_more  # noqa: F401
 from meshwork.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
