@@ -29,6 +29,8 @@ from .util import Scratch, slices, slim
 
 WINDOW, END_ID, SHARD_TOKENS = 2048, 1, 1_000_000
 K1, B = 1.2, 0.75
+#: Entries of a dense table of postings (documents by ids of a shard), at most; seeds whose scores are taken in one product.
+DENSE, SEEDS = 16_000_000, 64
 #: MinHash values in a placement key, of 16 bits each.
 KEYS = 4
 #: Shards in one range of keys, about.
@@ -84,6 +86,17 @@ class Index:
         self.owners = np.concatenate(owners)[order] if owners else np.zeros(0, np.int32)
         self.weights = np.concatenate(weights)[order] if weights else np.zeros(0)
         self.starts, self.n = np.searchsorted(flat[order], np.arange((1 << 16) + 1)), len(docs)
+        used = np.flatnonzero(np.diff(self.starts))
+        self.dense = None
+        if self.n * len(used) <= DENSE:
+            self.dense = np.zeros((self.n, len(used)), np.float32)
+            self.dense[self.owners, np.repeat(np.arange(len(used)), np.diff(self.starts)[used])] = self.weights
+
+    def scores_of(self, seeds: np.ndarray) -> np.ndarray:
+        """The scores of all documents for each seed, to three decimals: through a matrix product of the postings where these fit a dense table, else seed by seed."""
+        if self.dense is None:
+            return np.array([self.scores(s) for s in seeds]).round(3)
+        return ((self.dense[seeds] > 0).astype(np.float32) @ self.dense.T).round(3)
 
     def scores(self, seed: int) -> np.ndarray:
         spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.terms[seed].astype(np.int64)]
@@ -100,7 +113,7 @@ def pack(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WIN
             out.append((i, int(at[i]), window, sequence, 0))
             at[i] += window
             sequence += 1
-    index = Index(docs, idf, mean)
+    index, known = Index(docs, idf, mean), {}
     for seed in range(len(docs)):
         while at[seed] < size[seed]:
             room, offset, order, k = window, 0, None, 0
@@ -115,7 +128,10 @@ def pack(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WIN
                     break
                 if order is None:
                     unused = np.flatnonzero(at < size)
-                    order = unused[np.argsort(-index.scores(seed)[unused], kind="stable")]
+                    if seed not in known:
+                        ahead = np.concatenate([[seed], unused[unused > seed][: (SEEDS if index.dense is not None else 1) - 1]]).astype(np.int64)
+                        known = dict(zip(ahead.tolist(), index.scores_of(ahead), strict=True))
+                    order = unused[np.argsort(-known[seed][unused], kind="stable")]
                 if k == len(order):
                     break
                 i, k = order[k], k + 1
