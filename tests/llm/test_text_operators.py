@@ -177,6 +177,28 @@ def test_packing_scores_with_every_id_of_the_seed():
     for q in range(30):
         want = np.array([sum(idf[t] * 2.2 / 2.2 for t in sets[q] & sets[d]) for d in range(30)])
         assert np.allclose(index.scores(q), want) and len(set(want.round(9))) > 20
+    assert np.allclose(index.scores_of(np.arange(30)), [index.scores(q) for q in range(30)], atol=2e-3)
+    dense, (packing.DENSE, old) = packing.pack(docs, idf, 340.0, 700), (0, packing.DENSE)
+    try:
+        assert packing.pack(docs, idf, 340.0, 700) == dense
+    finally:
+        packing.DENSE = old
+
+
+def test_packing_places_copies_together(spark):
+    rng = random.Random(7)
+    rows, words = [], sorted({"".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(3000)})
+    for i in range(120):
+        own = [rng.choice(words) for _ in range(25)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own[:-1], "end"]))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(d, t, "s", 1, "k", "h") for d, t in rows], SCHEMA)
+    got = packing.pack_documents(df, "word_bpe_49k.json", shard_tokens=1000).toPandas()
+    of = got.sort_values("start").groupby("doc_id")["sequence_id"].first()
+    assert of.nunique() > 10 and sum(of[2 * i] == of[2 * i + 1] for i in range(120)) > 80
+    same = spark.createDataFrame([(None, " ".join(words), "s", 1, "k", "h")] * 200, SCHEMA)
+    got = packing.pack_documents(same, "word_bpe_49k.json", shard_tokens=500).toPandas()
+    assert (got["sequence_id"] // 2**32).nunique() > 10  # rows without an id and with one text are dealt too
 
 
 def test_token_counts(docs, odd, empty):
@@ -516,6 +538,49 @@ def test_toxicity_edges(spark, odd, empty):
         assert toxicity.score(empty, lab).count() == 0
 
 
+def test_names_that_clash(spark):
+    labels = spark.createDataFrame([(i, i % 2, (i // 2) % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)))], "item_id long, text string")
+    names = ["_p_toxic", "p_toxic", "a.b", "row", "did", "rk", "th", "gone", "c", "n", "key", "_hot", "_salt"]
+    rows = [(i, f"{LONG} {i}\n{LONG}", *["x"] * len(names)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for out in (toxicity.without_toxic(df, labels), line_dedup.without_repeated_lines(df), jaccard_join.one_of_each_group(df), decontaminate.without_contaminated(df, bench)):
+        assert out.columns == df.columns and out.select("`a.b`").distinct().count() <= 1
+    assert toxicity.score(df, labels).count() == line_dedup.dedup_lines(df).count() == exact_dedup.exact_dedup(df).count() == 40
+    assert packing.pack_documents(df, "word_bpe_49k.json").agg({"doc_tokens": "count"}).first()[0] >= 40
+    assert token_counts.count_tokens(df, "word_bpe_49k.json").count() == licenses.scan_licenses(df).count() == 40
+
+
+def test_toxicity_by_plain_recomputation(spark):
+    """The registered model against gradients that vanish and against scores recomputed text by text."""
+    base = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    chosen, chain = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
+    for d, t in texts(docs):
+        have = {f for w in set(re.findall(r"\w+", t.lower())) for f in toxicity.features_of(w)}
+        p = []
+        for cols, w in zip(chain.columns, chain.weights, strict=True):
+            back = {i: f for f, i in chosen.items()}
+            z = sum(w[j] for j, c in enumerate(cols) if back[c] in have) + sum(w[len(cols) + j] * q for j, q in enumerate(p)) + w[-1]
+            p.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        assert np.allclose([got[d].p_low_quality, got[d].p_toxic, got[d].p_toxic_low_quality], p, atol=2e-6)
+        assert got[d].is_toxic == (p[1] >= 0.5) or abs(p[1] - 0.5) < 1e-6
+    rng = np.random.default_rng(1)
+    x = np.hstack([rng.integers(0, 2, (300, 5)), np.ones((300, 1))]).astype(float)
+    y, weight = (x[:, 0] + rng.random(300) > 0.9).astype(float), (np.arange(300) % 5 > 0).astype(float)
+    w = toxicity.fit_linear(x, y, weight, rounds=50)
+    shrink = np.array([1, 1, 1, 1, 1, 1e-6])
+    assert np.abs(x.T @ (weight * (1 / (1 + np.exp(-x @ w)) - y)) + shrink * w).max() < 1e-3
+    fold = np.arange(300) % toxicity.FOLDS
+    one = toxicity.fit_chain(x[:, :5], np.stack([y, 1 - y], axis=1), fold, [np.arange(5), np.arange(2)])
+    own = np.zeros(300)
+    for f in range(toxicity.FOLDS):  # the second model has seen out-of-fold probabilities of the first
+        own[fold == f] = 1 / (1 + np.exp(-x[fold == f] @ toxicity.fit_linear(x, y, (fold != f).astype(float))))
+    second = toxicity.fit_linear(np.hstack([x[:, :2], own[:, None], np.ones((300, 1))]), 1 - y, np.ones(300))
+    assert np.allclose(one.weights[1], second)
+
+
 def test_chain_uses_earlier_probabilities():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2, (600, 4)).astype(np.float32)
