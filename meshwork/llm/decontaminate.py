@@ -24,6 +24,8 @@ RADIUS = 2 * BLOCKS - 1
 #: Bits of each block: 64 in BLOCKS parts.
 CUTS = [(i * 64 // BLOCKS, (i + 1) * 64 // BLOCKS) for i in range(BLOCKS)]
 LANES = 1 << 32 | 1
+#: Windows that start within so many words are fingerprinted together, one from the other.
+RUN = 64
 
 
 def words(text):
@@ -37,16 +39,23 @@ def shingle_hashes(found, k: int = SHINGLE):
     return F.when(F.size(found) >= k, many).when(F.size(found) > 0, F.array(F.xxhash64(found))).otherwise(F.array().cast("array<bigint>"))
 
 
-def with_simhash(df: DataFrame, hashes: str, name: str) -> DataFrame:
-    """df with the 64-bit SimHash of its array of hashes: bit b is set if more than half of them have it.
+def _sketches(part: str, own: str, more: str) -> str:
+    """SQL for the 64-bit SimHashes of the windows of own hashes that start at 0 to more of the array part: bit b is set if more than half of a window's hashes have it.
 
-    32 sums hold the votes of two bits each, in lanes of 32 bits.
+    32 sums hold the votes of two bits each, in lanes of 32 bits; a step adds the hash that comes in and takes off the one that leaves.
     """
-    add = f"aggregate({hashes}, array_repeat(0L, 32), (acc, h) -> transform(acc, (s, j) -> s + (shiftrightunsigned(h, j) & {LANES}L)))"
-    low, high = "(get(_votes, j) & 4294967295L) * 2", "shiftrightunsigned(get(_votes, j), 32) * 2"
-    bits = f"if({low} > size({hashes}), shiftleft(1L, j), 0L) | if({high} > size({hashes}), shiftleft(1L, j + 32), 0L)"
-    out = df.withColumn("_votes", F.expr(add))
-    return out.withColumn(name, F.expr(f"aggregate(sequence(0, 31), 0L, (acc, j) -> acc | {bits})")).drop("_votes")
+    lane = lambda h: f"(shiftrightunsigned({h}, j) & {LANES}L)"
+    votes = f"aggregate(slice({part}, 1, {own}), array_repeat(0L, 32), (v, h) -> transform(v, (s, j) -> s + {lane('h')}))"
+    bits = f"if((get(a.v, j) & 4294967295L) * 2 > {own}, shiftleft(1L, j), 0L) | if(shiftrightunsigned(get(a.v, j), 32) * 2 > {own}, shiftleft(1L, j + 32), 0L)"
+    sketch = f"aggregate(sequence(0, 31), 0L, (b, j) -> b | {bits})"
+    moved = f"transform(a.v, (s, j) -> s + {lane(f'coalesce(get({part}, {own} + i), 0L)')} - {lane(f'get({part}, i)')})"
+    step = f"named_struct('v', {moved}, 'out', array_append(a.out, {sketch}))"
+    return f"aggregate(sequence(0, {more}), named_struct('v', {votes}, 'out', cast(array() AS array<bigint>)), (a, i) -> {step}, a -> a.out)"
+
+
+def with_simhash(df: DataFrame, hashes: str, name: str) -> DataFrame:
+    """df with the SimHash of its array of hashes."""
+    return df.withColumn(name, F.expr(f"get({_sketches(hashes, f'size({hashes})', '0')}, 0)"))
 
 
 def _block(value, cut):
@@ -85,14 +94,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         hit = hit.withColumn("need", F.greatest(F.lit(1), F.ceil(F.lit(threshold) / (1 + threshold) * (own + F.col("m")) - 1e-9).cast("int"))).filter(F.size("at") >= F.col("need"))
         starts = hit.select("did", "rk", "n", F.explode(_dense_starts(k)).alias("start"))
         windows = scratch.small(starts.distinct(), f"windows{k}")
-        hits = base.join(windows.groupBy("did", "rk").agg(F.collect_set(F.struct("n", "start")).alias("windows")), ["did", "rk"]).select("did", "rk", words(F.col("text")).alias("w"), "windows")
-        hashed = hits.select("did", "rk", shingle_hashes(F.col("w"), k).alias("all"), "windows")
-        one = F.transform("windows", _windows_of(k))
-        each = hashed.select("did", "rk", F.explode(one).alias("x")).select("did", "rk", "x.*")
+        runs = windows.groupBy("did", "rk", "n", F.floor(F.col("start") / RUN).alias("run")).agg(F.array_sort(F.collect_list("start")).alias("starts"))
+        hits = base.join(runs.groupBy("did", "rk").agg(F.collect_list(F.struct("n", "starts")).alias("runs")), ["did", "rk"])
+        hashed = hits.select("did", "rk", words(F.col("text")).alias("w"), "runs").select("did", "rk", shingle_hashes(F.col("w"), k).alias("all"), "runs")
+        each = hashed.select("did", "rk", F.explode(F.transform("runs", _run(k))).alias("x")).select("did", "rk", "x.*")
+        # written before the lookup, lest its filters compute the fingerprints again
+        each = scratch.write(each.withColumn("sketches", F.expr(_sketches("part", "own", "get(starts, size(starts) - 1) - get(starts, 0)"))), f"sketches{k}")
+        each = each.select("did", "rk", "n", "own", "part", "sketches", F.get("starts", F.lit(0)).alias("first"), F.explode("starts").alias("start"))
+        at = F.col("start") - F.col("first")
+        each = each.select("did", "rk", "n", "start", F.slice("part", at + 1, F.col("own")).alias("hashes"), F.get("sketches", at).alias("sketch"))
         found = each if found is None else found.unionByName(each)
     if found is None:
-        found = base.select("did", "rk", F.lit(0).alias("n"), F.lit(0).alias("start"), F.array().cast("array<bigint>").alias("hashes")).limit(0)
-    return verify(found, items, threshold)
+        found = base.select("did", "rk", F.lit(0).alias("n"), F.lit(0).alias("start"), F.array().cast("array<bigint>").alias("hashes"), F.lit(0).cast("long").alias("sketch")).limit(0)
+    return _matches(found, items, threshold, scratch)
 
 
 def _dense_starts(k: int):
@@ -107,25 +121,32 @@ def _dense_starts(k: int):
     return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), around)))
 
 
-def _windows_of(k: int):
-    """A function from (n, start) to (n, start, the hashes of that window of the column all)."""
+def _run(k: int):
+    """A function from (n, starts) to (n, starts, own: the hashes of a window, part: those of the column all that the run's windows span)."""
 
-    def window(x):
-        last = F.least(x["start"] + x["n"] - k, F.size("all") - 1)
-        return F.struct(x["n"].alias("n"), x["start"].alias("start"), F.transform(F.sequence(x["start"], last), lambda i: F.get("all", i)).alias("hashes"))
+    def run(x):
+        own = F.least(x["n"] - k + 1, F.size("all"))
+        first, last = F.get(x["starts"], F.lit(0)), F.get(x["starts"], F.size(x["starts"]) - 1)
+        return F.struct(x["n"].alias("n"), x["starts"].alias("starts"), own.alias("own"), F.slice("all", first + 1, last - first + own).alias("part"))
 
-    return window
+    return run
 
 
 def verify(windows: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """Looks windows (did, rk, n, start, hashes) up in the multi-index of the items and keeps the best verified one of each text and item."""
-    sketched = with_simhash(windows, "hashes", "sketch")
+    """Fingerprints windows (did, rk, n, start, hashes), looks them up in the multi-index of the items and keeps the best verified one of each text and item."""
+    return _matches(with_simhash(windows, "hashes", "sketch"), items, threshold)
+
+
+def _matches(sketched: DataFrame, items: DataFrame, threshold: float, scratch: Scratch | None = None) -> DataFrame:
     keys = F.array(*(F.struct(F.lit(i).alias("block"), _block(F.col("sketch"), c).alias("value")) for i, c in enumerate(CUTS)))
     near = []
     for i, c in enumerate(CUTS):
         value = _block(F.col("sketch"), c)
         near += [F.struct(F.lit(i).alias("block"), value.bitwiseXOR(F.lit(flip).cast("long")).alias("value")) for flip in (0, *(1 << b for b in range(c[1] - c[0])))]
-    index = items.select("item_id", "n", F.col("sketch").alias("item_sketch"), F.col("hashes").alias("item_hashes"), F.explode(F.array(*near)).alias("k")).select("item_id", "n", "item_sketch", "item_hashes", "k.*")
+    items = items.withColumn("ik", F.xxhash64("n", "hashes"))
+    index = items.select("ik", "n", F.col("sketch").alias("item_sketch"), F.explode(F.array(*near)).alias("k")).select("ik", "n", "item_sketch", "k.*")
+    if scratch:  # many rows an item, so its size is checked by itself
+        index = scratch.small(index, "index")
     asked = sketched.select("did", "rk", "n", "start", "hashes", "sketch", F.explode(keys).alias("k")).select("did", "rk", "n", "start", "hashes", "sketch", "k.*")
     distance = F.bit_count(F.col("sketch").bitwiseXOR(F.col("item_sketch")))
     # a pair is taken at the first block that finds it
@@ -134,6 +155,7 @@ def verify(windows: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
         differ = F.bit_count(_block(F.col("sketch"), c).bitwiseXOR(_block(F.col("item_sketch"), c)))
         first = F.when(differ <= 1, F.lit(i)).otherwise(first)
     pairs = asked.join(index, ["n", "block", "value"]).filter((distance <= RADIUS) & (F.col("block") == first)).withColumn("distance", distance)
+    pairs = pairs.join(items.select("ik", "item_id", F.col("hashes").alias("item_hashes")), "ik")
     common = common_weight(F.col("hashes"), F.col("item_hashes"))
     pairs = pairs.withColumn("common", common).withColumn("similarity", F.col("common") / (F.size("hashes") + F.size("item_hashes") - F.col("common")))
     best = F.max_by(F.struct("start", "n", "distance", "similarity"), F.struct("similarity", -F.col("start"))).alias("b")
