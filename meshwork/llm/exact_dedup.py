@@ -24,6 +24,8 @@ from .util import Scratch, hot_join, slim
 
 #: Digests in one shard of a snapshot's filters, about.
 SHARD_KEYS = 200_000
+#: Bits of the bitmap that says which texts may have a copy, and bits in one of its rows: 8 MiB at most, whatever the input.
+SCREEN_BITS, ROW_BITS = 1 << 26, 32_768
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)  # fixed values: the finaliser of MurmurHash3
 
 
@@ -179,6 +181,19 @@ def dedup_batch(batch: DataFrame, snapshots: list[Snapshot], scratch: Scratch) -
     return now
 
 
+def may_be_in(rows: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows whose digest is in keys, and few others: a bitmap of fixed size is broadcast, so texts without a copy are not shuffled.
+
+    A full bitmap lets rows pass that have no match, never the reverse.
+    """
+    place = F.xxhash64("digest").bitwiseAND(SCREEN_BITS - 1)  # never null, so the join infers no filter that would hash the text again
+    part, bit = F.shiftright(place, ROW_BITS.bit_length() - 1).alias("_part"), place.bitwiseAND(ROW_BITS - 1).alias("_bit")
+    bitmap = scratch.write(keys.select(part, bit).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "bitmap")
+    byte = "cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)"
+    held = F.expr(f"shiftright({byte}, cast(_bit % 8 as int)) & 1 = 1")
+    return rows.select("*", part, bit).join(F.broadcast(bitmap), "_part").filter(held).select(rows.columns)
+
+
 def exact_dedup(docs: DataFrame, scratch: Scratch | None = None, in_snapshot=None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of each row of docs.
 
@@ -191,7 +206,7 @@ def exact_dedup(docs: DataFrame, scratch: Scratch | None = None, in_snapshot=Non
     groups = scratch.write(dedup_batch(rows.filter("NOT old"), [snapshot], scratch), "groups")
     many = groups.filter("n > 1").select("digest", "n")
     # a group whose least and greatest text are equal has one text: a pre-aggregated minimum and maximum, in which no group meets as a whole
-    texts = hot_join(digests(docs), many, "digest", "n").groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
+    texts = hot_join(may_be_in(digests(docs), many, scratch), many, "digest", "n").groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
     odd = scratch.write(texts.filter("least <> greatest").select("digest"), "odd")
     keep = F.when(F.col("best.neg").isNotNull(), -F.col("best.neg"))
     if not odd.isEmpty():  # different bytes under one digest: their groups go by the bytes themselves
