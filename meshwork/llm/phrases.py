@@ -237,8 +237,8 @@ WITH p AS (
   SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
 ), g AS (
   SELECT lang, 1 AS k, unnest(w) AS phrase FROM w
-  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) FROM w
-  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w
 ), c AS MATERIALIZED (
   SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY lang, k, phrase HAVING count(*) >= 10
 ), total AS (
