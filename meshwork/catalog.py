@@ -539,20 +539,28 @@ def _(spark, d):
 
 # ---- samplers -------------------------------------------------------------------------------------------------------------------
 
-_U = "((({k} % 2147483647) * 2654435761 + {salt} * 40503) % 4294967296) / 4294967296.0::DOUBLE"
 
 
-@query("node_sample", f"WITH {_co()}, {SYM}, {DEG} SELECT id FROM d WHERE {_U.format(k='id', salt=1)} < 0.2")
+def _u(k: str, salt: int = 0) -> str:
+    """The SQL of ``spread``."""
+    mixed = f"((({k} % 2147483647) * 2654435761 + {salt} * 40503) % 4294967296)"
+    if salt:
+        high = f"((({mixed} + {salt} * 2654435769) % 4294967296) // 65536)"
+        mixed = f"(((({high} * {high} + {mixed}) % 2147483647) * 2246822519) % 4294967296)"
+    return f"{mixed} / 4294967296.0::DOUBLE"
+
+
+@query("node_sample", f"WITH {_co()}, {SYM}, {DEG} SELECT id FROM d WHERE {_u('id', 1)} < 0.2")
 def _(spark, d):
     return sampling.nodes(count.degrees(src.co_order(spark, d)).select("id"), 0.2, 1)
 
 
-@query("edge_sample", f"WITH {_co()} SELECT src, dst FROM g WHERE {_U.format(k='(src * 1000003 + dst)', salt=1)} < 0.2")
+@query("edge_sample", f"WITH {_co()} SELECT src, dst FROM g WHERE {_u('(src * 1000003 + dst)', 1)} < 0.2")
 def _(spark, d):
     return sampling.sampled_edges(src.co_order(spark, d), 0.2, 1)
 
 
-@query("query_nodes", f"WITH {_co()} SELECT id FROM (SELECT DISTINCT src AS id FROM g) ORDER BY {_U.format(k='id', salt=0)}, id LIMIT 20")
+@query("query_nodes", f"WITH {_co()} SELECT id FROM (SELECT DISTINCT src AS id FROM g) ORDER BY {_u('id', 0)}, id LIMIT 20")
 def _(spark, d):
     return sampling.query_nodes(src.co_order(spark, d), 20)
 
@@ -562,13 +570,13 @@ def _(spark, d):
     return sampling.degree_distribution(src.co_order(spark, d), 0.75).withColumn("prob", F.round("prob", 8))
 
 
-@query("fan_out", f"WITH {_co()}, {SYM}, k AS (SELECT src AS seed, dst, row_number() OVER (PARTITION BY src ORDER BY {_U.format(k='(src * 1000003 + dst)', salt=0)}, dst) AS place FROM s) SELECT seed, dst FROM k WHERE place <= 5")
+@query("fan_out", f"WITH {_co()}, {SYM}, k AS (SELECT src AS seed, dst, row_number() OVER (PARTITION BY src ORDER BY {_u('(src * 1000003 + dst)', 0)}, dst) AS place FROM s) SELECT seed, dst FROM k WHERE place <= 5")
 def _(spark, d):
     g = src.co_order(spark, d)
     return sampling.fan_out(src.symmetric(g), count.degrees(g).select("id"), 5)
 
 
-_SAMPLES = f"sm AS (SELECT sample, id FROM d, range(0, 5) r(sample) WHERE {_U.format(k='(id * 31 + sample)', salt=0)} < 0.5)"
+_SAMPLES = f"sm AS (SELECT sample, id FROM d, range(0, 5) r(sample) WHERE {_u('(id * 31 + sample)', 0)} < 0.5)"
 
 
 def _saint(spark, d):
@@ -712,7 +720,7 @@ def _(spark, d):
     return community.ball(g, resistance.landmark(g), 40)
 
 
-@query("edge_splits", f"WITH {_co()}, k AS (SELECT src, dst, {_U.format(k='(src * 1000003 + dst)', salt=0)} AS x FROM g) SELECT src, dst, CASE WHEN x < 0.1 THEN 'test' WHEN x < 0.15 THEN 'valid' ELSE 'train' END AS split FROM k")
+@query("edge_splits", f"WITH {_co()}, k AS (SELECT src, dst, {_u('(src * 1000003 + dst)', 0)} AS x FROM g) SELECT src, dst, CASE WHEN x < 0.1 THEN 'test' WHEN x < 0.15 THEN 'valid' ELSE 'train' END AS split FROM k")
 def _(spark, d):
     return community.split_edges(src.co_order(spark, d))
 

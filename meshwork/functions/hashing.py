@@ -18,6 +18,13 @@ def edge_key(a: str = "src", b: str = "dst"):
 
 
 def spread(key, salt: int = 0):
-    """A number in [0, 1) from a 32-bit multiplicative hash of a whole number of any size: cheap, and the same in any SQL engine."""
+    """A number in [0, 1) from a 32-bit multiplicative hash of a whole number of any size: cheap, and the same in any SQL engine.
+
+    A salt other than 0 goes through a square, so the draws of different salts are not shifts of each other.
+    """
     x = F.col(key) if isinstance(key, str) else key
-    return F.pmod(F.pmod(x, F.lit(_PRIME)) * 2654435761 + salt * 40503, F.lit(1 << 32)) / float(1 << 32)
+    mixed = F.pmod(F.pmod(x, F.lit(_PRIME)) * 2654435761 + salt * 40503, F.lit(1 << 32))
+    if salt:
+        high = F.floor(F.pmod(mixed + salt * 2654435769, F.lit(1 << 32)) / 65536).cast("long")
+        mixed = F.pmod(F.pmod(high * high + mixed, F.lit(_PRIME)) * 2246822519, F.lit(1 << 32))
+    return mixed / float(1 << 32)

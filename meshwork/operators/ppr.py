@@ -128,29 +128,11 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("source").agg(F.sum(diff).alias("l1"), F.max(diff).alias("worst"))
 
 
-def walks(edges: DataFrame, start: DataFrame, per_unit: int, alpha: float = 0.2, seed: int = 0) -> DataFrame:
-    """source, id, score estimated by walks from start(source, id, r): each unit of r gives per_unit walks of weight r / walks.
+def walks(edges: DataFrame, start: DataFrame, per_unit: int, alpha: float = 0.2, seed: int = 0, weight: str | None = None) -> DataFrame:
+    """source, id, score estimated by walks from start(source, id, r), rows that advance by one arc a round: see ``walks.stopping_walks``."""
+    from .walks import stopping_walks
 
-    All walks advance by one edge a round, as rows; a walk ends with probability alpha.  Draws are hashes of (walk, step, seed), so they do not depend on partitions.
-    """
-    lists = cut(edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("out")))
-    n = F.greatest(F.ceil(F.col("r") * per_unit), F.lit(1)).cast("long")
-    rows = start.filter("r > 0").select("source", F.col("id").alias("first"), (F.col("r") / n).alias("w"), F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("k"))
-    rows = cut(rows.select("source", "w", F.xxhash64(F.lit(seed), "source", "first", "k").alias("walk"), F.col("first").alias("id")))
-    ended, step = None, -1
-    while True:
-        step += 1
-        drawn = rows.withColumn("stop", uniform("walk", 2 * step) < alpha)
-        stop = drawn.filter("stop").groupBy("source", "id").agg(F.sum("w").alias("w"))
-        ended = stop if ended is None else ended.unionByName(stop)
-        go = drawn.filter("NOT stop").drop("stop").join(lists, "id", "left")
-        at = F.floor(uniform("walk", 2 * step + 1) * F.size("out")).cast("int")
-        rows = go.select("source", "w", "walk", F.coalesce(F.get("out", at), F.col("id")).alias("id"))
-        if step % CUT_EVERY == CUT_EVERY - 1:
-            rows, ended = cut(rows), cut(ended.groupBy("source", "id").agg(F.sum("w").alias("w")))
-            if rows.isEmpty():
-                break
-    return ended.groupBy("source", "id").agg(F.sum("w").alias("score"))
+    return stopping_walks(edges, start, per_unit, alpha, weight, seed)
 
 
 def fora(edges: DataFrame, start: DataFrame, epsilon: float, per_unit: int, alpha: float = 0.2, seed: int = 0) -> DataFrame:

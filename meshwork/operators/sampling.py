@@ -101,15 +101,10 @@ def fan_out(edges: DataFrame, seeds: DataFrame, most: int, salt: int = 0) -> Dat
 
 
 def walk_nodes(edges: DataFrame, roots: DataFrame, length: int, salt: int = 0) -> DataFrame:
-    """root, step, id: one hash-driven walk from each of roots(id)."""
-    lists = edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("out"))
-    now = roots.select(F.col("id").alias("root"), F.lit(0).alias("step"), "id")
-    every = now
-    for i in range(1, length + 1):
-        at = F.floor(spread("root", salt + i) * F.size("out")).cast("int")
-        now = now.join(lists, "id").select("root", F.lit(i).alias("step"), F.get("out", at).alias("id"))
-        every = every.unionByName(now)
-    return every
+    """root, step, id: one hash-driven walk from each of roots(id), by numbered arcs; a walk that cannot go on stays."""
+    from .walks import fixed_walks
+
+    return fixed_walks(edges, roots, length, salt=salt)
 
 
 def oversample(df: DataFrame, label: str, share: float) -> DataFrame:
@@ -204,24 +199,40 @@ def coarsen(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return both.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.count("*").alias("w"))
 
 
-def global_negatives(nodes_: DataFrame, edges: DataFrame, n: int, salt: int = 0, rounds: int = 20) -> DataFrame:
-    """k, src, dst: n pairs of nodes(id) that are no edge (in either direction) and no loop; pairs are drawn by rank from hashes until there are enough, and repeat only once all are used."""
+def global_negatives(nodes_: DataFrame, edges: DataFrame, n: int, salt: int = 0) -> DataFrame:
+    """k, src, dst: n pairs of nodes(id) that are no edge (in either direction) and no loop; pairs repeat only once all are used.
+
+    Pairs are drawn by rank from hashes until there are enough.  Where three of four pairs are edges, or half of the others are asked for, all are listed, which is
+    linear in the edges or in n.
+    """
+    spark = nodes_.sparkSession
     ranked = cut(numbered(nodes_.select("id").distinct(), "id", "at"))
-    size, both = ranked.count(), cut(symmetric(edges.select("src", "dst")))
-    found, have = None, 0
-    for k in range(rounds):
-        draws = nodes_.sparkSession.range(k * 2 * n, (k + 1) * 2 * n).withColumnRenamed("id", "k")
-        draws = draws.select("k", *(F.floor(uniform("k", 2 * salt + i) * size).cast("long").alias(name) for i, name in enumerate("ab")))
-        pairs = draws.join(ranked.withColumnsRenamed({"at": "a", "id": "src"}), "a").join(ranked.withColumnsRenamed({"at": "b", "id": "dst"}), "b").filter("src <> dst")
-        fresh = pairs.join(both, ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.min("k").alias("k"))
-        found = cut(fresh if found is None else found.unionByName(fresh).groupBy("src", "dst").agg(F.min("k").alias("k")))
-        before, have = have, found.count()
-        if have >= n or (k > 2 and have == before):
-            break
-    kept = numbered(found, ["k"], "place").filter(F.col("place") < n)
-    if have >= n or not have:
+    size, both = ranked.count(), cut(symmetric(edges.select("src", "dst")).filter("src <> dst").distinct())
+    known = both.join(ranked.select(F.col("id").alias("src")), "src", "left_semi").join(ranked.select(F.col("id").alias("dst")), "dst", "left_semi").count()
+    pairs = size * (size - 1)
+    total = pairs - known
+
+    def no_edges(ranks: DataFrame) -> DataFrame:
+        """k, src, dst of the ranks (k, a, b) that are no edge, each pair once."""
+        named = ranks.join(ranked.withColumnsRenamed({"at": "a", "id": "src"}), "a").join(ranked.withColumnsRenamed({"at": "b", "id": "dst"}), "b").filter("src <> dst")
+        return named.join(both, ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.min("k").alias("k"))
+
+    if total <= 0 or n <= 0:
+        return spark.createDataFrame([], "k long, src long, dst long")
+    if total * 4 < pairs or n * 2 > total:
+        every = spark.range(pairs).select(F.expr(f"id div {size - 1}").alias("a"), (F.col("id") % (size - 1)).alias("b"), F.xxhash64("id", F.lit(salt)).alias("k"))
+        found = no_edges(every.withColumn("b", F.col("b") + (F.col("b") >= F.col("a")).cast("long")))
+    else:
+        found, have, k = None, 0, 0
+        while have < n:  # a draw is no edge with a chance of a quarter at least, and new with one of a half
+            draws = spark.range(k * 2 * n, (k + 1) * 2 * n).withColumnRenamed("id", "k")
+            fresh = no_edges(draws.select("k", *(F.floor(uniform("k", 2 * salt + i) * size).cast("long").alias(name) for i, name in enumerate("ab"))))
+            found = cut(fresh if found is None else found.unionByName(fresh).groupBy("src", "dst").agg(F.min("k").alias("k")))
+            have, k = found.count(), k + 1
+    kept = cut(numbered(found, ["k", "src", "dst"], "place").filter(F.col("place") < n))
+    if total >= n:
         return kept.select(F.col("place").alias("k"), "src", "dst")
-    wanted = nodes_.sparkSession.range(n).withColumnRenamed("id", "k").withColumn("place", F.col("k") % have)
+    wanted = spark.range(n).withColumnRenamed("id", "k").withColumn("place", F.col("k") % total)
     return wanted.join(kept, "place").select(wanted["k"], "src", "dst")
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwork.functions.hashing import edge_key, spread
-from meshwork.operators import community, core, count, enumerate as enum, kernels, metrics, order, peel, pivot, ppr, resistance, sampling, temporal, tuples
+from meshwork.operators import community, core, count, enumerate as enum, kernels, metrics, order, peel, pivot, ppr, resistance, sampling, temporal, tuples, walks
 from meshwork.sources import bundles
 from meshwork.sources.tables import symmetric
 
@@ -139,7 +139,7 @@ def test_more_ppr(spark):
     arcs = symmetric(edges(spark, pairs))
     one = ppr.single_sources(spark.createDataFrame([(0,)], "id long"))
     exact = {r.id: r.score for r in ppr.power(arcs, one, 40).collect()}
-    for got in (ppr.fora_with_forests(arcs, one, 1e-2, 60), ppr.speed_ppr(arcs, one, 1e-3, 2000), ppr.progressive(arcs, one, 2, 500, power_rounds=3), kernels.stopping_walks(arcs, one, 20_000)):
+    for got in (ppr.fora_with_forests(arcs, one, 1e-2, 60), ppr.speed_ppr(arcs, one, 1e-3, 2000), ppr.progressive(arcs, one, 2, 500, power_rounds=3), walks.stopping_walks(arcs, one, 20_000)):
         found = {r.id: r.score for r in got.collect()}
         assert abs(sum(found.values()) - 1) < 0.02 and max(abs(found.get(x, 0) - exact[x]) for x in exact) < 0.03
     score, rest = ppr.backward_push(arcs, 0, 1e-4)
