@@ -23,8 +23,8 @@ from .util import Scratch, hot_join, slices
 
 #: Buckets of a pass and bits of a bitmap: 8 MiB at most, whatever the input; and the bits in one row of a bitmap.
 BUCKETS, PART_BITS = 1 << 26, 15
-#: Bytes of text that are counted together.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text that are cut into words together, and words that are counted together.
+CHUNK_BYTES, CHUNK_WORDS = 1 << 20, 2_000_000
 #: Words that one worker numbers before it starts anew.
 MAX_WORDS = 1 << 20
 #: Pieces end at these bytes, which become "."; A-Z in lower case.
@@ -44,12 +44,13 @@ class Words(dict):
 
     def __init__(self):
         super().__init__({b".": 0})
-        self.hashes = array("Q", [0])
+        self.names, self.hashes = [b"."], array("Q", [0])
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         self[word] = n = len(self)
+        self.names.append(word)
         self.hashes.append(xxhash.xxh3_64_intdigest(word))
         return n
 
@@ -65,18 +66,20 @@ class Pass:
     parts and held: the bitmaps, from the second pass on; most: where bucket counts stop; buckets: how many there are (a power of two, 0 in the last pass).
     """
 
-    def __init__(self, k: int, parts: np.ndarray | None, held: np.ndarray | None, most: int, buckets: int, max_words: int = MAX_WORDS):
-        self.k, self.parts, self.held, self.most, self.max_words, self.words = k, parts, held, most, max_words, Words()
+    def __init__(self, k: int, parts: np.ndarray | None, held: np.ndarray | None, most: int, buckets: int):
+        self.k, self.parts, self.held, self.most, self.words = k, parts, held, most, Words()
         self.seen = np.zeros(buckets, np.min_scalar_type(most)) if buckets else None
 
-    def count(self, lang: str, text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The phrases of k words in text, their hashes and counts; counts the buckets of those of k + 1 words."""
+    def numbers(self, text: bytes) -> np.ndarray:
+        """The numbers of the words of a text, 0 at the end of each piece."""
+        words = text.replace(b".", b" . ").split()
+        return np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
+
+    def count(self, lang: str, ids: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The phrases of k words among ids, their hashes and counts; counts the buckets of those of k + 1 words."""
         import xxhash
 
-        if len(self.words) > self.max_words:
-            self.words = Words()
-        words, k = text.replace(b".", b" . ").split(), self.k
-        ids = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        k, names = self.k, self.words.names
         one = _mix(np.frombuffer(self.words.hashes, np.uint64)[ids] ^ np.uint64(xxhash.xxh3_64_intdigest(lang)))
         whole, h, before, whole_before = ids > 0, one, one, ids > 0
         for size in range(2, k + 1):  # the hashes of the phrases of size words that begin at each place
@@ -93,7 +96,7 @@ class Pass:
             found = found.astype(np.int64)
             self.seen[found] = np.minimum(self.seen[found] + n, self.most)
         at = np.flatnonzero(whole)
-        code, size = ids[at], len(self.words)
+        code, size = ids[at].astype(np.int64), len(self.words)
         for step in range(1, k):
             if size * len(self.words) >= 1 << 62:
                 code = np.unique(code, return_inverse=True)[1]
@@ -101,7 +104,17 @@ class Pass:
             code, size = code * len(self.words) + ids[at + step], size * len(self.words)
         _, first, n = np.unique(code, return_index=True, return_counts=True)
         at = at[first]
-        return [b" ".join(words[p : p + k]) for p in at.tolist()], h[at], n
+        which = [ids[at + step].tolist() for step in range(k)]
+        return [b" ".join([names[i] for i in row]) for row in zip(*which, strict=True)], h[at], n
+
+    def buckets(self):
+        """(part, places, counts) of the buckets that were met: places within a part as 16 bits."""
+        found = np.flatnonzero(self.seen)
+        part = found >> PART_BITS
+        starts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(found)] if len(found) else [0]
+        for a, b in zip(starts, starts[1:], strict=False):
+            some = found[a:b]
+            yield int(part[a]), (some & (1 << PART_BITS) - 1).astype("<u2").tobytes(), self.seen[some].tobytes()
 
 
 def _chunks(text: bytes, size: int):
@@ -114,66 +127,103 @@ def _chunks(text: bytes, size: int):
     yield text[at:]
 
 
-_COUNTS = "lang string, phrase string, h long, n long, bucket long"
+_COUNTS = "lang string, phrase string, h long, n long, part int, places binary, counts binary"
 
 
-def _one_pass(docs: DataFrame, k: int, parts, held, min_count: int, buckets: int, chunk: int, max_words: int) -> DataFrame:
-    """Counts of phrases (bucket null) and of buckets (phrase null; none if buckets is 0) by task."""
+def _one_pass(docs: DataFrame, k: int, parts, held, min_count: int, buckets: int, chunk: int, chunk_words: int, max_words: int) -> DataFrame:
+    """Counts of phrases (part null) and of buckets (phrase null; none if buckets is 0) by task."""
+    names = [c.split()[0] for c in _COUNTS.split(", ")]
 
     def rows(lang, found):
         phrases, h, n = found
         size = len(phrases)
-        cols = [pa.array([lang] * size, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(h.view(np.int64)), pa.array(n, pa.int64()), pa.nulls(size, pa.int64())]
-        return pa.record_batch(cols, names=["lang", "phrase", "h", "n", "bucket"])
+        cols = [pa.array([lang] * size, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())]
+        return pa.record_batch([*cols, pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary())], names=names)
 
     def run(batches):
         bitmaps = [None if b is None else np.frombuffer(b.value, np.uint8) for b in (parts, held)]
-        task, waiting, size = Pass(k, *bitmaps, min_count, buckets, max_words), {}, 0
+        task, texts, size, ids = Pass(k, *bitmaps, min_count, buckets), {}, 0, {}
+        end = np.zeros(1, np.int32)
+
+        def number():
+            for lang, some in texts.items():
+                for text in _chunks(b".".join(some), chunk):
+                    ids.setdefault(lang, []).extend((task.numbers(text), end))
+            texts.clear()
 
         def flush():
-            for lang, texts in waiting.items():
-                for some in _chunks(b".".join(texts), chunk):
-                    yield rows(lang, task.count(lang, some))
-            waiting.clear()
+            for lang, some in ids.items():
+                yield rows(lang, task.count(lang, np.concatenate(some)))
+            ids.clear()
 
         for batch in batches:
             for part in slices(batch):
                 for lang, text in zip(part.column("lang").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                    waiting.setdefault(lang, []).append(text.translate(TEXT_BYTES))
+                    texts.setdefault(lang, []).append(text.translate(TEXT_BYTES))
                     size += len(text)
                     if size >= chunk:
-                        yield from flush()
+                        number()
                         size = 0
+                        if sum(len(x) for some in ids.values() for x in some) >= chunk_words or len(task.words) > max_words:
+                            yield from flush()
+                            if len(task.words) > max_words:
+                                task.words = Words()
+        number()
         yield from flush()
         if buckets:
-            found = np.flatnonzero(task.seen)
-            for at in range(0, len(found), 1 << 16):
-                some = found[at : at + (1 << 16)]
-                none = [pa.nulls(len(some), t) for t in (pa.string(), pa.string(), pa.int64())]
-                yield pa.record_batch([*none, pa.array(task.seen[some].astype(np.int64)), pa.array(some)], names=["lang", "phrase", "h", "n", "bucket"])
+            found = list(task.buckets())
+            for at in range(0, len(found), 256):
+                some = list(zip(*found[at : at + 256], strict=True))
+                none = [pa.nulls(len(some[0]), t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())]
+                yield pa.record_batch([*none, pa.array(some[0], pa.int32()), pa.array(some[1], pa.binary()), pa.array(some[2], pa.binary())], names=names)
 
     text = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return text.mapInArrow(run, _COUNTS)
 
 
+def _collected(rows: DataFrame, buckets: int):
+    """A broadcast bitmap from rows (part, bits): a row for each part, so of fixed size."""
+    out, size = np.zeros(buckets // 8, np.uint8), 1 << PART_BITS - 3
+    for r in rows.collect():
+        bits = np.frombuffer(bytes(r.bits), np.uint8)[:size]
+        out[r.part * size : r.part * size + size] = bits[: len(out) - r.part * size]
+    return rows.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def _full_buckets(rows: DataFrame, buckets: int, min_count: int):
+    """A broadcast bitmap of the buckets whose counts in rows(part, places, counts) come to min_count.
+
+    The rows of a part are summed as they come, in an array of the part's size, so a task holds no more however many rows there are.
+    """
+    kind = np.min_scalar_type(min_count)
+
+    def run(batches):
+        sums = {}
+        for batch in batches:
+            for part, places, counts in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if part not in sums:
+                    sums[part] = np.zeros(1 << PART_BITS, kind)
+                at = np.frombuffer(places, "<u2")
+                sums[part][at] = np.minimum(sums[part][at].astype(np.int64) + np.frombuffer(counts, kind), min_count)
+        if sums:
+            bits = [np.packbits(x >= min_count, bitorder="little").tobytes() for x in sums.values()]
+            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(bits, pa.binary())], names=["part", "bits"])
+
+    return _collected(rows.select("part", "places", "counts").repartition("part").mapInArrow(run, "part int, bits binary"), buckets)
+
+
 def _bitmap(keys: DataFrame, buckets: int):
     """A broadcast bitmap of fixed size of the column bucket."""
-    part, bit = F.shiftright("bucket", PART_BITS).alias("part"), F.expr(f"bucket & {(1 << PART_BITS) - 1}").alias("bit")
-    rows = keys.select(part, bit).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    out = np.zeros(buckets // 8, np.uint8)
-    for r in rows:
-        bits = np.frombuffer(bytes(r.bits), np.uint8)[: 1 << PART_BITS - 3]
-        at = r.part << PART_BITS - 3
-        out[at : at + len(bits)] = bits[: len(out) - at]
-    return keys.sparkSession.sparkContext.broadcast(out.tobytes())
+    part, bit = F.shiftright("bucket", PART_BITS).cast("int").alias("part"), F.expr(f"bucket & {(1 << PART_BITS) - 1}").alias("bit")
+    return _collected(keys.select(part, bit).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")), buckets)
 
 
-def frequent_phrases(docs: DataFrame, max_words: int, min_count: int, scratch: Scratch, buckets: int = BUCKETS, chunk: int = CHUNK_BYTES, worker_words: int = MAX_WORDS) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, max_words: int, min_count: int, scratch: Scratch, buckets: int = BUCKETS, chunk: int = CHUNK_BYTES, chunk_words: int = CHUNK_WORDS, worker_words: int = MAX_WORDS) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, k (its words), f of each phrase of 1 to max_words words with f >= min_count; and lang, n: all word occurrences."""
     parts = held = None
     found, total = [], None
     for k in range(1, max_words + 1):
-        rows = scratch.write(_one_pass(docs, k, parts, held, min_count, buckets if k < max_words else 0, chunk, worker_words), f"pass-{k}")
+        rows = scratch.write(_one_pass(docs, k, parts, held, min_count, buckets if k < max_words else 0, chunk, chunk_words, worker_words), f"pass-{k}")
         counts = rows.filter("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.first("h").alias("h"))
         if k == 1:
             total = scratch.write(rows.filter("phrase IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), "total")
@@ -181,7 +231,7 @@ def frequent_phrases(docs: DataFrame, max_words: int, min_count: int, scratch: S
         found.append(counts.select("lang", "phrase", "k", "f"))
         if k < max_words:
             parts = _bitmap(counts.select(F.expr(f"h & {buckets - 1}").alias("bucket")), buckets)
-            held = _bitmap(rows.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count), buckets)
+            held = _full_buckets(rows.filter("part IS NOT NULL"), buckets, min_count)
         scratch.drop(f"pass-{k}")
     out = found[0]
     for more in found[1:]:
@@ -193,7 +243,7 @@ def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, cover
     """lang, rank, phrase, a, l, r, n, score of each language's best phrases of 2 to max_words words.
 
     a, l, r: the occurrences of the phrase and of both parts of the cut whose score, floor(1000000 a² / (l r)), is lowest (then the one after fewest words).  A phrase goes if a
-    longer one that holds its words in a row has at least cover percent of its occurrences.  sizes: of buckets, chunk and worker_words; no result depends on them.
+    longer one that holds its words in a row has at least cover percent of its occurrences.  sizes: of buckets, chunk, chunk_words and worker_words; no result depends on them.
     """
     if max_words < 2:
         raise ValueError("max_words must be 2 at least")
