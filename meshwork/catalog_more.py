@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import _T3, DEG, SYM, _bfs, _co, _first, _feature_edges, _rounds, _sym30, query
-from .operators import core, count, enumerate as enum, order, peel, pivot, ppr, resistance, sampling, temporal, tuples
+from .operators import core, count, enumerate as enum, order, peel, pivot, ppr, resistance, sampling, shadow, temporal, tuples, walks, zigzag
 from .plans.store import cut
 from .sources import bundles
 from .sources import tables as src
@@ -331,3 +331,54 @@ def _(spark, d):
 def _(spark, d):
     return enum.densest_exact(src.customer_part(spark, d, 2), 2, 2)
 
+
+# ---- estimators of cliques and bicliques ------------------------------------------------------------------------------------------
+
+
+@query("turan_clique_estimate")
+def _(spark, d):
+    g = cut(src.co_order(spark, d))
+    return shadow.turan_clique_count(g, 4, 20_000).unionByName(shadow.turan_clique_count(g, 5, 20_000))
+
+
+@query("zigzag_biclique_estimate")
+def _(spark, d):
+    g = cut(src.customer_part(spark, d))
+    return zigzag.zigzag_biclique_count(g, 2, 3, 50_000).unionByName(zigzag.zigzag_biclique_count(g, 3, 3, 50_000))
+
+
+@query("split_biclique_estimate")
+def _(spark, d):
+    return zigzag.split_biclique_counts(src.customer_part(spark, d), 3, 3, 500, 20_000)
+
+
+@query("split_biclique_exact", f"WITH {_CP}, {_SETS} SELECT p::INTEGER AS p, q::INTEGER AS q, bicliques::DOUBLE AS exact, 0::DOUBLE AS sampled, 0::DOUBLE AS error, bicliques::DOUBLE AS bicliques FROM ({_BIC})")
+def _(spark, d):
+    return zigzag.split_biclique_counts(src.customer_part(spark, d), 3, 3, None, 0)
+
+
+@query("biclique_sets_2_3", f"WITH {_CP}, c2 AS (SELECT count(*) AS c FROM bp x JOIN bp y ON x.u = y.u AND x.v < y.v GROUP BY x.v, y.v) SELECT coalesce(sum(c * (c - 1) * (c - 2) // 6), 0)::BIGINT AS bicliques FROM c2")
+def _(spark, d):
+    return zigzag.exact_by_sets(src.customer_part(spark, d), 2, 3)
+
+
+@query("priority_biclique_estimate")
+def _(spark, d):
+    g = cut(src.customer_part(spark, d))
+    return zigzag.priority_biclique_count(g, 2, 2, g.count() // 2)
+
+
+@query("zigzag_local_edges", f"WITH {_CP} SELECT a.u, a.v, count(*)::BIGINT AS n FROM bp a JOIN bp b ON b.v = a.v AND b.u > a.u JOIN bp c ON c.u = a.u AND c.v > a.v JOIN bp e ON e.u = b.u AND e.v = c.v GROUP BY a.u, a.v")
+def _(spark, d):
+    return zigzag.local_edges(src.customer_part(spark, d)).groupBy("u", "v").agg(F.count("*").alias("n"))
+
+
+# ---- weighted walks ---------------------------------------------------------------------------------------------------------------
+
+
+@query("weighted_walk_error")
+def _(spark, d):
+    g = cut(src.symmetric(src.co_order(spark, d)).withColumn("w", 1.0 + F.pmod(F.col("src") + F.col("dst"), F.lit(5))))
+    start = ppr.single_sources(_first(spark, d))
+    error = ppr.compare(walks.stopping_walks(g, start, 4000, weight="w"), ppr.power_to(g, start, 1e-4, weight="w"))
+    return error.select("source", (F.col("worst") < 0.03).alias("bounded"))
