@@ -149,17 +149,23 @@ class Snapshot:
         sharded = self.buckets.select(F.pmod("key", F.lit(shards)).cast("long").alias("shard"), "key")
         self.filters = scratch.write(sharded.groupBy("shard").applyInPandas(build, "shard long, filter binary"), f"{name}-filters")
 
+    def dealt(self, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(digest, key, shard, salt of groups; the filters for each shard and salt): about SHARD_KEYS digests meet one filter, however small the snapshot and large the batch is."""
+        salts = max(1, math.ceil(groups.count() / (self.shards * SHARD_KEYS)))
+        keys = groups.select("digest", _key().alias("key")).withColumn("shard", F.pmod("key", F.lit(self.shards)).cast("long"))
+        keys = keys.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(salts)))
+        return keys, self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+
     def screen(self, groups: DataFrame) -> DataFrame:
         """groups with a column maybe: whether the snapshot may hold the digest."""
-        shards = self.shards
 
         def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             keys = left["key"].to_numpy()
             maybe = FuseFilter.load(right["filter"].iloc[0]).might_hold(keys) if len(right) else np.zeros(len(keys), bool)
             return pd.DataFrame({"digest": left["digest"], "maybe": maybe})
 
-        keys = groups.select("digest", _key().alias("key")).withColumn("shard", F.pmod("key", F.lit(shards)).cast("long"))
-        found = keys.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(check, "digest string, maybe boolean")
+        keys, filters = self.dealt(groups)
+        found = keys.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInPandas(check, "digest string, maybe boolean")
         return groups.join(found, "digest")
 
 

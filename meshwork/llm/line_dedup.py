@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import NULL_ID, Scratch, ascii_lower, slim
+from .util import NULL_ID, Scratch, ascii_lower, hot_join, slim
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -29,18 +29,19 @@ def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int, scratch: Scrat
     """did, rk (the hash of the text) and the positions of the lines to drop, for the rows that lose any.
 
     Two passes over the text: one counts hashes (pre-aggregated before its shuffle), one marks positions.  The over-frequent
-    hashes and then the marked positions are broadcast only if their written size is small, else joined by a shuffle.
+    hashes and then the marked positions are broadcast only if their written size is small, else joined by a shuffle, the places of a line that is in very many documents by a salt.
     """
     lines = F.split("text", "\n", -1)
     base = _keyed(slim(docs))
     long_keys = F.filter(F.transform(F.filter(lines, lambda x: F.length(x) >= min_chars), _key), lambda x: F.length(x) >= min_chars)
     once = base.select("did", F.explode(F.array_distinct(long_keys)).alias("key")).select("did", *_hashes(F.col("key")))
     held_by = once.groupBy("h1", "h2", "did").agg(F.lit(1).alias("one"))  # rows that repeat a doc_id are one document
-    often = held_by.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("did").alias("holder")).filter(F.col("n") >= min_docs).select("h1", "h2", "holder")
-    often = scratch.small(often, "often")
+    often = held_by.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("did").alias("holder")).filter(F.col("n") >= min_docs).select(F.struct("h1", "h2").alias("line"), "holder", "n")
+    often = scratch.write(often, "often")
     held = base.select("did", "rk", F.posexplode(lines).alias("pos", "line")).filter(F.length("line") >= min_chars)
-    held = held.withColumn("key", _key(F.col("line"))).filter(F.length("key") >= min_chars).select("did", "rk", "pos", *_hashes(F.col("key")))
-    gone = held.join(often, ["h1", "h2"]).filter(F.col("did") != F.col("holder")).groupBy("did", "rk").agg(F.collect_set("pos").alias("gone"))
+    held = held.withColumn("key", _key(F.col("line"))).filter(F.length("key") >= min_chars).select("did", "rk", "pos", F.struct(*_hashes(F.col("key"))).alias("line"))
+    found = held.join(F.broadcast(often), "line") if scratch.fits(often, "often") else hot_join(held, often, "line", "n")
+    gone = found.filter(F.col("did") != F.col("holder")).groupBy("did", "rk").agg(F.collect_set("pos").alias("gone"))
     return scratch.small(gone, "gone")
 
 

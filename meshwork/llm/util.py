@@ -52,10 +52,14 @@ class Scratch:
         fs, path = self._fs(table)
         fs.delete(path, True)
 
+    def fits(self, df: DataFrame, table: str, limit: int = BROADCAST_BYTES) -> bool:
+        """Whether a written table is small enough for a broadcast."""
+        return self.bytes(table) <= limit and df.count() <= BROADCAST_ROWS
+
     def small(self, df: DataFrame, table: str, limit: int = BROADCAST_BYTES) -> DataFrame:
         """Writes df; marks it for broadcast if its files and rows are within the limits, else leaves the join to Spark."""
         out = self.write(df, table)
-        return F.broadcast(out) if self.bytes(table) <= limit and out.count() <= BROADCAST_ROWS else out
+        return F.broadcast(out) if self.fits(out, table, limit) else out
 
 
 #: Keys that ``hot_join`` treats apart, and the rows of a key from which it does.
