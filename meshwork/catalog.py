@@ -764,7 +764,7 @@ def _(spark, d):
 
 @query("relative_fair_cliques")
 def _(spark, d):
-    g = cut(src.co_order(spark, d, 2))
+    g = cut(src.co_order(spark, d))
     return enum.fair_cliques(g, count.degrees(g).select("id", (F.col("id") % 2).cast("int").alias("attr")), 1, 1)
 
 
@@ -776,7 +776,7 @@ def _(spark, d):
 
 @query("defective_cliques")
 def _(spark, d):
-    return enum.defective_cliques(src.co_order(spark, d, 2), 1, 4)
+    return enum.defective_cliques(src.co_order(spark, d), 1, 6)
 
 
 @query("maximal_bicliques")

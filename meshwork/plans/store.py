@@ -16,7 +16,7 @@ def cut(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
+        if not found and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="meshwork-"))
     return df.checkpoint()
