@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import _T3, DEG, SYM, _bfs, _co, _first, _feature_edges, _rounds, _sym30, query
-from .operators import core, count, enumerate as enum, order, peel, pivot, ppr, resistance, sampling, shadow, temporal, tuples, walks, zigzag
+from .operators import community, core, count, enumerate as enum, order, peel, pivot, ppr, resistance, sampling, shadow, temporal, tuples, walks, zigzag
 from .plans.store import cut
 from .sources import bundles
 from .sources import tables as src
@@ -382,3 +382,37 @@ def _(spark, d):
     start = ppr.single_sources(_first(spark, d))
     error = ppr.compare(walks.stopping_walks(g, start, 4000, weight="w"), ppr.power_to(g, start, 1e-4, weight="w"))
     return error.select("source", (F.col("worst") < 0.03).alias("bounded"))
+
+
+# ---- cores and communities by rounds ------------------------------------------------------------------------------------------------
+
+
+@query("bursting_core_by_rounds")
+def _(spark, d):
+    return temporal.bursting_core_by_rounds(temporal.both_ways(src.customer_supplier_months(spark, d).withColumn("v", -F.col("v"))), 6, 1.5, 81)[0]
+
+
+def _probs(g):
+    return count.degrees(g).select("id", ((F.col("id") * 37) % 101 / 101.0).alias("prob"))
+
+
+_PATH = f"""WITH {_co()}, {SYM}, {DEG}, seeds AS (SELECT id AS seed FROM d WHERE id % 50 = 0), n1 AS MATERIALIZED (SELECT seed, dst AS id FROM seeds JOIN s ON s.src = seed),
+n2 AS (SELECT seed, dst AS id, min(src) AS parent FROM n1 JOIN s ON s.src = n1.id WHERE dst <> seed GROUP BY seed, dst),
+c AS (SELECT seed, id, 1 AS dist, ((id * 37) % 101) / 101.0::DOUBLE AS score FROM n1
+      UNION ALL SELECT n2.seed, n2.id, 2, (((n2.id * 37) % 101) / 101.0::DOUBLE + ((parent * 37) % 101) / 101.0::DOUBLE) / 2 FROM n2 LEFT JOIN n1 ON n1.seed = n2.seed AND n1.id = n2.id WHERE n1.id IS NULL)
+SELECT seed, id, round(score, 6) AS score, dist::INTEGER AS steps FROM c QUALIFY row_number() OVER (PARTITION BY seed ORDER BY round(score, 9) DESC, dist, id) = 1"""
+
+
+@query("greedy_first_paths", _PATH)
+def _(spark, d):
+    g = cut(src.co_order(spark, d))
+    seeds = count.degrees(g).filter("id % 50 = 0").select("id")
+    probs = _probs(g).withColumn("prob", F.round("prob", 12))
+    found = community.best_paths(community.bfs_paths(g, seeds, 2), probs, seeds.select(F.col("id").alias("seed"), "id"))
+    return found.select("seed", "id", F.round("score", 6).alias("score"), "steps")
+
+
+@query("greedy_communities")
+def _(spark, d):
+    g = cut(src.co_order(spark, d))
+    return community.greedy_community(g, count.degrees(g).filter("id % 200 = 0").select("id"), _probs(g), 12, 2)

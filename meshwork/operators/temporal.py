@@ -124,3 +124,93 @@ def burst_support(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return inner.agg(F.count("*").alias("edges"), F.countDistinct("u").alias("nodes")).withColumn("support", F.col("edges") / F.col("nodes"))
 
 
+
+
+def best_by_end(ds: np.ndarray, length: int, first: int = 0, last: int | None = None, out: np.ndarray | None = None) -> np.ndarray:
+    """At place b the greatest mean of a window of length ... 2 length - 1 values that ends before time b; only the places first ... last are written, if out is given."""
+    n = len(ds)
+    out = np.zeros(n + 1) if out is None else out
+    last = n if last is None else min(last, n)
+    first = max(first, length)
+    if first > last:
+        return out
+    base = max(0, first - 2 * length)
+    total = np.concatenate([[0], np.cumsum(ds[base:last])])
+    ends = np.arange(first, last + 1)
+    best = np.zeros(len(ends))
+    for k in range(length, min(2 * length, n + 1)):
+        fits = ends >= k
+        best[fits] = np.maximum(best[fits], (total[ends[fits] - base] - total[ends[fits] - k - base]) / k)
+    out[first : last + 1] = best
+    return out
+
+
+_STATE = "u long, d long, ds array<int>, best array<double>, msd double"
+
+
+def bursting_core_by_rounds(edges: DataFrame, length: int, delta: float, horizon: int, compact: int = 10) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """(u of the bursting core, as ``bursting_core``; (vertices touched, vertices gone) of each round).
+
+    A vertex's state is a row: its neighbours, its activity at each time and the best window for each end.  A round touches the neighbours of the vertices that went in the last one alone:
+    their activity falls at the times they shared, and only windows that end within 2 length of these are computed again.  The other rows are neither read into the round nor
+    written; the edges are never written again.
+    """
+    import pandas as pd
+
+    if length > horizon:
+        raise ValueError("the length is beyond the horizon")
+    edges = cut(edges.select("u", "v", "t").distinct())
+    if not edges.filter((F.col("t") >= horizon) | (F.col("t") < 0)).isEmpty():
+        raise ValueError("a time lies outside 0 ... horizon - 1")
+    low = delta - 1e-12
+
+    def begin(batches):
+        for pdf in batches:
+            rows = []
+            for u, d, times in pdf[["u", "d", "times"]].itertuples(index=False):
+                ds = np.zeros(horizon, np.int64)
+                for x in times:
+                    ds[x["t"]] = x["n"]
+                best = best_by_end(ds, length)
+                rows.append((u, d, ds.tolist(), best.tolist(), float(best.max())))
+            yield pd.DataFrame(rows, columns=["u", "d", "ds", "best", "msd"])
+
+    def repair(batches):
+        for pdf in batches:
+            rows = []
+            for u, d, ds, best, lost, times in pdf[["u", "d", "ds", "best", "lost", "times"]].itertuples(index=False):
+                ds, best = np.array(ds, np.int64), np.array(best)
+                at = sorted((x["t"], x["n"]) for x in times)
+                for t, n in at:
+                    ds[t] -= n
+                k = 0
+                while k < len(at):  # stretches of times whose windows overlap are repaired at once
+                    first = last = at[k][0]
+                    while k < len(at) and at[k][0] <= last + 2 * length:
+                        last, k = at[k][0], k + 1
+                    best_by_end(ds, length, first + 1, last + 2 * length, best)
+                rows.append((u, d - lost, ds.tolist(), best.tolist(), float(best.max())))
+            yield pd.DataFrame(rows, columns=["u", "d", "ds", "best", "msd"])
+
+    degree = edges.groupBy("u").agg(F.countDistinct("v").alias("d"))
+    times = activity(edges).groupBy("u").agg(F.collect_list(F.struct("t", F.col("ds").alias("n"))).alias("times"))
+    state = cut(degree.join(times, "u").mapInPandas(begin, _STATE).withColumn("round", F.lit(0)))
+    out = (F.col("d") < delta) | (F.col("msd") < low)
+    front = cut(state.filter(out).select("u"))
+    gone, went, rounds = front, front.count(), []
+    rounds.append((state.count(), went))
+    while went:
+        hits = edges.join(front.withColumnRenamed("u", "v"), "v", "left_semi").join(gone, "u", "left_anti")
+        lost = hits.groupBy("u").agg(F.countDistinct("v").alias("lost"))
+        when = hits.groupBy("u", "t").agg(F.count("*").alias("n")).groupBy("u").agg(F.collect_list(F.struct("t", "n")).alias("times"))
+        touched = cut(lost.join(when, "u"))
+        newest = state.join(touched.select("u"), "u", "left_semi").groupBy("u").agg(F.max_by(F.struct("d", "ds", "best"), "round").alias("s")).select("u", "s.*")
+        fresh = cut(newest.join(touched, "u").mapInPandas(repair, _STATE).withColumn("round", F.lit(len(rounds))))
+        front = cut(fresh.filter(out).select("u"))
+        went = front.count()
+        rounds.append((fresh.count(), went))
+        state, gone = state.unionByName(fresh), gone.unionByName(front)
+        if len(rounds) % compact == 0:
+            gone = cut(gone)
+            state = cut(state.groupBy("u").agg(F.max_by(F.struct("d", "ds", "best", "msd", "round"), "round").alias("s")).select("u", "s.*").join(gone, "u", "left_anti"))
+    return degree.select("u").join(gone, "u", "left_anti"), rounds
