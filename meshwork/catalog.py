@@ -112,12 +112,15 @@ def _(spark, d):
     return count.clustering(src.co_order(spark, d))
 
 
-@query("four_cliques")
+_T4 = "t4 AS MATERIALIZED (SELECT x.a, x.b, x.c, y.c AS d FROM t3 x JOIN t3 y ON x.a = y.a AND x.b = y.b AND x.c < y.c JOIN g ON g.src = x.c AND g.dst = y.c)"
+
+
+@query("four_cliques", f"WITH {_co()}, {_T3}, {_T4} SELECT count(*)::BIGINT AS cliques FROM t4")
 def _(spark, d):
     return count.clique_count(src.co_order(spark, d), 4)
 
 
-@query("five_cliques")
+@query("five_cliques", f"WITH {_co()}, {_T3}, {_T4} SELECT count(*)::BIGINT AS cliques FROM t4 x JOIN t4 y ON x.a = y.a AND x.b = y.b AND x.c = y.c AND x.d < y.d JOIN g ON g.src = x.d AND g.dst = y.d")
 def _(spark, d):
     return count.clique_count(src.co_order(spark, d), 5)
 
@@ -169,7 +172,12 @@ def _(spark, d):
     return core.pq_core(src.part_supplier(spark, d), 20, 22)
 
 
-@query("core_numbers")
+def _h_index(i: int) -> str:
+    ranks = f"SELECT s.src, x.core, row_number() OVER (PARTITION BY s.src ORDER BY x.core DESC) AS place FROM s JOIN r{i - 1} x ON x.id = s.dst"
+    return f"r{i} AS MATERIALIZED (SELECT src AS id, max(least(core, place)) AS core FROM ({ranks}) GROUP BY src)"
+
+
+@query("core_numbers", _rounds(f"{_co()}, {SYM}, {DEG}, r0 AS MATERIALIZED (SELECT id, deg AS core FROM d)", _h_index, 40, "SELECT id, core FROM {r}"))
 def _(spark, d):
     return core.core_numbers(src.co_order(spark, d))
 
@@ -198,7 +206,14 @@ def _(spark, d):
     return core.eta_degrees(src.uncertain(spark, d), 0.6)
 
 
-@query("eta_core")
+def _eta_round(i: int) -> str:
+    both = f"SELECT src, dst, p FROM r{i - 1} UNION ALL SELECT dst, src, p FROM r{i - 1}"
+    products = f"SELECT src, exp(sum(ln(p)) OVER (PARTITION BY src ORDER BY p DESC, dst ROWS UNBOUNDED PRECEDING)) AS pr FROM ({both})"
+    kept = f"k{i} AS MATERIALIZED (SELECT src AS id FROM ({products}) GROUP BY src HAVING sum(CASE WHEN pr >= 0.6 - 1e-9 THEN 1 ELSE 0 END) >= 3)"
+    return f"{kept}, r{i} AS MATERIALIZED (SELECT src, dst, p FROM r{i - 1} WHERE src IN (SELECT id FROM k{i}) AND dst IN (SELECT id FROM k{i}))"
+
+
+@query("eta_core", _rounds(f"{UNCERTAIN}, r0 AS MATERIALIZED (SELECT src, dst, p FROM un WHERE p >= 0.6)", _eta_round, 30, "SELECT src, dst, p FROM {r}"))
 def _(spark, d):
     return core.eta_core(src.uncertain(spark, d), 4, 0.6)
 
@@ -452,9 +467,12 @@ def _(spark, d):
     return e.crossJoin(F.broadcast(e.agg(F.percentile("score", 0.99).alias("q")))).filter("score >= q").select("g1", "g2", "score")
 
 
-@query("isolates", f"WITH {_co()} SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT src FROM g UNION ALL SELECT dst FROM g)")
+_TWICE = "b AS MATERIALIZED (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), g AS MATERIALIZED (SELECT a.p AS src, c.p AS dst FROM b a JOIN b c ON a.o = c.o AND a.p < c.p GROUP BY 1, 2 HAVING count(*) >= 2)"
+
+
+@query("isolates", f"WITH {_TWICE} SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT src FROM g UNION ALL SELECT dst FROM g)")
 def _(spark, d):
-    return src.table(spark, d, "part").select(F.col("p_partkey").alias("id")).join(count.degrees(src.co_order(spark, d)), "id", "left_anti")
+    return src.table(spark, d, "part").select(F.col("p_partkey").alias("id")).join(count.degrees(src.co_order(spark, d, 2)), "id", "left_anti")
 
 
 # ---- temporal -------------------------------------------------------------------------------------------------------------------
@@ -600,7 +618,12 @@ def _(spark, d):
     return sampling.oversample(src.table(spark, d, "part").select("p_partkey", "p_size"), "p_size", 1.5).select("p_partkey", "copy")
 
 
-@query("negative_edges")
+_NEGATIVES = f"""WITH {_co()}, {SYM}, {DEG}, o AS (SELECT id, (row_number() OVER (ORDER BY id) - 1)::BIGINT AS place FROM d),
+c AS (SELECT src, floor({_u('(src * 1000003 + dst)')} * (SELECT count(*) FROM d) + k * 7919)::BIGINT % (SELECT count(*) FROM d) AS place, k FROM g, range(1, 3) r(k))
+SELECT DISTINCT c.src, o.id AS dst, c.k::INTEGER AS k FROM c JOIN o USING (place) LEFT JOIN s ON s.src = c.src AND s.dst = o.id WHERE s.src IS NULL AND c.src <> o.id"""
+
+
+@query("negative_edges", _NEGATIVES)
 def _(spark, d):
     g = cut(src.co_order(spark, d))
     return sampling.local_negatives(g, count.degrees(g), 2)
@@ -612,15 +635,22 @@ def _(spark, d):
     return sampling.walk_nodes(src.symmetric(g), _first(spark, d, 50), 4)
 
 
-@query("priority_edges")
+_PRIORITY = f"""WITH {_ps()}, {_W}, x AS (SELECT a, b, shared FROM w WHERE shared >= 2 UNION ALL SELECT b, a, shared FROM w WHERE shared >= 2),
+e AS (SELECT p.u AS src, p.v AS dst, sum(x.shared - 1)::BIGINT AS w FROM bp p JOIN bp o ON p.u = o.u JOIN x ON x.a = p.v AND x.b = o.v GROUP BY p.u, p.v),
+k AS (SELECT *, w / ({_u('(src * 1000003 + dst)')} + 1e-12::DOUBLE) AS priority FROM e),
+t AS MATERIALIZED (SELECT * FROM k ORDER BY priority DESC, src, dst LIMIT 201), z AS (SELECT min(priority) AS z, count(*) AS c FROM t)
+SELECT src, dst, w, round(CASE WHEN c <= 200 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, w / z) END, 9) AS prob FROM t, z WHERE priority > z OR c <= 200"""
+
+
+@query("priority_edges", _PRIORITY)
 def _(spark, d):
     e = count.butterflies_by_edge(src.part_supplier(spark, d)).select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("butterflies").alias("w"))
-    return sampling.priority_edges(e, 200)
+    return sampling.priority_edges(e, 200).withColumn("prob", F.round("prob", 9))
 
 
-@query("sampled_clique_count")
+@query("sampled_clique_count", f"WITH {_co()}, {_T3}, n AS (SELECT id, count(*) AS k FROM (SELECT unnest([a, b, c]) AS id FROM t3) GROUP BY id) SELECT round(coalesce(sum(k), 0) / (0.3::DOUBLE * 3), 6) AS cliques FROM n WHERE {_u('id')} < 0.3")
 def _(spark, d):
-    return sampling.sampled_clique_count(src.co_order(spark, d), 3, 0.3)
+    return sampling.sampled_clique_count(src.co_order(spark, d), 3, 0.3).withColumn("cliques", F.round("cliques", 6))
 
 
 _ARCS = "o AS MATERIALIZED (SELECT CASE WHEN (x.deg, x.id) < (y.deg, y.id) THEN src ELSE dst END AS a, CASE WHEN (x.deg, x.id) < (y.deg, y.id) THEN dst ELSE src END AS b FROM g JOIN d x ON x.id = src JOIN d y ON y.id = dst)"
@@ -647,7 +677,12 @@ def _(spark, d):
     return sampling.random_graph(spark, 500, 0.02, 7)
 
 
-@query("label_propagation")
+def _votes(i: int) -> str:
+    votes = f"SELECT s.src AS id, x.part, count(*) AS n FROM s JOIN r{i - 1} x ON x.id = s.dst GROUP BY 1, 2"
+    return f"r{i} AS MATERIALIZED (SELECT id, part FROM ({votes}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, part) = 1)"
+
+
+@query("label_propagation", _rounds(f"{_co()}, {SYM}, {DEG}, r0 AS MATERIALIZED (SELECT id, id AS part FROM d)", _votes, 4, "SELECT id, part FROM {r}"))
 def _(spark, d):
     return sampling.label_propagation(src.co_order(spark, d), 4)
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import _T3, DEG, SYM, _bfs, _co, _first, _feature_edges, _rounds, _sym30, query
+from .catalog import _T3, DEG, SYM, TEMPORAL, _bfs, _co, _first, _feature_edges, _rounds, _sym30, query
 from .operators import community, core, count, enumerate as enum, order, peel, pivot, ppr, resistance, sampling, shadow, temporal, tuples, walks, zigzag
 from .plans.store import cut
 from .sources import bundles
@@ -115,19 +115,19 @@ def _(spark, d):
 
 @query("fair_reduction")
 def _(spark, d):
-    g = _pairs(spark, d)
-    return peel.fair_reduction(g, core.colouring(g), _half(g), 2)
+    g = cut(src.co_order(spark, d))
+    return peel.fair_reduction(g, core.colouring(g), _half(g), 20)
 
 
 @query("strong_reduction")
 def _(spark, d):
-    g = _pairs(spark, d)
-    return peel.strong_reduction(g, core.colouring(g), _half(g), 2)
+    g = cut(src.co_order(spark, d))
+    return peel.strong_reduction(g, core.colouring(g), _half(g), 20)
 
 
 @query("fairness_degree")
 def _(spark, d):
-    g = _pairs(spark, d)
+    g = cut(src.co_order(spark, d))
     return peel.fairness_degree(g, core.colouring(g), _half(g))
 
 
@@ -322,14 +322,20 @@ def _(spark, d):
     return sampling.similarity_walks(cut(src.symmetric(scored)), scored.select(F.col("src").alias("id")).distinct(), 3)
 
 
-@query("slopes")
+_SLOPES = f"""WITH {TEMPORAL}, a AS (SELECT u, t, count(DISTINCT v) AS ds FROM te GROUP BY u, t), g AS (SELECT u, k FROM (SELECT DISTINCT u FROM te), range(0, 82) r(k)),
+p AS MATERIALIZED (SELECT g.u, g.k, sum(coalesce(ds, 0)) OVER (PARTITION BY g.u ORDER BY g.k) AS s FROM g LEFT JOIN a ON a.u = g.u AND a.t + 1 = g.k)
+SELECT u, a::INTEGER AS a, b::INTEGER AS b, slope FROM (SELECT x.u, x.k AS a, y.k AS b, (y.s - x.s) / (y.k - x.k)::DOUBLE AS slope FROM p x JOIN p y ON x.u = y.u AND x.k < y.k)
+QUALIFY row_number() OVER (PARTITION BY u, b ORDER BY slope DESC, a) = 1"""
+
+
+@query("slopes", _SLOPES)
 def _(spark, d):
     return temporal.slopes(src.customer_supplier_months(spark, d), 81)
 
 
 @query("densest_exact")
 def _(spark, d):
-    return enum.densest_exact(src.customer_part(spark, d, 2), 2, 2)
+    return enum.densest_exact(src.customer_part(spark, d, 2), 2, 1)
 
 
 # ---- estimators of cliques and bicliques ------------------------------------------------------------------------------------------
