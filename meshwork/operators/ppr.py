@@ -93,15 +93,18 @@ def push(edges: DataFrame, start: DataFrame, epsilon: float, alpha: float = 0.2,
 def backward(edges: DataFrame, target: int, rounds: int, alpha: float = 0.2) -> DataFrame:
     """id, score: each vertex's PPR value of one target, by rounds against the edges' direction; a receiver divides by its own out-degree."""
     t = _transitions(edges)
-    spark = edges.sparkSession
-    r, total = spark.createDataFrame([(target, 1.0)], "id long, r double"), None
-    for i in range(rounds):
-        gain = r.select("id", (F.col("r") * alpha).alias("p"))
-        total = gain if total is None else total.unionByName(gain).groupBy("id").agg(F.sum("p").alias("p"))
-        r = r.join(t, r.id == t.dst).groupBy(F.col("src").alias("id")).agg(F.sum(F.col("r") * (1 - alpha) * F.col("share")).alias("r"))
+    start = edges.sparkSession.createDataFrame([(target, 0.0, 1.0)], "id long, p double, r double")
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("src")).unionByName(start.select(F.col("id").alias("src"))).distinct()
+    own = nodes.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("share"), F.lit(True).alias("own"))
+    moves = cut(t.withColumn("own", F.lit(False)).unionByName(own))
+    now = start
+    for i in range(rounds):  # a state is one row (id, p, r): a round is one join and one aggregate
+        p = F.when(F.col("own"), F.col("p") + F.col("r") * alpha).otherwise(0.0)
+        each = now.join(moves, now.id == moves.dst).select(F.col("src").alias("id"), p.alias("p"), (F.col("r") * (1 - alpha) * F.col("share")).alias("r"))
+        now = each.groupBy("id").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
         if i % CUT_EVERY == CUT_EVERY - 1:
-            r, total = cut(r), cut(total)
-    return total.select("id", F.col("p").alias("score"))
+            now = cut(now)
+    return now.filter("p > 0").select("id", F.col("p").alias("score"))
 
 
 def stationary(edges: DataFrame) -> DataFrame:

@@ -22,17 +22,27 @@ def landmark(edges: DataFrame) -> DataFrame:
 
 def absorbed_visits(edges: DataFrame, sources: DataFrame, stop: int, rounds: int) -> DataFrame:
     """source, id, visits expected in so many steps of a walk from the source that ends at the landmark stop."""
-    both = symmetric(edges)
-    deg = degrees(edges)
-    t = cut(both.join(deg, both.src == deg.id).filter(F.col("dst") != stop).select("src", "dst", (1.0 / F.col("deg")).alias("share")))
-    x = cut(sources.filter(F.col("id") != stop).select(F.col("id").alias("source"), "id", F.lit(1.0).alias("x")))
-    total = x
+    start = sources.filter(F.col("id") != stop).select(F.col("id").alias("source"), "id")
+    return _visits(edges, start, rounds, stop)
+
+
+def _visits(edges: DataFrame, start: DataFrame, rounds: int, stop: int | None = None) -> DataFrame:
+    """source, id, visits expected in so many steps of walks from start(source, id): a state is one row (source, id, total, x), a round one join and one aggregate.
+
+    A move of share 0 from each vertex to itself (own) carries its total on.
+    """
+    both, deg = symmetric(edges.select("src", "dst")), cut(degrees(edges))
+    t = both.join(deg, both.src == deg.id).select("src", "dst", (1.0 / F.col("deg")).alias("share"), F.lit(False).alias("own"))
+    t = t if stop is None else t.filter(F.col("dst") != stop)
+    nodes = deg.select(F.col("id").alias("src")).unionByName(start.select(F.col("id").alias("src"))).distinct()
+    moves = cut(t.unionByName(nodes.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("share"), F.lit(True).alias("own"))))
+    now = cut(start.select("source", "id", F.lit(1.0).alias("total"), F.lit(1.0).alias("x")))
     for i in range(rounds):
-        x = x.join(t, x.id == t.src).groupBy("source", F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("share")).alias("x"))
-        total = total.unionByName(x).groupBy("source", "id").agg(F.sum("x").alias("x"))
-        if i % 5 == 4:
-            x, total = cut(x), cut(total)
-    return total.select("source", "id", F.col("x").alias("visits"))
+        each = now.join(moves, now.id == moves.src).select("source", F.col("dst").alias("id"), F.when(F.col("own"), F.col("total")).otherwise(0.0).alias("total"), (F.col("x") * F.col("share")).alias("x"))
+        now = each.groupBy("source", "id").agg((F.sum("total") + F.sum("x")).alias("total"), F.sum("x").alias("x"))
+        if i % 10 == 9:
+            now = cut(now)
+    return now.select("source", "id", F.col("total").alias("visits"))
 
 
 def pair_resistance(edges: DataFrame, pairs: DataFrame, stop: int, rounds: int) -> DataFrame:
@@ -154,16 +164,8 @@ def escape_resistance(edges: DataFrame, pairs: DataFrame, walks: int, seed: int
 
 def truncated_resistance(edges: DataFrame, pairs: DataFrame, rounds: int) -> DataFrame:
     """s, t, resistance: the sum, over walk lengths 0 ... rounds - 1 and without a landmark, of (P_ss - P_st) / d_s + (P_tt - P_ts) / d_t, P the lengths' end probabilities."""
-    deg = cut(degrees(edges))
-    t = cut(symmetric(edges.select("src", "dst")).join(deg, F.col("src") == deg.id).select("src", "dst", (1.0 / F.col("deg")).alias("share")))
     ends = pairs.select(F.explode(F.array("s", "t")).alias("id")).distinct()
-    now = total = cut(ends.select(F.col("id").alias("source"), "id", F.lit(1.0).alias("visits")))
-    for i in range(1, rounds):
-        now = now.join(t, now.id == t.src).groupBy("source", F.col("dst").alias("id")).agg(F.sum(F.col("visits") * F.col("share")).alias("visits"))
-        total = total.unionByName(now).groupBy("source", "id").agg(F.sum("visits").alias("visits"))
-        if i % 5 == 4:
-            now, total = cut(now), cut(total)
-    return resistances(pairs, cut(potentials_of(edges, total)))
+    return resistances(pairs, cut(potentials_of(edges, _visits(edges, ends.select(F.col("id").alias("source"), "id"), rounds - 1))))
 
 
 def landmark_by_trees(edges: DataFrame, stop: int, samples: int, seed: int = 0) -> DataFrame:
