@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import _T3, DEG, SYM, TEMPORAL, _bfs, _co, _first, _feature_edges, _rounds, _sym30, query
-from .operators import community, core, count, enumerate as enum, order, peel, pivot, ppr, resistance, sampling, shadow, temporal, tuples, walks, zigzag
+from .operators import community, core, count, enumerate as enum, order, partition, peel, pivot, ppr, resistance, sampling, shadow, temporal, tuples, walks, zigzag
 from .plans.store import cut
 from .sources import bundles
 from .sources import tables as src
@@ -422,3 +422,18 @@ def _(spark, d):
 def _(spark, d):
     g = cut(src.co_order(spark, d))
     return community.greedy_community(g, count.degrees(g).filter("id % 200 = 0").select("id"), _probs(g), 12, 2)
+
+
+# ---- partitions -------------------------------------------------------------------------------------------------------------------
+
+
+@query("balanced_parts")
+def _(spark, d):
+    return partition.balanced_parts(src.co_order(spark, d), 8)
+
+
+@query("partition_sizes", f"WITH {_co()}, {SYM}, {DEG} SELECT count(*)::BIGINT AS vertices, 8::BIGINT AS parts, true AS even FROM d")
+def _(spark, d):
+    parts = cut(partition.balanced_parts(src.co_order(spark, d), 8))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
+    return sizes.agg(F.sum("n").alias("vertices"), F.count("*").alias("parts"), (F.max("n") <= 1.05 * F.sum("n") / 8).alias("even"))
