@@ -1,9 +1,9 @@
 """Token ids in Arrow files of fixed-size-list batches.
 
 Documents are range-partitioned by (doc_id, hash of the text); each partition becomes one shard: ``shard-NNNNN.tokens.arrow`` (Arrow IPC file; the
-columns input_ids, a fixed-size list of 16- or 32-bit unsigned ids, and mask, a fixed-size list of bytes that are 1 for ids and 0 for padding) and
+columns input_ids, a fixed-size list of 16- or 32-bit unsigned ids, and mask, a fixed-size list of bits that are 1 for ids and 0 for padding) and
 ``shard-NNNNN.index.arrow`` (doc_id, start in the shard, n_tokens).  A shard's ids are one stream cut into equal sequences;
-only its last sequence is padded, which its mask shows.  Memory-mapped, a sequence and its mask are read at random without copying.
+only its last sequence is padded, which its mask shows.  Memory-mapped, a sequence is read at random without copying; its mask is unpacked to one boolean for each id.
 
 A file is written under a temporary name and then moved, and its content depends on its rows only, so a task that
 runs again after a lost executor replaces it by the same.
@@ -43,7 +43,7 @@ class ShardWriter:
         self.names = [f"{folder}/shard-{shard:05d}.{kind}.arrow" for kind in ("tokens", "index")]
         self.temp = [f"{folder}/.{uuid.uuid4().hex}.{kind}" for kind in ("tokens", "index")]
         self.dtype, self.length, self.batch = np.uint16 if size <= 1 << 16 else np.uint32, length, batch
-        schema = pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(self.dtype), length)), ("mask", pa.list_(pa.uint8(), length))])
+        schema = pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(self.dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.sinks = [self.fs.open_output_stream(t) for t in self.temp]
         self.writers = [pa.ipc.new_file(self.sinks[0], schema), pa.ipc.new_file(self.sinks[1], _INDEX)]
         self.schema, self.held, self.n_held, self.at = schema, [], 0, 0
@@ -67,11 +67,11 @@ class ShardWriter:
         unit = self.length if last else step  # every batch but the last is full
         n = len(flat) // unit * unit
         rest = flat[n:]
-        mask = np.ones(n, np.uint8)
+        mask = np.ones(n, bool)
         if last and len(rest):
             flat = np.concatenate([flat, np.zeros(self.length - len(rest), self.dtype)])
             n += self.length
-            mask = (np.arange(n) < n - self.length + len(rest)).astype(np.uint8)
+            mask = np.arange(n) < n - self.length + len(rest)
             rest = rest[:0]
         for a in range(0, n, step):
             b = min(n, a + step)
@@ -99,10 +99,10 @@ class ShardReader:
         self.batch = self.tokens.get_batch(0).num_rows if self.tokens.num_record_batches else 1
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and the mask of sequence i, both views of the file."""
+        """The ids of sequence i, a view of the file, and its mask."""
         b, k = self.tokens.get_batch(i // self.batch), i % self.batch
         ids, mask = (b.column(c).slice(k, 1).flatten() for c in range(2))
-        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=True)
+        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
 
     def span(self, start: int, n: int) -> np.ndarray:
         """n ids from position start of the shard's stream."""

@@ -588,3 +588,11 @@ def test_chain_uses_earlier_probabilities():
     chain = toxicity.fit_chain(x, y, np.arange(600) % toxicity.FOLDS, [np.arange(4), np.array([1])])
     p = chain.predict(x)
     assert ((p[:, 1] > 0.5) == (y[:, 1] > 0.5)).mean() > 0.95  # the second model has no column 0 of its own
+
+
+def test_token_files_take_little_more_than_their_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "some words of text " * 400) for i in range(40)], "doc_id long, text string").coalesce(1)
+    n = sum(r.n_tokens for r in token_files.write_token_files(docs, str(tmp_path), "byte_bpe_50k.json", "byte", 0).collect())
+    size = sum(p.stat().st_size for p in tmp_path.glob("*.tokens.arrow"))
+    padding = 2048 * len(list(tmp_path.glob("*.tokens.arrow")))
+    assert size < 2.2 * (n + padding) + 4096 * len(list(tmp_path.glob("*.tokens.arrow")))
