@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from meshwork.operators import core, peel
+from meshwork.operators import core, peel, ppr, resistance
 from meshwork.operators.parts import Parts
 
 RNG = random.Random(5)
@@ -73,3 +73,27 @@ def test_reductions(spark):
     for got, want in ((peel.fair_reduction(g, colours, attr, 2), fair), (core.colourful_core(g, colours, attr, 2), colourful), (peel.strong_reduction(g, colours, attr, 2), lambda v, a: colourful(v, a) and fair(v, a))):
         found = sorted(map(tuple, got.collect()))
         assert found == reduced(want) and 0 < len(found) < len(PAIRS)
+
+
+def test_pagerank_and_visits(spark):
+    g = parts(spark)
+    both = g.edges.unionByName(g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    start = spark.createDataFrame([(1, 1, 1.0), (2, 1, 0.5), (2, 101, 0.5), (3, 999, 1.0)], "source long, id long, r double")
+    table = lambda df: {tuple(r)[:-1]: r[-1] for r in df.collect()}
+    for got, want in ((ppr.power(g, start, 7), ppr.power(both, start, 7)), (ppr.backward(g, 3, 6), ppr.backward(both, 3, 6)), (ppr.centrality(g, 6), ppr.centrality(both, 6))):
+        a, b = table(got), table(want)
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+    visits = table(resistance.absorbed_visits(g, spark.createDataFrame([(1,), (2,), (4,), (999,)], "id long"), 2, 5))
+    adj, x = near(), {1: 1.0}
+    total = dict(x)
+    for _ in range(5):
+        nxt = {}
+        for v, r in x.items():
+            for w in adj[v] - {2}:
+                nxt[w] = nxt.get(w, 0.0) + r / len(adj[v])
+        x = nxt
+        for w, r in x.items():
+            total[w] = total.get(w, 0.0) + r
+    got = {k[1]: v for k, v in visits.items() if k[0] == 1}
+    assert got.keys() == total.keys() and all(abs(got[k] - total[k]) < 1e-12 for k in total)
+    assert visits[999, 999] == 1.0 and not any(k[0] == 2 for k in visits)
